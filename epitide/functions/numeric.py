@@ -95,3 +95,30 @@ def ridge_from_sums(alpha: float, x_scale: str = "sample", scale_y: bool = True)
         return pd.DataFrame({"intercept": intercept, "slopes": slopes, "coefficients": coefficients, "sigma": sigma})
 
     return fit
+
+
+RIDGE_ALPHAS = tuple(np.logspace(-4, 4, 25))
+
+
+def ridge_cv(x: np.ndarray, y: np.ndarray, weight: np.ndarray, alphas=RIDGE_ALPHAS):
+    """Weighted ridge on standardised columns, penalty by exact leave-one-out error.
+
+    A weight counts copies of a row, as in a bootstrap sample. Returns intercept and slopes on the raw scale.
+    """
+    total = weight.sum()
+    mean, centre = weight @ x / total, weight @ y / total
+    sd = np.sqrt(weight @ (x - mean) ** 2 / total)
+    sd[~(sd > 0)] = 1.0
+    root = np.sqrt(weight)
+    u, s, vt = np.linalg.svd(root[:, None] * (x - mean) / sd, full_matrices=False)
+    uy = u.T @ (root * (y - centre))
+    best = (np.inf, None)
+    for alpha in alphas:
+        shrink = s**2 / (s**2 + alpha)
+        resid = y - centre - (u * shrink) @ uy / root
+        leverage = (u**2 * shrink).sum(axis=1) / weight + 1.0 / total
+        loss = weight @ (resid / np.maximum(1.0 - leverage, 1e-10)) ** 2 / total
+        if loss < best[0]:
+            best = (loss, (vt.T * (s / (s**2 + alpha))) @ uy)
+    slope = best[1] / sd
+    return centre - slope @ mean, slope

@@ -33,13 +33,13 @@ def header_name(name: str) -> str:
 def safe_token(c: Column | str) -> Column:
     """Lower-case token of letters, digits and underscores; blank becomes 'unknown'."""
     text = F.coalesce(as_col(c).cast("string"), F.lit(""))
-    token = F.trim(F.lit("_"), F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"))
+    token = F.trim(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.when(token == "", F.lit("unknown")).otherwise(token)
 
 
 def predictor_token(c: Column | str) -> Column:
     """Like safe_token, but blank stays blank."""
-    return F.lower(F.trim(F.lit("_"), F.regexp_replace(as_col(c), "[^0-9A-Za-z]+", "_")))
+    return F.lower(F.trim(F.regexp_replace(as_col(c), "[^0-9A-Za-z]+", "_"), F.lit("_")))
 
 
 def feature_token(name: str) -> str:
