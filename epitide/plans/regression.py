@@ -132,6 +132,10 @@ def dot(beta, x):
     return F.aggregate(F.zip_with(beta, x, lambda b, v: b * v), F.lit(0.0), lambda s, v: s + v)
 
 
+def add_scaled(a, b, weight: float):
+    return F.zip_with(a, b, lambda x, y: x + y * weight)
+
+
 def least_squares(rows: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     """One row per model: beta, inverse of X'X and the number of rows."""
     grams = outer_sums(rows, keys, F.col("x"), F.concat(F.col("x"), F.array(F.col(y))), "_m")
@@ -168,9 +172,7 @@ def fit_hac(df: DataFrame, y: str, predictors: Sequence[str], maxlags: int, orde
     lagged = u.select("*", *[F.lag("u", k).over(w).alias(f"_u{k}") for k in range(1, maxlags + 1)])
     right = F.transform("u", lambda v: v * 0.5)
     for k in range(1, maxlags + 1):
-        weight = 1.0 - k / (maxlags + 1.0)
-        right = F.zip_with(right, F.coalesce(F.col(f"_u{k}"), F.transform("u", lambda v: v * 0.0)),
-                           lambda a, b, c=weight: a + b * c)
+        right = add_scaled(right, F.coalesce(F.col(f"_u{k}"), F.transform("u", lambda v: v * 0.0)), 1.0 - k / (maxlags + 1.0))
     meat = outer_sums(lagged, keys, F.col("u"), right, "meat")
     quality = u.groupBy(*keys).agg(F.when(F.var_pop(y) > 0, 1 - F.sum(F.col("_e") ** 2) / (F.var_pop(y) * F.count(y))).alias("r2"))
     solved = fits.join(meat, keys).join(quality, keys).withColumn("_se", sandwich_errors("inverse", "meat"))
