@@ -5,7 +5,7 @@ from importlib import import_module
 
 from .inputs import expand_rounding
 
-GROUPS = ("core", "series", "panels", "landed")
+GROUPS = ("core", "series", "panels", "landed", "fits")
 
 
 def load() -> tuple[dict, dict]:

@@ -190,3 +190,39 @@ def month_dummies(df: DataFrame, date: str, keys: Sequence[str] = (), prefix: st
     months = sorted(r[0] for r in df.select(F.month(date)).where(F.col(date).isNotNull()).distinct().collect())
     names = [f"{prefix}_{m}" for m in months[1:]]
     return df.select("*", *[(F.month(date) == m).cast("double").alias(n) for m, n in zip(months[1:], names)]), names
+
+
+# ---- model input ------------------------------------------------------------------
+
+def attach_features(rows: DataFrame, grid: DataFrame, lags: Sequence[int], own: bool = True) -> DataFrame:
+    """rows (target_id, period, ...) with every predictive lag feature, and with the target's own lags."""
+    lagged = lag_rows(grid, positive_lags(lags))
+    shared = salted(lagged.where(F.col("role") == "predictive").select("period", "feature", "value"), "feature", SALTS)
+    out = replicated(rows, SALTS).join(shared, ["period", "_salt"]).drop("_salt")
+    if own:
+        mine = lagged.where(F.col("role") == "predicted").select(
+            F.col("series_id").alias("target_id"), "period", "feature", "value")
+        out = out.unionByName(rows.join(mine, ["target_id", "period"]).select(*out.columns))
+    return out
+
+
+def impute_and_scale(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """x: the value, or the training median where missing, scaled by training mean and deviation.
+
+    Features without any training value are dropped. A (key, feature) group holds one row per period.
+    """
+    w = Window.partitionBy(*keys, "feature")
+    train = F.col("split") == "train"
+    filled = panel.select("*", F.coalesce("value", F.percentile(F.when(train, F.col("value")), F.lit(0.5)).over(w)).alias("_f"))
+    stats = filled.select("*", F.count(F.when(train, F.col("value"))).over(w).alias("_n"),
+                        F.avg(F.when(train, F.col("_f"))).over(w).alias("_m"),
+                        F.stddev_pop(F.when(train, F.col("_f"))).over(w).alias("_s"))
+    return stats.where(F.col("_n") > 0).select(
+        *panel.columns, ((F.col("_f") - F.col("_m")) / S.train_scale("_s")).alias("x"))
+
+
+def pack(panel: DataFrame, index: Sequence[str]) -> DataFrame:
+    """One row per index with x as an array in feature order and the feature names."""
+    cells = F.sort_array(F.collect_list(F.struct("feature", "x")))
+    return panel.groupBy(*index).agg(cells.alias("_c")).select(
+        *index, F.transform("_c", lambda c: c["x"]).alias("x"), F.transform("_c", lambda c: c["feature"]).alias("features"))

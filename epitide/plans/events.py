@@ -128,7 +128,9 @@ def outcome_draws(events: DataFrame, n_sim: int = 20_000, seed: int = 42) -> Dat
         "prevalence", F.col("attendance_probability_if_infectious").alias("reach"), "reproduction_number", "taf",
         "dispersion_k", F.col("superspreading_threshold").alias("threshold"))
     kind = dict(events.dtypes)["event_id"]
-    return args.mapInPandas(_sampler(n_sim, seed),
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = args.repartition(tasks, "event_id")  # a few bytes per event, about a millisecond of work each
+    return spread.mapInPandas(_sampler(n_sim, seed),
                             f"event_id {kind}, expected double, p_sse double, p05 double, p50 double, p95 double")
 
 
