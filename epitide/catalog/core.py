@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators.pairs import PAIR
 from ..plans import backtest, pairwise
 from ..schema import BacktestConfig
-from .inputs import R, canonical, pair_sql, rounded
+from .inputs import R, canonical, pair_sql, rounded, weekly_series
 
 ONE_LAG = BacktestConfig(lags=(1,))
 TWO_LAGS = BacktestConfig(lags=(1, 2))
@@ -26,7 +26,7 @@ def rolling(cfg):
 
 
 def matrix(cfg):
-    return lambda spark, sf: backtest.backtest_matrix(canonical(spark, sf), cfg)
+    return lambda spark, sf: backtest.backtest_matrix(weekly_series(spark, sf), cfg)
 
 
 METRICS = ["mae", "rmse", "max_abs_error", "mean_abs_baseline_error", "baseline_rmse",
@@ -74,7 +74,7 @@ def ols(lags):
 
 def ols_matrix(lags):
     def run(spark, sf):
-        rows = pairwise.pairwise_matrix(canonical(spark, sf), lags=lags)
+        rows = pairwise.pairwise_matrix(weekly_series(spark, sf), lags=lags)
         return rows.select(
             *PAIR, "predictor_family", "target_family", "status", "error", "n_complete", "n_train", "n_test",
             "train_start", "train_end", "test_start", "test_end",

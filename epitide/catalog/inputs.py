@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rollup import rolled_series
+
 COLUMNS = ["date", "value", "series_id", "role", "dataset_family", "series_name", "source_file"]
 
 
@@ -60,6 +62,11 @@ def canonical(spark: SparkSession, sf: str) -> DataFrame:
     return lineitem_series(spark, sf).unionByName(orders_series(spark, sf))
 
 
+def weekly_series(spark: SparkSession, sf: str) -> DataFrame:
+    """canonical() rolled up by week once, for queries that use it several times."""
+    return rolled_series(canonical(spark, sf), "W", "mean")
+
+
 def event_series(spark: SparkSession, sf: str) -> DataFrame:
     return stamp(table(spark, sf, "events"), "ts", "value", "event_type", "predictive", "events", "events.parquet")
 

@@ -11,7 +11,7 @@ from ..schema import BacktestConfig, PanelConfig
 from ..session import run_folder
 from ..sources import cells, files, links, runs, tables
 from .core import FIRST_ORIGIN, rolling_ctes
-from .inputs import CANONICAL_SQL, R, canonical, rounded, table
+from .inputs import CANONICAL_SQL, R, canonical, rounded, table, weekly_series
 
 MAPPING = {"date_column": "l_shipdate", "geography_column": "l_returnflag",
            "signal_columns": ["l_quantity", "l_discount", "l_linestatus", "no_such_column"]}
@@ -179,12 +179,12 @@ def leading_candidates(spark, sf):
 
 
 def leading(spark, sf):
-    out = forecast.leading_forecast(canonical(spark, sf), 4, cfg=BacktestConfig(lags=(1,)))
+    out = forecast.leading_forecast(weekly_series(spark, sf), 4, cfg=BacktestConfig(lags=(1,)))
     return out.select(*PAIR, "period", "is_forecast", *rounded(("actual", "prediction", "lower", "upper"), 4))
 
 
 def ar(spark, sf):
-    return forecast.ar_forecast(canonical(spark, sf), 4)
+    return forecast.ar_forecast(weekly_series(spark, sf), 4)
 
 
 def strategies(spark, sf):

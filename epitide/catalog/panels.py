@@ -9,7 +9,7 @@ from ..plans import regression
 from ..schema import PanelConfig, SpikeConfig
 from ..sources.tables import SpineSource, build_spine, spine_rows
 from .inputs import (CANONICAL_SQL, R, WEEKLY_SQL, canonical, event_series, lineitem_series, orders_series, pair_sql,
-                     rounded, table)
+                     rounded, table, weekly_series)
 
 
 def weekly(spark, sf):
@@ -17,12 +17,12 @@ def weekly(spark, sf):
 
 
 def lag_panel(spark, sf):
-    panel = features.lag_panel(canonical(spark, sf), PanelConfig(lags=(1, 2, 3, 4)))
+    panel = features.lag_panel(weekly_series(spark, sf), PanelConfig(lags=(1, 2, 3, 4)))
     return panel.select("target_id", "period", "feature", *rounded(("target", "value"), 4))
 
 
 def sparse_features(spark, sf):
-    series = canonical(spark, sf).unionByName(event_series(spark, sf))
+    series = rollup.rolled_series(canonical(spark, sf).unionByName(event_series(spark, sf)))
     cfg = PanelConfig(lags=(1, 2))
     panel = features.target_features(series, cfg, own_lags=True)
     kept = features.dense_features(panel, 0.2)
@@ -31,7 +31,7 @@ def sparse_features(spark, sf):
 
 def ar_panel(spark, sf):
     from ..plans.forecast import ar_rows
-    rows = ar_rows(canonical(spark, sf), PanelConfig(lags=(1, 3)))
+    rows = ar_rows(weekly_series(spark, sf), PanelConfig(lags=(1, 3)))
     return rows.select("target_id", "period", R("target", 4).alias("target"), R(F.col("x")[0], 4).alias("lag1"),
                        R(F.col("x")[1], 4).alias("lag3"), "row_index", "n_rows")
 
@@ -93,7 +93,7 @@ KEYS = ["target_id", "horizon"]
 
 
 def spike_labels(spark, sf):
-    rows = features.spike_rows(canonical(spark, sf), SPIKES)
+    rows = features.spike_rows(weekly_series(spark, sf), SPIKES)
     split = splits.purge_crossing_labels(splits.chronological_split(rows, KEYS, "period", 0.8, 4), KEYS)
     out = features.label_spikes(split, SPIKES)
     return out.select(*KEYS, "period", "split", "future_window_end", "spike", "severity_band", *rounded(

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .frames import distinct_values
+from ..session import stage
+from .frames import distinct_values, replicated, salted
 
 
 def roll_up(series: DataFrame, freq: str = "W", aggregation: str = "mean",
@@ -22,6 +23,23 @@ def roll_up(series: DataFrame, freq: str = "W", aggregation: str = "mean",
             .where(F.col("value").isNotNull()))
 
 
+def rolled_series(series: DataFrame, freq: str = "W", aggregation: str = "mean") -> DataFrame:
+    """The roll-up in canonical form, written once to the shared folder and read back.
+
+    Panels, forecasts and experiments use the rolled-up series several times; from here on they read a table
+    of series x periods instead of scanning the observations again. Rolling it up once more changes nothing.
+    """
+    tags = ["dataset_family", "series_name", "source_file"]
+    # Numbers only in the first aggregate, so it hashes; picking a tag compares text, which would sort every row.
+    parts = (series.where(F.col("date").isNotNull())
+             .groupBy("series_id", "role", *tags, S.period("date", freq).alias("date"))
+             .agg(F.sum("value").alias("_s"), F.count("value").alias("_n")))
+    total = F.sum("_s") if aggregation == "sum" else F.sum("_s") / F.sum("_n")
+    rolled = (parts.where(F.col("_n") > 0).groupBy("series_id", "role", "date")
+              .agg(total.alias("value"), F.min(F.struct(*tags)).alias("m")))
+    return stage(rolled.select("date", "value", "series_id", "role", "m.*"), "rolled")
+
+
 def wide_panel(rolled: DataFrame, ids: Sequence[str] | None = None, max_columns: int = 2000) -> DataFrame:
     """One row per period, one column per series. Keep tables long until here."""
     ids = list(ids) if ids is not None else distinct_values(rolled, "series_id", max_columns)
@@ -35,25 +53,30 @@ def period_grid(rolled: DataFrame, series: DataFrame | None = None, salts: int =
     salted by series, so no single task builds it.
     """
     ids = (series if series is not None else rolled).select("series_id", "role").distinct()
-    from .frames import replicated, salted
     periods = replicated(rolled.select("period").distinct(), salts)
     grid = salted(ids, "series_id", salts).join(periods, "_salt").drop("_salt")
     return grid.join(rolled.select("series_id", "role", "period", "value"), ["series_id", "role", "period"], "left")
 
 
 def series_catalogue(series: DataFrame) -> DataFrame:
-    """One row per series: role, family, name, non-missing observations and date span."""
-    return series.groupBy("series_id").agg(
+    """One row per series: role, family, name, non-missing observations and date span.
+
+    Counted per distinct set of tags first (a hash aggregate of numbers and dates), then reduced per series.
+    """
+    tagged = series.groupBy("series_id", "role", "dataset_family", "series_name").agg(
+        F.count("value").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+    return tagged.groupBy("series_id").agg(
         F.min("role").alias("role"), F.min("dataset_family").alias("dataset_family"),
-        F.min("series_name").alias("series_name"), F.count("value").alias("n_obs"),
-        F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+        F.min("series_name").alias("series_name"), F.sum("n").alias("n_obs"),
+        F.min("lo").alias("date_min"), F.max("hi").alias("date_max"))
 
 
 def series_metadata(series: DataFrame) -> DataFrame:
     """One metadata row per (series_id, role), picked by order of the values and not by arrival."""
+    tags = series.select("series_id", "role", "dataset_family", "series_name", "source_file").where(
+        F.col("series_id").isNotNull()).distinct()
     first = F.min(F.struct("dataset_family", "series_name", "source_file"))
-    return (series.where(F.col("series_id").isNotNull()).groupBy("series_id", "role").agg(first.alias("m"))
-            .select("series_id", "role", "m.dataset_family", "m.series_name", "m.source_file"))
+    return tags.groupBy("series_id", "role").agg(first.alias("m")).select("series_id", "role", "m.*")
 
 
 def series_summary(series: DataFrame) -> DataFrame:

@@ -38,22 +38,21 @@ def duration_weight(hours: Column) -> Column:
             .when(hours < SHORT[0], SHORT[1]).otherwise(0.0))
 
 
-def factor_map() -> Column:
+def factor_columns() -> dict[str, Column]:
     """Each factor's contribution to the log amplification, in a fixed order."""
-    entries = [F.lit("indoor"), F.when(F.col("indoor"), INDOOR).otherwise(OUTDOOR)]
+    out = {"indoor": F.when(F.col("indoor"), INDOOR).otherwise(OUTDOOR)}
     for kind in LEVEL_WEIGHTS:
-        entries += [F.lit(kind), level_weight(kind, F.col(f"{kind}_level"))]
-    entries += [F.lit("duration"), duration_weight(F.col("duration_hours"))]
-    return F.create_map(*entries)
+        out[kind] = level_weight(kind, F.col(f"{kind}_level"))
+    out["duration"] = duration_weight(F.col("duration_hours"))
+    return out
 
 
-def names_by_weight(factors: Column, positive: bool, size: int, fallback: str) -> Column:
+def names_by_weight(weights: dict[str, Column], positive: bool, size: int, fallback: str) -> Column:
     """Names of the strongest factors of one sign, strongest first; ties keep the factors' order."""
-    entries = F.map_entries(factors)
-    numbered = F.transform(entries, lambda e, i: F.struct(
-        (-F.abs(e["value"])).alias("k"), i.alias("i"), e["key"].alias("name"), e["value"].alias("w")))
-    chosen = F.filter(numbered, lambda e: (e["w"] > 0) if positive else (e["w"] < 0))
-    names = F.transform(F.slice(F.array_sort(chosen), 1, size), lambda e: F.replace(e["name"], F.lit("_"), F.lit(" ")))
+    entries = [F.when((w > 0) if positive else (w < 0), F.struct((-F.abs(w)).alias("k"), F.lit(i).alias("i"),
+                                                                F.lit(name.replace("_", " ")).alias("name")))
+               for i, (name, w) in enumerate(weights.items())]
+    names = F.slice(F.sort_array(F.array_compact(F.array(*entries))), 1, size)["name"]
     return F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise(fallback)
 
 
@@ -64,9 +63,14 @@ def high_quantile(mean: Column, z: float = Z_99) -> Column:
 
 def amplification(events: DataFrame) -> DataFrame:
     """Adds factors, log amplification, TAF, expected infectious attendees, threshold and explanation."""
-    factors = F.col("factors")
-    score = F.aggregate(F.map_values(factors), F.lit(0.0), lambda acc, v: acc + v)
-    scored = (events.withColumn("factors", factor_map()).withColumn("log_amplification", score)
+    named = factor_columns()
+    weighed = events.select("*", *[w.alias(f"_w_{name}") for name, w in named.items()])
+    weights = {name: F.col(f"_w_{name}") for name in named}
+    score = F.lit(0.0)
+    for w in weights.values():
+        score = score + w
+    factors = F.create_map(*[x for name, w in weights.items() for x in (F.lit(name), w)])
+    scored = (weighed.withColumn("factors", factors).withColumn("log_amplification", score)
               .withColumn("taf", F.least(F.exp("log_amplification"), F.lit(TAF_CAP)))
               .withColumn("expected_infectious_attendees",
                           F.col("attendance") * F.col("prevalence") * F.col("attendance_probability_if_infectious"))
@@ -75,9 +79,9 @@ def amplification(events: DataFrame) -> DataFrame:
     text = F.format_string(
         "TAF is %.2f. Main amplifying factors: %s. Main reducing factors: %s. Context uses prevalence=%.4f, "
         "R_t=%.2f, dispersion k=%.2f.", F.col("taf"),
-        names_by_weight(factors, True, 3, "baseline event conditions"), names_by_weight(factors, False, 2, "none"),
+        names_by_weight(weights, True, 3, "baseline event conditions"), names_by_weight(weights, False, 2, "none"),
         F.col("prevalence"), F.col("reproduction_number"), F.col("dispersion_k"))
-    return scored.withColumn("explanation", text)
+    return scored.withColumn("explanation", text).drop(*[f"_w_{name}" for name in named])
 
 
 def validated(events: DataFrame) -> DataFrame:
@@ -97,6 +101,8 @@ def validated(events: DataFrame) -> DataFrame:
 
 
 def _sampler(n_sim: int, seed: int):
+    steps, places = np.arange(n_sim), np.array((0.05, 0.5, 0.95)) * (n_sim - 1)
+
     def draw(batches):
         for pdf in batches:
             stats = []
@@ -110,7 +116,9 @@ def _sampler(n_sim: int, seed: int):
                     # n independent NB(k, p) offspring counts add up to one NB(n k, p)
                     totals[some] = rng.negative_binomial(infectious[some] * e.dispersion_k,
                                                          e.dispersion_k / (e.dispersion_k + mean))
-                stats.append((totals.mean(), (totals > e.threshold).mean(), *np.quantile(totals, (0.05, 0.5, 0.95))))
+                totals.sort()
+                beyond = 1.0 - np.searchsorted(totals, e.threshold, side="right") / n_sim
+                stats.append((totals.mean(), beyond, *np.interp(places, steps, totals)))
             out = pdf[["event_id"]].copy()
             out[["expected", "p_sse", "p05", "p50", "p95"]] = pd.DataFrame(stats, index=out.index, columns=range(5))
             yield out

@@ -11,8 +11,9 @@ from ..functions.scalars import step_period
 from ..operators.frames import ordered, positive_lags
 from ..operators.metrics import ensemble_summary
 from ..operators.pairs import PAIR, SALTS, fit_inputs, fit_line, lag_columns, line_at, meet, sides
-from ..operators.rollup import period_grid, roll_up
+from ..operators.rollup import period_grid, roll_up, rolled_series
 from ..schema import BacktestConfig, PanelConfig
+from ..session import stage
 from .backtest import pair_predictions
 
 OUTPUT = ["period", "actual", "prediction", "lower", "upper", "is_forecast"]
@@ -169,10 +170,11 @@ def forecast_targets(series: DataFrame, requests: DataFrame, horizon: int, cfg:
                      level: float = 0.80, replicates: int = 25, seed: int = 42) -> DataFrame:
     """Forecasts for requests (target_id, predictor_id or NULL): the leading indicator where it works, else the
     target's own history, with the strategy and the reason for falling back."""
+    series = rolled_series(series, cfg.freq, cfg.aggregation)
     wanted = requests.select("target_id", "predictor_id")
     asked = wanted.where(F.col("predictor_id").isNotNull())
     back = BacktestConfig(freq=cfg.freq, lags=cfg.lags, aggregation=cfg.aggregation)
-    led = leading_forecast(series, horizon, asked, back, level)
+    led = stage(leading_forecast(series, horizon, asked, back, level), "leading")  # read three times below
     worked = led.where("is_forecast").select(*PAIR).distinct().withColumn("_ok", F.lit(True))
     plan = wanted.join(worked, PAIR, "left")
     fallback = plan.where(F.col("_ok").isNull()).select("target_id", F.col("predictor_id").alias("requested_predictor_id"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import dense_features, impute_and_scale, pack, target_features
 from ..operators.frames import distinct_values
+from ..operators.rollup import rolled_series
 from ..operators.metrics import regression_metrics
 from ..operators.splits import chronological_split
 from ..schema import PanelConfig
@@ -60,7 +61,7 @@ def model_rows(series: DataFrame, cfg: PanelConfig = PanelConfig(), train_fracti
     """(target_id, period, target, split, fold, x, features) of all targets: split first, then scaled by training rows."""
     if predictors is not None:
         series = series.where((F.col("role") == "predicted") | F.col("series_id").isin(list(predictors)))
-    panel = dense_features(target_features(series, cfg), cfg.min_coverage)
+    panel = dense_features(target_features(rolled_series(series, cfg.freq, cfg.aggregation), cfg), cfg.min_coverage)
     if targets is not None:
         panel = panel.where(F.col("target_id").isin(list(targets)))
     periods = panel.select("target_id", "period").distinct()

@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..functions.numeric import ridge_cv
 from ..operators import features as X
 from ..operators.metrics import classification_metrics, ensemble_summary, interval_metrics
-from ..operators.rollup import period_grid, roll_up
+from ..operators.rollup import period_grid, roll_up, rolled_series
 from ..operators.splits import chronological_split, purge_crossing_labels
 from ..schema import SpikeConfig
 from ..session import run_folder, stage
@@ -115,6 +115,7 @@ def spike_probabilities(inputs: DataFrame, gate: DataFrame, cfg: SpikeConfig = S
 def spike_experiment(series: DataFrame, cfg: SpikeConfig = SpikeConfig(), seed: int = 42,
                      targets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, predictions) over all targets and horizons; keys with too few rows are skipped rows."""
+    series = rolled_series(series, cfg.freq, cfg.aggregation)
     labels = labelled(series, cfg)
     if targets is not None:
         labels = labels.where(F.col("target_id").isin(list(targets)))
