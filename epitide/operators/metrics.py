@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite
-
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str = "actual", prediction: str = "prediction",
                        baseline: str | None = "baseline_prediction", skill: str = "mse_skill",
@@ -22,7 +20,8 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str = "actual
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.max(F.abs(err)).alias("max_abs_error"),
         F.when(total > 0, 1 - F.sum(err * err) / total).alias("r2"),
-        F.when((F.var_pop(a) > 0) & (F.var_pop(p) > 0), finite(F.corr(a, p))).alias("correlation"),
+        F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(p) > 0),
+               F.covar_pop(a, p) / (F.stddev_pop(a) * F.stddev_pop(p))).alias("correlation"),  # corr() fails on constants
     ]
     if baseline:
         base = a - F.col(baseline)

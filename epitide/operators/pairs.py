@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ridge_from_sums
-from ..functions.scalars import finite
 from .frames import ordered, replicated, salted
 from .rollup import roll_up, series_metadata
 
@@ -73,7 +72,7 @@ def pair_grid(series: DataFrame, salts: int = SALTS) -> DataFrame:
 def fit_inputs(xs: Sequence[Column], y: Column, over=None, where: Column | None = None) -> Column:
     """What a linear fit needs to know about its rows, as an aggregate or, with a window, as running values.
 
-    One column: mean, deviation and correlation. Several: sums of products (centre the columns first).
+    One column: means, deviations and covariance (corr() itself fails on a constant column). Several: sums of products (centre the columns first).
     where selects the rows that count.
     """
     def chosen(c: Column) -> Column:
@@ -89,7 +88,7 @@ def fit_inputs(xs: Sequence[Column], y: Column, over=None, where: Column | None
         return F.struct(
             n, done(F.avg(chosen(x))).alias("mx"), done(F.avg(chosen(y))).alias("my"),
             done(F.stddev_samp(chosen(x))).alias("sx"), done(F.stddev_samp(chosen(y))).alias("sy"),
-            done(F.corr(chosen(x), chosen(y))).alias("r"))
+            done(F.covar_samp(chosen(x), chosen(y))).alias("cxy"))
     return F.struct(
         n, F.array(*[done(F.sum(chosen(x))) for x in xs]).alias("sx"), done(F.sum(chosen(y))).alias("sy"),
         F.array(*[done(F.sum(chosen(a * b))) for i, a in enumerate(xs) for b in xs[i:]]).alias("sxx"),
@@ -104,7 +103,7 @@ def fit_line(inputs: Column, k: int, alpha: float, x_scale: str = "sample", scal
     if k > 1:
         return ridge_from_sums(alpha, x_scale, scale_y)(inputs)
     n, sx, sy = inputs["n"], inputs["sx"], F.coalesce(inputs["sy"], F.lit(0.0))
-    r = F.when((sx > 0) & (sy > 0), finite(inputs["r"])).otherwise(0.0)
+    r = F.when((sx > 0) & (sy > 0), inputs["cxy"] / (sx * sy)).otherwise(0.0)
     weight = (n - 1) if x_scale == "sample" else n
     share = F.when(weight + alpha > 0, weight / (weight + alpha)).otherwise(0.0)
     slope = F.when(sx > 0, r * sy / sx * share).otherwise(0.0)
