@@ -36,8 +36,8 @@ def separator_of(spark: SparkSession, path: str, lines: int = 20) -> str:
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line cannot be decoded as such (the replacement character shows), then Latin-1."""
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
+    """UTF-8 unless some line is not valid UTF-8, then Latin-1. Reads the file; give the encoding to skip this."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if broken else "UTF-8"
 
 
