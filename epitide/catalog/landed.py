@@ -28,13 +28,19 @@ def unpivot(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), R(F.sum("value"), 2).alias("total"), F.min("date").alias("first_date"))
 
 
+def merged(left, right, key):
+    """Columns of two summaries with one row per key, side by side."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.groupBy(key).agg(*[F.max(c).alias(c) for c in both.columns if c != key])
+
+
 def ingest_stats(spark, sf):
     raw, signals = line_signals(spark, sf)
     stats = runs.ingest_stats(signals)
     missing = runs.missing_fraction(raw, ["l_quantity", "l_discount"]).withColumn("source", F.lit("shipping"))
     from ..functions import scalars as S
     f = F.col("missing_value_fraction")
-    return stats.join(missing, "source").select(
+    return merged(stats, missing, "source").select(
         "source", "rows", "signal_count", "date_min", "date_max", R("missing_value_fraction", 6).alias("missing_value_fraction"),
         S.missing_status(f).alias("validation_status"), runs.summary_text(F.col("source")).alias("summary"))
 
@@ -232,7 +238,7 @@ def ingestion_run(spark, sf):
         F.col("feature_set").alias("source"), "run_id", "rows", "columns", "date_min", "date_max", "validation_status", "validation_notes")
     series = reshape.signal_series(runs.read_signals(spark, root, latest_only=True)).groupBy("role").agg(
         F.countDistinct("series_id").alias("n_series"), F.count(F.lit(1)).alias("n_observations"))
-    return newest.join(series.withColumn("source", F.lit("web")), "source")
+    return merged(newest, series.withColumn("source", F.lit("web")), "source")
 
 
 QUERIES = {

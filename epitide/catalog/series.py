@@ -135,7 +135,7 @@ def correlation(spark, sf):
 def custom(spark, sf):
     docs = table(spark, sf, "events").select(F.col("ts").cast("string").alias("when"), F.get_json_object("props", "$.k").alias("cases"))
     new = clean.custom_series(docs, "when", "cases", "custom::k", "Custom k", "predictive", "events.parquet")
-    return rollup.upsert(orders_series(spark, sf), new).groupBy("series_id", "role", "dataset_family").agg(
+    return rollup.upsert(orders_series(spark, sf), new, ["custom::k"]).groupBy("series_id", "role", "dataset_family").agg(
         F.count(F.lit(1)).alias("n_rows"), R(F.sum("value"), 2).alias("total"), F.max("date").alias("last_date"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .frames import replicated, salted
 
 PRODUCTS = ("n", "sa", "sb", "saa", "sbb", "sab")
@@ -47,16 +48,16 @@ def correlation_long(rolled: DataFrame, block: int = 64, span: int = 256, salts:
     sizes = ids.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
     starts = sizes.withColumn("_start", F.sum("_c").over(
         Window.partitionBy(F.lit(0)).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))).select("_h", F.coalesce("_start", F.lit(0)).alias("_start"))
-    numbered = ids.withColumn("_k", F.row_number().over(w) - 1).join(starts, "_h").select(
-        "series_id", (F.col("_k") + F.col("_start")).alias("_i"))
+    numbered = stage(ids.withColumn("_k", F.row_number().over(w) - 1).join(starts, "_h").select(
+        "series_id", (F.col("_k") + F.col("_start")).alias("_i")), "series-numbers")
     mean = rolled.groupBy("series_id").agg(F.avg("value").alias("_mean"))
     day = F.datediff("period", F.lit("1970-01-01").cast("date"))
     cells = (rolled.join(numbered, "series_id").join(mean, "series_id")
              .select(F.floor(F.col("_i") / block).alias("r"), (F.col("_i") % block).cast("int").alias("c"),
                      F.floor(day / span).alias("q"), F.pmod(day, F.lit(span)).cast("int").alias("t"),
                      (F.col("value") - F.col("_mean")).alias("v")))
-    packed = cells.groupBy("r", "q").agg(
-        F.collect_list("t").alias("t"), F.collect_list("c").alias("c"), F.collect_list("v").alias("v"))
+    packed = stage(cells.groupBy("r", "q").agg(
+        F.collect_list("t").alias("t"), F.collect_list("c").alias("c"), F.collect_list("v").alias("v")), "series-blocks")
     a = packed.select(F.col("r").alias("ra"), "q", F.col("t").alias("ta"), F.col("c").alias("ca"), F.col("v").alias("va"))
     b = packed.select(F.col("r").alias("rb"), "q", F.col("t").alias("tb"), F.col("c").alias("cb"), F.col("v").alias("vb"))
     met = salted(a, "ra", salts).join(replicated(b, salts), ["q", "_salt"]).where(F.col("ra") <= F.col("rb")).select(

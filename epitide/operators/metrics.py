@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str = "actual", prediction: str = "prediction",
                        baseline: str | None = "baseline_prediction", skill: str = "mse_skill",
-                       extra: Sequence[Column] = ()) -> DataFrame:
-    """MAE, RMSE, R2, correlation and, with a baseline, its RMSE and the skill against it."""
+                       extra: Sequence[Column] = (), where: Column | None = None) -> DataFrame:
+    """MAE, RMSE, R2, correlation and, with a baseline, its RMSE and the skill against it.
+
+    where restricts the metrics to some rows, so that extra aggregates over all rows come from the same pass.
+    """
     a, p = F.col(actual), F.col(prediction)
+    if where is not None:
+        a, p = F.when(where, a), F.when(where, p)
     err = a - p
     total = F.var_pop(a) * F.count(a)
     aggs = [
-        F.count(F.lit(1)).alias("n_predictions"),
+        (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("n_predictions"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.max(F.abs(err)).alias("max_abs_error"),

@@ -105,8 +105,10 @@ def enough_observations(series: DataFrame, minimum: int, key: str = "series_id")
     return series.join(keep, key, "left_semi")
 
 
-def upsert(series: DataFrame, new: DataFrame) -> DataFrame:
-    """Add series, replacing the ones whose id is already there."""
+def upsert(series: DataFrame, new: DataFrame, known_ids: Sequence[str] | None = None) -> DataFrame:
+    """Add series, replacing the ones whose id is already there. A few ids known beforehand become a filter."""
+    if known_ids is not None:
+        return series.where(~F.col("series_id").isin(list(known_ids))).unionByName(new)
     ids = new.select("series_id").distinct()
     return series.join(ids, "series_id", "left_anti").unionByName(new)
 

@@ -61,18 +61,22 @@ def leading_forecast(series: DataFrame, horizon: int, requests: DataFrame | None
         series = requested_pairs(series, requests)
     x, y = sides(series, cfg.freq, cfg.aggregation)
     x = x.select("predictor_id", "period", *lag_columns("x", lags, ordered(["predictor_id"], ["period"])))
-    paired = meet(x, y).dropna(subset=["y", *names])
+    joined = meet(x, y)
     if requests is not None:
-        wanted = requests.select(*PAIR).distinct()
-        paired = paired.join(wanted, PAIR, "left_semi")
-    origin = paired.groupBy("target_id").agg(F.min_by("y", "period").alias("_y0"))
+        joined = joined.join(requests.select(*PAIR).distinct(), PAIR, "left_semi")
+    full = F.col(names[0]).isNotNull()
+    for n in names[1:]:
+        full = full & F.col(n).isNotNull()
+    origin = joined.groupBy("target_id").agg(F.min_by("y", "period").alias("_y0"))
     x0 = x.groupBy("predictor_id").agg(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.col("period"))).alias(f"_0{n}") for n in names])
-    centred = paired.join(origin, "target_id").join(x0, "predictor_id")
+    centred = joined.join(origin, "target_id").join(x0, "predictor_id")
     cx = [F.col(n) - F.col(f"_0{n}") for n in names]
     fits = centred.groupBy(*PAIR, "_y0", *[f"_0{n}" for n in names]).agg(
-        fit_inputs(cx, F.col("y") - F.col("_y0")).alias("_sums"), F.count(F.lit(1)).alias("n_paired"))
+        fit_inputs(cx, F.col("y") - F.col("_y0"), where=full).alias("_sums"), F.count_if(full).alias("n_paired"),
+        F.count(F.lit(1)).alias("n_joined"))
+    # The backtest lags after the join, which costs a pair its first max(lags) rows: it needs that many more.
     enough = max(3, cfg.min_train_size + 1)
-    fits = fits.where(F.col("n_paired") >= enough).withColumn(
+    fits = fits.where((F.col("n_paired") >= enough) & (F.col("n_joined") - max(lags) >= enough)).withColumn(
         "_fit", fit_line(F.col("_sums"), len(lags), cfg.alpha, cfg.x_scale, cfg.scale_y)).drop("_sums")
     ends = y.groupBy("target_id").agg(F.max("period").alias("target_end"))
     ahead = future_rows(x, fits.select(*PAIR).join(ends, "target_id"), names, horizon)
@@ -82,14 +86,11 @@ def leading_forecast(series: DataFrame, horizon: int, requests: DataFrame | None
         *PAIR, "period", F.lit(None).cast("double").alias("actual"), value.alias("prediction"),
         (value - F.lit(z) * F.col("_fit.sigma")).alias("lower"), (value + F.lit(z) * F.col("_fit.sigma")).alias("upper"),
         F.lit(True).alias("is_forecast"))
-    past = pair_predictions(series, cfg, spikes=False)
-    tested = past.select(*PAIR).distinct()
-    out = out.join(tested, PAIR, "left_semi")
     if not history:
         return out
-    forecast = out.select(*PAIR).distinct()
+    out = stage(out, "leading")  # a few rows per pair, read twice
     missing = F.lit(None).cast("double")
-    past = past.join(forecast, PAIR, "left_semi").select(
+    past = pair_predictions(series, cfg, spikes=False).join(out.select(*PAIR).distinct(), PAIR, "left_semi").select(
         *PAIR, "period", "actual", "prediction", missing.alias("lower"), missing.alias("upper"), F.lit(False).alias("is_forecast"))
     return past.unionByName(out)
 

@@ -37,15 +37,15 @@ def pair_fits(series: DataFrame, freq: str = "W", lags: Sequence[int] = (0, 1, 2
 
 def pair_scores(rows: DataFrame, freq: str, lags: Sequence[int]) -> DataFrame:
     """Held-out metrics per pair on the training z scale; the baseline is the training mean, zero."""
-    spans = rows.groupBy(*PAIR).agg(
+    spans = [
         F.max("n_rows").alias("n_complete"), F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
         *[f(F.when(F.col("split") == s, F.col("period"))).alias(f"{s}_{end}")
-          for s in ("train", "test") for end, f in (("start", F.min), ("end", F.max))])
-    test = rows.where(F.col("split") == "test").withColumn("_zero", F.lit(0.0))
-    scores = regression_metrics(test, PAIR, "y_z", "prediction", "_zero", "mse_skill_vs_train_mean").drop(
+          for s in ("train", "test") for end, f in (("start", F.min), ("end", F.max))]]
+    scores = regression_metrics(rows.withColumn("_zero", F.lit(0.0)), PAIR, "y_z", "prediction", "_zero",
+                                "mse_skill_vs_train_mean", spans, F.col("split") == "test").drop(
         "n_predictions", "max_abs_error", "mean_abs_baseline_error")
-    return spans.join(scores, PAIR).withColumn("freq", F.lit(freq)).withColumn("lags", F.lit(lag_text(lags)))
+    return scores.withColumn("freq", F.lit(freq)).withColumn("lags", F.lit(lag_text(lags)))
 
 
 def pairwise_matrix(series: DataFrame, freq: str = "W", lags: Sequence[int] = (0, 1, 2, 3, 4),

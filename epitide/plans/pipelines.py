@@ -145,7 +145,7 @@ def register_custom(series: DataFrame | None, table: DataFrame, date: str, value
     new = clean.custom_series(table, date, value, series_id, name, role, source_file)
     if new.isEmpty():
         raise ValueError("no valid date and value rows in the chosen columns")
-    return new if series is None else rollup.upsert(series, new)
+    return new if series is None else rollup.upsert(series, new, [series_id])
 
 
 def export_panel(df: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ from ..operators.features import month_dummies
 from ..operators.frames import ordered, replicated, salted
 from ..operators.metrics import regression_metrics
 from ..operators.splits import chronological_split
+from ..session import stage
 
 MODEL = "model_key"
 
@@ -121,6 +122,11 @@ def sandwich_errors(inverse: pd.Series, meat: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def one_model(order: str):
+    """Key of the only model. Not a literal, so joins on it stay equi-joins."""
+    return F.when(F.col(order).isNotNull(), F.lit("all"))
+
+
 def design(df: DataFrame, predictors: Sequence[str], extra: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Adds x = [1, predictors, extra]; rows with a missing predictor are dropped."""
     names = [*predictors, *extra]
@@ -157,12 +163,13 @@ def fit_hac(df: DataFrame, y: str, predictors: Sequence[str], maxlags: int, orde
     """
     whole = df.dropna(subset=[y, *predictors])
     if not keys:
-        whole, keys = whole.withColumn(MODEL, F.lit("all")), [MODEL]
+        whole, keys = whole.withColumn(MODEL, one_model(order)), [MODEL]
     keys = list(keys)
     dummies: list[str] = []
     if seasonal:
         whole, dummies = month_dummies(whole, order)
     rows, terms = design(whole, predictors, dummies)
+    rows = stage(rows.select(*keys, order, y, "x"), "design")  # read by the fit, the residuals and their products
     fits = least_squares(rows, keys, y)
     scored = rows.join(fits, keys)
     resid = F.col(y) - dot(F.col("beta"), F.col("x"))
@@ -190,7 +197,7 @@ def fit_train_test(df: DataFrame, y: str, predictors: Sequence[str], train_fract
     """
     whole = df.dropna(subset=[y, *predictors])
     if not keys:
-        whole, keys = whole.withColumn(MODEL, F.lit("all")), [MODEL]
+        whole, keys = whole.withColumn(MODEL, one_model(order)), [MODEL]
     keys = list(keys)
     split = chronological_split(whole, keys, order, train_fraction, min_test).where(F.col("split").isNotNull())
     extra: list[str] = []
