@@ -29,6 +29,13 @@ def matrix(cfg):
     return lambda spark, sf: backtest.backtest_matrix(weekly_series(spark, sf), cfg)
 
 
+def log_scale(spark, sf):
+    from dataclasses import replace
+    rows = backtest.pair_predictions(backtest.log_series(canonical(spark, sf)), replace(backtest.LOG_SCALE, lags=(1,)))
+    return rows.select(*PAIR, "period", "n_train", "train_end", *rounded(
+        ("actual", "prediction", "sigma", "baseline_prediction", "spike_threshold"), 6), R("spike_score", 4).alias("spike_score"), "actual_spike")
+
+
 METRICS = ["mae", "rmse", "max_abs_error", "mean_abs_baseline_error", "baseline_rmse",
            "mse_skill_vs_rolling_train_mean", "r2", "correlation"]
 
@@ -87,6 +94,7 @@ QUERIES = {
     "rolling_ridge_lag1": rolling(ONE_LAG),
     "rolling_ridge_lag1_2": rolling(TWO_LAGS),
     "rolling_ridge": rolling(FOUR_LAGS),
+    "rolling_ridge_log_scale": log_scale,
     "rolling_ridge_metrics": rolling_metrics,
     "rolling_ridge_matrix": matrix(FOUR_LAGS),
     "pair_leaderboard": leaderboard,
@@ -148,6 +156,20 @@ walk AS (
 )"""
 
 
+def log_scale_sql():
+    """The one-lag walk on log1p values: population scale, outcome unscaled, from the 21st complete row."""
+    sql = rolling_ctes((1,))
+    for old, new in (
+        ("period, avg(value) AS value\n", "period, ln(1 + greatest(CASE WHEN max(role) = 'predicted' THEN sum(value) ELSE avg(value) END, 0)) AS value\n"),
+        ("(n_train - 1) * r0 / ((n_train - 1) + 1.0) AS b0", "n_train * r0 / (n_train + 1.0) AS b0"),
+        ("n_complete >= 13", "n_complete >= 21"), (FIRST_ORIGIN, "least(20, n_complete - 1)")):
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql + """
+SELECT predictor_id, target_id, period, n_train, train_end, rnd(y, 6) AS actual, rnd(prediction, 6) AS prediction, rnd(sigma, 6) AS sigma,
+       rnd(baseline, 6) AS baseline_prediction, rnd(threshold, 6) AS spike_threshold, rnd(score, 4) AS spike_score, hit AS actual_spike FROM final"""
+
+
 def rolling_sql(lags):
     return rolling_ctes(lags) + """
 SELECT predictor_id, target_id, period, n_complete, n_train, train_start, train_end, rnd(y, 4) AS actual,
@@ -217,6 +239,7 @@ FROM fitted"""
 ORACLES = {
     "rolling_ridge_lag1": rolling_sql((1,)),
     "rolling_ridge_lag1_2": rolling_sql((1, 2)),
+    "rolling_ridge_log_scale": log_scale_sql(),
     "rolling_ridge_metrics": rolling_ctes((1,)) + METRICS_CTE + """
 SELECT predictor_id, target_id, split_part(predictor_id, '::', 1) AS predictor_family,
        split_part(predictor_id, '::', 2) AS predictor_name, split_part(target_id, '::', 1) AS target_family,

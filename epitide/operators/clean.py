@@ -105,6 +105,21 @@ def quality_report(raw: DataFrame, keys: Sequence[str], date: Column, value: Col
         F.count_if(good & (F.col("_v") == 0)).alias("zero_values"))
 
 
+def national_rows(df: DataFrame, country: str, pathogen: str, source_file: str, date: str = "sevendayending",
+                  value: str = "wastewaterrna") -> DataFrame:
+    """National table with compact dates: date, value, constants and week; rows without a date or number are dropped."""
+    table = normalise_headers(df)
+    missing = {date, value} - set(table.columns)
+    if missing:
+        raise ValueError(f"columns not found: {sorted(missing)}; available: {table.columns}")
+    number = S.to_number(value) if dict(table.dtypes)[value] == "string" else S.finite(F.col(value).cast("double"))
+    code = F.col("country").cast("string") if "country" in table.columns else F.lit(None).cast("string")
+    return table.select(
+        S.from_yyyymmdd(date).alias("date"), number.alias("value"), F.lit(country).alias("country"),
+        code.alias("country_code"), F.lit(pathogen).alias("pathogen"), F.lit(source_file).alias("source_file"),
+    ).dropna(subset=["date", "value"]).withColumn("week", S.period("date", "W"))
+
+
 def custom_series(df: DataFrame, date: str, value: str, series_id: str, series_name: str, role: str,
                   source_file: str = "uploaded", family: str = "custom") -> DataFrame:
     """Canonical rows from two columns of any table; rows without a date or number are dropped."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.numeric import normal_sf
 from ..operators.frames import lag_text, ordered, positive_lags
 from ..operators.metrics import regression_metrics
@@ -17,6 +18,18 @@ from ..schema import BacktestConfig
 
 MODEL = "ridge_expanding_origin"
 
+# The log-scale variant: columns scaled by population deviation, outcome not scaled, from the 21st row on.
+LOG_SCALE = BacktestConfig(initial_train_fraction=0.0, min_train_size=20, x_scale="population", scale_y=False)
+
+
+def log_series(series: DataFrame, freq: str = "W") -> DataFrame:
+    """log1p of the period means of predictors and the period sums of outcomes, in canonical form."""
+    rolled = series.groupBy("series_id", "role", "dataset_family", "series_name", "source_file",
+                            S.period("date", freq).alias("date")).agg(
+        F.avg("value").alias("_mean"), F.sum("value").alias("_sum"))
+    value = S.log1p_clipped(F.when(F.col("role") == "predicted", F.col("_sum")).otherwise(F.col("_mean")))
+    return rolled.withColumn("value", value).drop("_mean", "_sum").dropna(subset=["date", "value"])
+
 
 def origin_fits(frame: DataFrame, keys: list[str], xs: list[str], y: str, cfg: BacktestConfig) -> DataFrame:
     """Predictions of every period from the rows strictly before it, for each key.

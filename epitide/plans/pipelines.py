@@ -78,7 +78,8 @@ def all_series(spark: SparkSession, landing: Landing, external: bool = True) ->
         cases = cases.withColumn("_place", F.lit(landing.case_location))
         parts.append(two_role_series(cases, "date", "_place", CASE_ROLES, "owid_covid", landing.cases))
     if external and exists(spark, landing.at(landing.weather)):
-        parts.append(cells.weather_series(cells.read_rows(spark, landing.at(landing.weather), "open_meteo_*.csv")))
+        parts.append(cells.weather_series(cells.read_rows(
+            spark, landing.at(landing.weather), "open_meteo_*.csv", header_marks=("time", "date"))))
     return _union(spark, parts)
 
 

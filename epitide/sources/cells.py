@@ -32,8 +32,11 @@ def _text(raw: bytes) -> str:
         return raw.decode("latin-1")
 
 
-def _records(name: str, raw: bytes):
-    """(header, rows) of one table file, values as text or None."""
+def _records(name: str, raw: bytes, marks: Sequence[str] = ()):
+    """(header, rows) of one table file, values as text or None.
+
+    With marks, a few lines about the file may come first: the header is the first line with a marked column.
+    """
     if name.lower().endswith(".json"):
         data = json.loads(_text(raw))
         data = data if isinstance(data, list) else [data]
@@ -48,13 +51,18 @@ def _records(name: str, raw: bytes):
             sep = ";" if text[:8192].count(";") > text[:8192].count(",") else ","
     lines = csv.reader(io.StringIO(text), delimiter=sep)
     header = next(lines)
+    if marks and not set(marks) & set(header):
+        for _, candidate in zip(range(5), lines):
+            if set(marks) & set(candidate):
+                header = candidate
+                break
     width = len(header)
     return header, ([c if c != "" else None for c in r[:width]] + [None] * (width - len(r)) for r in lines if r)
 
 
-def _frames(path: str, member: str, raw: bytes):
+def _frames(path: str, member: str, raw: bytes, marks: Sequence[str]):
     try:
-        header, rows = _records(member or path, raw)
+        header, rows = _records(member or path, raw, marks)
         batch = []
         for i, cells in enumerate(rows):
             batch.append((path, member, i, header, cells, None))
@@ -69,27 +77,33 @@ def _frames(path: str, member: str, raw: bytes):
 ROWS_NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 
-def _decode(batches):
-    for pdf in batches:
-        for path, raw in zip(pdf["path"], pdf["content"]):
-            if not path.lower().endswith(".zip"):
-                yield from _frames(path, "", raw)
-                continue
-            try:
-                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-                    for name in archive.namelist():
-                        if name.lower().endswith((".csv", ".tsv", ".json")):
-                            yield from _frames(path, name, archive.read(name))
-            except zipfile.BadZipFile as exc:
-                yield pd.DataFrame([(path, "", -1, None, None, repr(exc)[:500])], columns=ROWS_NAMES)
-
-
-def read_rows(spark: SparkSession, root: str, pattern: str = "*", suffixes: Sequence[str] = TABLE_SUFFIXES) -> DataFrame:
-    """(path, member, row_no, header, cells, error) of every table file under root; headers are normalised."""
+def _decode(marks: Sequence[str]):
+    def decode(batches):
+        for pdf in batches:
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                if not path.lower().endswith(".zip"):
+                    yield from _frames(path, "", raw, marks)
+                    continue
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+                        for name in archive.namelist():
+                            if name.lower().endswith((".csv", ".tsv", ".json")):
+                                yield from _frames(path, name, archive.read(name), marks)
+                except zipfile.BadZipFile as exc:
+                    yield pd.DataFrame([(path, "", -1, None, None, repr(exc)[:500])], columns=ROWS_NAMES)
+    return decode
+
+
+def read_rows(spark: SparkSession, root: str, pattern: str = "*", suffixes: Sequence[str] = TABLE_SUFFIXES,
+              header_marks: Sequence[str] = ()) -> DataFrame:
+    """(path, member, row_no, header, cells, error) of every table file under root; headers are normalised.
+
+    header_marks: column names that tell the header from a preamble.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", pattern).load(root)
              .where(S.file_suffix("path").isin([*suffixes])).select("path", "content"))
-    rows = files.mapInPandas(_decode, ROWS)
+    rows = files.mapInPandas(_decode(tuple(header_marks)), ROWS)
     name = F.transform("header", lambda h: F.lower(F.trim(F.regexp_replace(F.trim(h), "[^0-9A-Za-z]+", "_"), F.lit("_"))))
     return rows.withColumn("header", name)
 

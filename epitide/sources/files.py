@@ -61,6 +61,10 @@ def size_by_suffix(files: DataFrame) -> DataFrame:
     return files.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("total_bytes"))
 
 
+def source_counts(catalogue: DataFrame, keys: Sequence[str] = ("country", "pathogen_scope", "level", "format")) -> DataFrame:
+    return catalogue.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sources"))
+
+
 def chart_class(name: Column | str, columns: Column | None = None) -> Column:
     """nhs_calls, gp_admissions or other, from a file name and the column names."""
     text = F.replace(F.lower(S.as_col(name)), F.lit("_"), F.lit("-"))

@@ -75,7 +75,7 @@ def tree(tmp_path_factory):
         z.writestr("m.csv", "sample_date,site_id,viral_load\n" + "".join(f"{w},{i},{i * 2}\n" for i, w in enumerate(weeks)))
     write(root / "data" / "raw" / "scot.csv", "week;rna_copies;postcode\n" + "".join(f"{w};{i};EH{i}\n" for i, w in enumerate(weeks)))
     write(root / "data" / "external" / "weather" / "open_meteo_london.csv",
-          "time,temperature\n" + "".join(f"{w},{i / 2}\n" for i, w in enumerate(weeks)))
+          "latitude,longitude\n51.5,0.1\n\ntime,temperature\n" + "".join(f"{w},{i / 2}\n" for i, w in enumerate(weeks)))
     write(root / "data" / "external" / "owid_covid_data.csv", "location,date,new_cases_smoothed,hosp_patients,stringency_index\n" + "".join(
         f"{p},{w},{i},{'' if i < 25 else i},1\n" for p in ("United Kingdom", "France") for i, w in enumerate(weeks)))
     return root
@@ -257,3 +257,18 @@ def test_checksums(spark, tmp_path):
     assert found.first()["sha256"] == hashlib.sha256(b"hello").hexdigest()
     want = spark.createDataFrame([("x.csv",), ("y.csv",)], "filename string")
     assert {r["filename"]: r["status"] for r in files.transfer_status(want, found).collect()} == {"x.csv": "ok", "y.csv": "missing"}
+
+
+def test_national_rows(spark):
+    from epitide.operators.clean import national_rows
+    df = spark.createDataFrame([("20240107.0", "1,5"), ("20240108", "x"), ("bad", "3")], "SevenDayEnding string, `Wastewater RNA` string")
+    with pytest.raises(ValueError):
+        national_rows(df, "Scotland", "cov", "s.csv")
+    out = national_rows(df.withColumnRenamed("Wastewater RNA", "WastewaterRNA"), "Scotland", "cov", "s.csv").collect()
+    assert [(r["date"], r["value"], r["week"]) for r in out] == [(D(2024, 1, 7), 15.0, D(2024, 1, 1))]
+
+
+def test_source_counts(spark):
+    df = spark.createDataFrame([("a", "x", "n", "csv"), ("a", "x", "n", "csv"), ("b", "x", "n", "zip")],
+                               "country string, pathogen_scope string, level string, format string")
+    assert {r["country"]: r["n_sources"] for r in files.source_counts(df).collect()} == {"a": 2, "b": 1}
