@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, minhash, mixing, quality, shards, toxicity
+from . import decontaminate, exact, language, minhash, mixing, quality, repeats, shards, toxicity
 from .common import table
 
 SHARDS = 8
@@ -22,6 +22,11 @@ def toxic_documents(spark, sf):
     return found.withColumn("held_out", toxicity.held_out())
 
 
+def repeated_passages(spark, sf):
+    found = repeats.drop_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def source_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_near_duplicates": near_duplicates,
     "op2_quality": quality_classifier,
     "op3_toxicity": toxic_documents,
+    "op5_repeats": repeated_passages,
     "op6_mixing": source_mixing,
     "op7_language": language_id,
     "op8_decontamination": decontamination,
