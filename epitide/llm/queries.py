@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, minhash, mixing, quality, repeats, shards, toxicity
+from . import decontaminate, exact, language, minhash, mixing, pii, quality, repeats, shards, toxicity
 from .common import table
 
 SHARDS = 8
@@ -22,6 +22,26 @@ def toxic_documents(spark, sf):
     return found.withColumn("held_out", toxicity.held_out())
 
 
+def listed(spans):
+    """kind:start:end of every span, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))))
+
+
+def of_kind(kind):
+    return lambda span: span["kind"] == kind
+
+
+def personal_data(spark, sf):
+    """The counts are of the pattern spans; the network's are counted apart."""
+    found = pii.personal_data(table(spark, sf, "documents"))
+    order = F.create_map(*[x for i, k in enumerate(pii.KINDS) for x in (F.lit(k), F.lit(i))])
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
+        s["begin"].alias("begin"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return found.select(
+        "doc_id", *[F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def repeated_passages(spark, sf):
     found = repeats.drop_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,6 +75,7 @@ QUERIES = {
     "op1_near_duplicates": near_duplicates,
     "op2_quality": quality_classifier,
     "op3_toxicity": toxic_documents,
+    "op4_pii": personal_data,
     "op5_repeats": repeated_passages,
     "op6_mixing": source_mixing,
     "op7_language": language_id,
