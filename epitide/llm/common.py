@@ -11,7 +11,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 SMALL_ROWS = 2_000_000  # a side of at most so many short rows is broadcast, a larger one is shuffled
-DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

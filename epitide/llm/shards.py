@@ -66,6 +66,11 @@ def numbered(placed: DataFrame, order: list[str], chunk_rows: int = CHUNK_ROWS)
         "slot", F.col("_before") + F.col("_rank") - 1).drop("_chunk", "_rank", "_before")
 
 
+def assign_shards(docs: DataFrame, nodes: dict, id_col: str = "doc_id", to: str = "shard") -> DataFrame:
+    """All columns and the shard. Nothing is shuffled: a row's shard follows from its id and the tree."""
+    return docs.withColumn(to, descend(F.col(f"`{id_col}`").cast("long"), nodes))
+
+
 def shard_documents(docs: DataFrame, nodes: dict, grown: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its shard, its slot there and the shard it would have in the grown tree.
 
