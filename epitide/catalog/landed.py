@@ -10,7 +10,7 @@ from ..plans import forecast
 from ..schema import BacktestConfig, PanelConfig
 from ..session import run_folder
 from ..sources import cells, files, links, runs, tables
-from .core import FIRST_ORIGIN, rolling_ctes
+from .core import FIRST_ORIGIN, NORMAL_SF, rolling_ctes
 from .inputs import CANONICAL_SQL, R, canonical, rounded, table, weekly_series
 
 MAPPING = {"date_column": "l_shipdate", "geography_column": "l_returnflag",
@@ -165,19 +165,11 @@ def event_taf(spark, sf):
         ("log_amplification", "taf", "expected_infectious_attendees", "superspreading_threshold"), 6))
 
 
-def event_risk(spark, sf):
-    return E.assess(event_profiles(spark, sf), n_sim=2_000)
-
-
-def mean_check(spark, sf):
-    """Simulated mean against its closed form, added up over all events of a band of TAF: within a few percent."""
-    scored = E.amplification(E.validated(event_profiles(spark, sf))).where("status = 'ok'")
-    draws = E.outcome_draws(scored, 2_000)
-    exact = (F.col("attendance") * F.col("prevalence") * F.col("attendance_probability_if_infectious")
-             * F.col("reproduction_number") * F.col("taf"))
-    return scored.join(draws, "event_id").groupBy(F.col("indoor")).agg(
-        F.count(F.lit(1)).alias("n_events"), R(F.sum(exact), 2).alias("expected"),
-        (F.abs(F.sum("expected") / F.sum(exact) - 1) < 0.05).alias("simulation_agrees"))
+def event_moments(spark, sf):
+    out = E.event_moments(event_profiles(spark, sf))
+    return out.select("event_id", "status", "error", "risk_band", *rounded(
+        ("expected_secondary_infections", "variance_secondary_infections", "p_superspreading", "secondary_infections_p05",
+         "secondary_infections_p50", "secondary_infections_p95", "regional_contribution_index"), 4))
 
 
 def leading_candidates(spark, sf):
@@ -256,8 +248,7 @@ QUERIES = {
     "search_terms": search_terms,
     "chart_classes": chart_classes,
     "event_taf": event_taf,
-    "event_risk": event_risk,
-    "event_mean_check": mean_check,
+    "event_moments": event_moments,
     "leading_candidates": leading_candidates,
     "leading_indicator_forecast": leading,
     "ar_forecast": ar,
@@ -389,8 +380,20 @@ c AS (SELECT doc_id, t, regexp_matches(t, '{CALLS}') AS calls, regexp_matches(t,
 SELECT doc_id, CASE WHEN calls AND NOT visits THEN 'nhs_calls' WHEN visits AND NOT calls THEN 'gp_admissions'
   WHEN calls AND visits THEN CASE WHEN contains(t, 'admission') OR contains(t, 'gp') THEN 'gp_admissions' ELSE 'nhs_calls' END ELSE 'other' END AS series_type FROM c""",
     "event_taf": EVENTS_SQL,
-    "event_mean_check": EVENTS_SQL[:EVENTS_SQL.rindex("SELECT k AS event_id")] + """
-SELECT k % 2 = 0 AS indoor, count(*) AS n_events, rnd(sum(i * r * taf), 2) AS expected, TRUE AS simulation_agrees FROM t WHERE error = '' GROUP BY ALL""",
+    "event_moments": EVENTS_SQL[:EVENTS_SQL.rindex("SELECT k AS event_id")] + f""",
+w AS (SELECT *, r * taf AS m, least(prevalence * 0.7::DOUBLE, 1) AS q, CASE WHEN k % 3 <> 0 THEN CAST(k % 1000 AS DOUBLE) END AS region FROM t),
+v AS (SELECT *, attendance * q * m AS mean, attendance * q * (m + m * m / 0.2::DOUBLE) + attendance * q * (1 - q) * m * m AS variance FROM w),
+u AS (SELECT *, CASE WHEN error = '' AND variance > 0 THEN (threshold - mean) / sqrt(variance) END AS z,
+             CASE WHEN error = '' THEN sqrt(variance) END AS spread FROM v),
+p AS (SELECT *, CASE WHEN error <> '' THEN NULL WHEN variance > 0 THEN {NORMAL_SF} ELSE CASE WHEN mean > threshold THEN 1 ELSE 0 END END AS tail FROM u)
+SELECT k AS event_id, CASE WHEN error = '' THEN 'ok' ELSE 'error' END AS status, error,
+       CASE WHEN error <> '' THEN NULL WHEN tail >= 0.35 OR mean >= 50 THEN 'very high' WHEN tail >= 0.15 OR mean >= 20 THEN 'high'
+            WHEN tail >= 0.05 OR mean >= 5 THEN 'moderate' ELSE 'low' END AS risk_band,
+       rnd(CASE WHEN error = '' THEN mean END, 4) AS expected_secondary_infections, rnd(CASE WHEN error = '' THEN variance END, 4) AS variance_secondary_infections,
+       rnd(tail, 4) AS p_superspreading, rnd(greatest(0, mean - 1.6448536269514722 * spread) * CASE WHEN error = '' THEN 1 END, 4) AS secondary_infections_p05,
+       rnd(mean * CASE WHEN error = '' THEN 1 END, 4) AS secondary_infections_p50,
+       rnd(greatest(0, mean + 1.6448536269514722 * spread) * CASE WHEN error = '' THEN 1 END, 4) AS secondary_infections_p95,
+       rnd(CASE WHEN error = '' AND region > 0 THEN mean / region END, 4) AS regional_contribution_index FROM p""",
     "leading_candidates": "WITH " + CANONICAL_SQL + """,
 c AS (SELECT series_id, min(role) AS role, max(date) AS e FROM canonical GROUP BY series_id)
 SELECT a.series_id AS predictor_id, a.e AS predictor_end, b.series_id AS target_id, b.e AS target_end

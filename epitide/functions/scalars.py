@@ -12,11 +12,20 @@ ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
 
 # Text layouts tried, in this order, when a date is not ISO.
 DATE_LAYOUTS = (
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{2}-[A-Za-z]{3}-\d{2}$", "dd-MMM-yy"),
-    (r"^\d{2}-[A-Za-z]{3}-\d{4}$", "dd-MMM-yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{4}-\d{1,2}$", "yyyy-M"),
+    (r"^\d{4}/\d{1,2}$", "yyyy/M"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3}[ -]\d{4}$", "MMM[ ][-]yyyy"),
+    (r"^[A-Za-z]{4,9} \d{4}$", "MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
 )
+SLASHED = r"^(\d{1,2})/(\d{1,2})/\d{4}$"  # day or month first, as the column has it
 
 
 def as_col(c: Column | str) -> Column:
@@ -138,13 +147,25 @@ def train_scale(sd: Column | str) -> Column:
 
 # ---- dates ------------------------------------------------------------------
 
-def to_day(c: Column | str, layout: str | None = None) -> Column:
-    """Text to date. Without a layout: ISO first, then DATE_LAYOUTS; bare numbers are never dates."""
+def only_day_first(c: Column | str) -> Column:
+    """Whether a slashed date can only have its day first; one such value decides for its column."""
+    return F.coalesce(F.regexp_extract(F.trim(as_col(c).cast("string")), SLASHED, 1).try_cast("int") > 12, F.lit(False))
+
+
+def to_day(c: Column | str, layout: str | None = None, day_first: Column | bool = False) -> Column:
+    """Text to date. Without a layout: ISO first, then DATE_LAYOUTS; bare numbers are never dates.
+
+    Months without a day are their first day. In slashed dates the month comes first unless day_first says otherwise or the
+    numbers rule it out.
+    """
     text = F.trim(as_col(c).cast("string"))
     if layout:
         return F.to_date(F.try_to_timestamp(text, F.lit(layout)))
     tries = [F.when(text.rlike(ISO_DATE), F.to_date(text.try_cast("timestamp")))]
     tries += [F.when(text.rlike(shape), F.to_date(F.try_to_timestamp(text, F.lit(fmt)))) for shape, fmt in DATE_LAYOUTS]
+    month, day = (F.to_date(F.try_to_timestamp(text, F.lit(fmt))) for fmt in ("M/d/yyyy", "d/M/yyyy"))
+    order = day_first if isinstance(day_first, Column) else F.lit(day_first)
+    tries.append(F.when(text.rlike(SLASHED), F.when(order, F.coalesce(day, month)).otherwise(F.coalesce(month, day))))
     return F.coalesce(*tries)
 
 

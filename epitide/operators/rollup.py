@@ -40,9 +40,9 @@ def rolled_series(series: DataFrame, freq: str = "W", aggregation: str = "mean")
     return stage(rolled.select("date", "value", "series_id", "role", "m.*"), "rolled")
 
 
-def wide_panel(rolled: DataFrame, ids: Sequence[str] | None = None, max_columns: int = 2000) -> DataFrame:
+def wide_panel(rolled: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
     """One row per period, one column per series. Keep tables long until here."""
-    ids = list(ids) if ids is not None else distinct_values(rolled, "series_id", max_columns)
+    ids = list(ids) if ids is not None else distinct_values(rolled, "series_id")
     return rolled.groupBy("period").pivot("series_id", ids).agg(F.first("value"))
 
 

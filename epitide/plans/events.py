@@ -6,11 +6,10 @@ dispersion_k and regional_expected_transmissions, as columns of the same row.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..functions import scalars as S
 
 # Log-scale weight of each level of each factor; levels not listed weigh nothing.
@@ -22,6 +21,7 @@ LEVEL_WEIGHTS = {
     "travel_mixing": {"low": 0.0, "medium": 0.20, "high": 0.45},
     "mitigation": {"low": 0.0, "medium": -0.35, "high": -0.70},
 }
+# Weights of place and of hours beyond a bound; the cap of the amplification; normal quantiles.
 INDOOR, OUTDOOR = 0.60, -0.25
 LONG, MIDDLE, SHORT = (8, 0.60), (4, 0.30), (1, -0.15)
 TAF_CAP = 25.0
@@ -100,60 +100,35 @@ def validated(events: DataFrame) -> DataFrame:
     return events.withColumn("error", error).withColumn("status", F.when(F.col("error") == "", "ok").otherwise("error"))
 
 
-def _sampler(n_sim: int, seed: int):
-    steps, places = np.arange(n_sim), np.array((0.05, 0.5, 0.95)) * (n_sim - 1)
-
-    def draw(batches):
-        for pdf in batches:
-            stats = []
-            for e in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, int(e.draw_key) & 0x7FFFFFFFFFFFFFFF])
-                infectious = rng.binomial(int(e.attendance), min(e.prevalence * e.reach, 1.0), size=n_sim)
-                mean = e.reproduction_number * e.taf
-                totals = np.zeros(n_sim)
-                some = infectious > 0
-                if mean > 0 and some.any():
-                    # n independent NB(k, p) offspring counts add up to one NB(n k, p)
-                    totals[some] = rng.negative_binomial(infectious[some] * e.dispersion_k,
-                                                         e.dispersion_k / (e.dispersion_k + mean))
-                totals.sort()
-                beyond = 1.0 - np.searchsorted(totals, e.threshold, side="right") / n_sim
-                stats.append((totals.mean(), beyond, *np.interp(places, steps, totals)))
-            out = pdf[["event_id"]].copy()
-            out[["expected", "p_sse", "p05", "p50", "p95"]] = pd.DataFrame(stats, index=out.index, columns=range(5))
-            yield out
-    return draw
-
-
-def outcome_draws(events: DataFrame, n_sim: int = 20_000, seed: int = 42) -> DataFrame:
-    """Simulated secondary infections per event, summarised in the task that drew them.
-
-    Each event draws from a stream seeded by its own id, so results do not depend on partitioning. One
-    event's draws (n_sim numbers) are the unit of memory.
+def moments(events: DataFrame) -> DataFrame:
+    """Adds the mean and variance of the secondary infections of each scored event.
+
+    The infectious attendees are binomial, and each of them infects a negative binomial number with the mean R x TAF and the
+    dispersion k; so the total has these two moments in closed form.
+    """
+    q = F.least(F.col("prevalence") * F.col("attendance_probability_if_infectious"), F.lit(1.0))
+    m = F.col("reproduction_number") * F.col("taf")
+    people = F.col("attendance").cast("double") * q
+    return events.withColumns({"expected_secondary_infections": people * m,
+                               "variance_secondary_infections": people * (m + m * m / F.col("dispersion_k")) + people * (1 - q) * m * m})
+
+
+def event_moments(events: DataFrame) -> DataFrame:
+    """One risk row per event: moments, their normal tail beyond the threshold and quantiles (not below 0), band and regional index.
+
+    Events with arguments out of range are error rows. Without spread the tail is whether the mean exceeds the threshold.
     """
-    args = events.select(
-        "event_id", F.xxhash64(F.col("event_id").cast("string")).alias("draw_key"), F.col("attendance").cast("long").alias("attendance"),
-        "prevalence", F.col("attendance_probability_if_infectious").alias("reach"), "reproduction_number", "taf",
-        "dispersion_k", F.col("superspreading_threshold").alias("threshold"))
-    kind = dict(events.dtypes)["event_id"]
-    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = args.repartition(tasks, "event_id")  # a few bytes per event, about a millisecond of work each
-    return spread.mapInPandas(_sampler(n_sim, seed),
-                            f"event_id {kind}, expected double, p_sse double, p05 double, p50 double, p95 double")
-
-
-def assess(events: DataFrame, n_sim: int = 20_000, seed: int = 42) -> DataFrame:
-    """One risk row per event; events with arguments out of range are error rows."""
-    if n_sim <= 0:
-        raise ValueError("n_sim must be positive")
-    scored = amplification(validated(events))
-    draws = outcome_draws(scored.where(F.col("status") == "ok"), n_sim, seed)
+    scored = moments(amplification(validated(events)))
+    ok, mean, spread = F.col("status") == "ok", F.col("expected_secondary_infections"), F.sqrt("variance_secondary_infections")
+    beyond = F.col("superspreading_threshold")
+    tail = F.when(spread > 0, N.normal_sf(F.try_divide(beyond - mean, spread))).otherwise((mean > beyond).cast("double"))
+    out = scored.withColumn("p_superspreading", F.when(ok, tail))
     region = F.col("regional_expected_transmissions")
-    return scored.join(draws, "event_id", "left").select(
+    return out.select(
         "event_id", "event_name", "pathogen", "status", "error", "expected_infectious_attendees",
-        F.col("taf").alias("transmission_amplification_factor"),
-        F.col("expected").alias("expected_secondary_infections"), "superspreading_threshold",
-        F.col("p_sse").alias("p_superspreading"), F.col("p05").alias("secondary_infections_p05"),
-        F.col("p50").alias("secondary_infections_p50"), F.col("p95").alias("secondary_infections_p95"),
-        F.when(F.col("status") == "ok", S.risk_band("p_sse", "expected")).alias("risk_band"),
-        F.when(region > 0, F.col("expected") / region).alias("regional_contribution_index"), "explanation")
+        F.col("taf").alias("transmission_amplification_factor"), F.when(ok, mean).alias("expected_secondary_infections"),
+        F.when(ok, F.col("variance_secondary_infections")).alias("variance_secondary_infections"), "superspreading_threshold", "p_superspreading",
+        *[F.when(ok, F.greatest(F.lit(0.0), mean + F.lit(z) * spread)).alias(f"secondary_infections_{name}")
+          for name, z in (("p05", -Z_95), ("p50", 0.0), ("p95", Z_95))],
+        F.when(ok, S.risk_band("p_superspreading", "expected_secondary_infections")).alias("risk_band"),
+        F.when(ok & (region > 0), mean / region).alias("regional_contribution_index"), "explanation")

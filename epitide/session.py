@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +30,9 @@ def local_session(name: str = "epitide", cpus: str | int = "*", partitions: int
     return builder.getOrCreate()
 
 
-OWN_FOLDER = "epitide.shared.dir"
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, and only locally."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="epitide-")
-        spark.conf.set(OWN_FOLDER, folder)
-    return folder
+    """The folder named by spark.checkpoint.dir, else one in the warehouse: both are shared by all executors."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_staged")
 
 
 def run_folder(spark: SparkSession, label: str) -> str:

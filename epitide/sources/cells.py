@@ -43,25 +43,33 @@ def _records(name: str, raw: bytes, marks: Sequence[str] = ()):
         header = list(dict.fromkeys(k for r in data for k in r))
         return header, ([None if r.get(k) is None else str(r[k]) for k in header] for r in data)
     text = _text(raw)
-    sep = "\t"
-    if not name.lower().endswith(".tsv"):
-        try:
-            sep = csv.Sniffer().sniff(text[:8192], delimiters=",;\t").delimiter
-        except csv.Error:
-            sep = ";" if text[:8192].count(";") > text[:8192].count(",") else ","
+    first, sep = _heading(text, "\t" if name.lower().endswith(".tsv") else ",;\t", marks)
     lines = csv.reader(io.StringIO(text), delimiter=sep)
-    header = next(lines)
-    if marks and not set(marks) & set(header):
-        for _, candidate in zip(range(5), lines):
-            if set(marks) & set(candidate):
-                header = candidate
-                break
+    header = next(r for r in lines if lines.line_num > first)
     width = len(header)
     return header, ([c if c != "" else None for c in r[:width]] + [None] * (width - len(r)) for r in lines if r)
 
 
-def _frames(path: str, member: str, raw: bytes, marks: Sequence[str]):
+def _heading(text: str, separators: str, marks: Sequence[str]) -> tuple[int, str]:
+    """Lines before the header, and the separator: the one that gives most fields there.
+
+    With marks the header is the first line, however deep, that has a marked column.
+    """
+    wanted = set(marks)
+    for number, line in enumerate(io.StringIO(text)):
+        splits = {s: next(csv.reader([line], delimiter=s), []) for s in separators}
+        fitting = [s for s in separators if wanted & set(splits[s])] if wanted else list(separators) if line.strip() else []
+        if fitting:
+            return number, max(fitting, key=lambda s: len(splits[s]))
+    raise ValueError("no header line")
+
+
+def _frames(path: str, member: str, read, marks: Sequence[str]):
+    """Rows of one file in batches. The file is gone through once before, so that a broken one gives nothing but its error row."""
     try:
+        raw = read()
+        for _ in _records(member or path, raw, marks)[1]:
+            pass
         header, rows = _records(member or path, raw, marks)
         batch = []
         for i, cells in enumerate(rows):
@@ -71,7 +79,7 @@ def _frames(path: str, member: str, raw: bytes, marks: Sequence[str]):
                 batch = []
         yield pd.DataFrame(batch or [(path, member, -1, header, None, None)], columns=ROWS_NAMES)
     except Exception as exc:  # a bad file is a row, not a failed run
-        yield pd.DataFrame([(path, member, -1, None, None, repr(exc)[:500])], columns=ROWS_NAMES)
+        yield pd.DataFrame([(path, member, -1, None, None, repr(exc))], columns=ROWS_NAMES)
 
 
 ROWS_NAMES = [c.split()[0] for c in ROWS.split(", ")]
@@ -82,15 +90,15 @@ def _decode(marks: Sequence[str]):
         for pdf in batches:
             for path, raw in zip(pdf["path"], pdf["content"]):
                 if not path.lower().endswith(".zip"):
-                    yield from _frames(path, "", raw, marks)
+                    yield from _frames(path, "", lambda raw=raw: raw, marks)
                     continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
                         for name in archive.namelist():
                             if name.lower().endswith((".csv", ".tsv", ".json")):
-                                yield from _frames(path, name, archive.read(name), marks)
+                                yield from _frames(path, name, lambda archive=archive, name=name: archive.read(name), marks)
                 except zipfile.BadZipFile as exc:
-                    yield pd.DataFrame([(path, "", -1, None, None, repr(exc)[:500])], columns=ROWS_NAMES)
+                    yield pd.DataFrame([(path, "", -1, None, None, repr(exc))], columns=ROWS_NAMES)
     return decode
 
 
@@ -116,7 +124,8 @@ def file_columns(rows: DataFrame) -> DataFrame:
     long = rows.where(F.col("cells").isNotNull()).select(*FILE, "header", F.posexplode("cells").alias("position", "text"))
     return long.groupBy(*FILE, "position", F.get("header", F.col("position")).alias("column")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("text").alias("n_filled"),
-        F.count(S.to_day("text")).alias("n_dates"), F.count(S.to_number("text")).alias("n_numbers"))
+        F.count(S.to_day("text")).alias("n_dates"), F.count(S.to_number("text")).alias("n_numbers"),
+        F.coalesce(F.max(S.only_day_first("text")), F.lit(False)).alias("day_first"))
 
 
 def _at_least(share: int) -> Column:
@@ -124,14 +133,14 @@ def _at_least(share: int) -> Column:
 
 
 def date_choice(columns: DataFrame, candidates: Sequence[str], share: int = 3) -> DataFrame:
-    """(path, member, date_column, date_position): first candidate with a date, else first mostly-dates column."""
+    """(path, member, date_column, date_position, day_first): first candidate with a date, else first mostly-dates column."""
     place = F.create_map(*[F.lit(x) for i, c in enumerate(candidates) for x in (c, i)])
     rank = F.when((F.col("n_dates") > 0) & F.element_at(place, F.col("column")).isNotNull(),
                   F.element_at(place, F.col("column"))).when(
         F.col("n_dates") >= _at_least(share), F.col("position") + 1000)
-    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "column", "position")))
+    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "column", "position", "day_first")))
     return columns.groupBy(*FILE).agg(best.alias("b")).where(F.col("b").isNotNull()).select(
-        *FILE, F.col("b.column").alias("date_column"), F.col("b.position").alias("date_position"))
+        *FILE, F.col("b.column").alias("date_column"), F.col("b.position").alias("date_position"), F.col("b.day_first").alias("day_first"))
 
 
 def value_choice(columns: DataFrame, preferred: Sequence[str] = P.CHART_VALUES) -> DataFrame:
@@ -160,20 +169,20 @@ def _score(name: Column) -> Column:
 
 def value_choices(columns: DataFrame, dates: DataFrame, limit: int = 3) -> DataFrame:
     """Up to limit (value_column, value_position) per file by score then name; unscored ones only if none scores."""
-    open_columns = columns.join(dates, FILE).where(F.col("position") != F.col("date_position"))
+    open_columns = columns.drop("day_first").join(dates, FILE).where(F.col("position") != F.col("date_position"))
     scored = open_columns.withColumn("_s", _score(F.col("column"))).where(
         (F.col("_s") >= 0) & (F.col("n_numbers") >= _at_least(5)))
     w = Window.partitionBy(*FILE)
     ranked = scored.withColumn("_best", F.max("_s").over(w)).withColumn(
         "_r", F.row_number().over(w.orderBy(F.col("_s").desc(), F.col("column").desc())))
     return ranked.where((F.col("_r") <= limit) & ((F.col("_s") > 0) | (F.col("_best") == 0))).select(
-        *FILE, "date_column", "date_position", F.col("column").alias("value_column"), F.col("position").alias("value_position"))
+        *FILE, "date_column", "date_position", "day_first", F.col("column").alias("value_column"), F.col("position").alias("value_position"))
 
 
 def observations(rows: DataFrame, choice: DataFrame) -> DataFrame:
     """(path, member, columns chosen, date, value) of the rows that have both. choice is one row per file and value."""
     return rows.join(choice, FILE).select(
-        *FILE, "header", "date_column", "value_column", S.to_day(F.get("cells", F.col("date_position"))).alias("date"),
+        *FILE, "header", "date_column", "value_column", S.to_day(F.get("cells", F.col("date_position")), day_first=F.col("day_first")).alias("date"),
         S.to_number(F.get("cells", F.col("value_position"))).alias("value")).dropna(subset=["date", "value"])
 
 
@@ -281,7 +290,7 @@ def monthly_totals(rows: DataFrame, value_column: str, keys: Sequence[str] = ())
     position = F.array_position("header", value_column)
     have = rows.where((position > 0) & F.col("cells").isNotNull()).join(months, FILE, "left")
     extra = [F.get("cells", (F.array_position("header", k) - 1).cast("int")).alias(k) for k in keys]
-    work = have.select("path", S.period(S.to_day(F.get("cells", F.col("date_position"))), "M").alias("month"),
+    work = have.select("path", S.period(S.to_day(F.get("cells", F.col("date_position")), day_first=F.coalesce("day_first", F.lit(False))), "M").alias("month"),
                        S.to_count(F.get("cells", (position - 1).cast("int"))).alias("value"), *extra)
     return work.groupBy(F.col("path").alias("source_file"), "month", *keys).agg(F.sum("value").alias("value"))
 
@@ -290,8 +299,8 @@ def weather_series(rows: DataFrame, minimum: int = 10) -> DataFrame:
     """Weather tables (date first found by name, every other numeric column a series); place from the file name."""
     columns = file_columns(rows)
     dates = date_choice(columns, ("time", "date"), 1_000_000_000)
-    values = columns.join(dates, FILE).where((F.col("position") != F.col("date_position")) & (F.col("n_numbers") >= minimum))
-    choice = values.select(*FILE, "date_column", "date_position", F.col("column").alias("value_column"),
+    values = columns.drop("day_first").join(dates, FILE).where((F.col("position") != F.col("date_position")) & (F.col("n_numbers") >= minimum))
+    choice = values.select(*FILE, "date_column", "date_position", "day_first", F.col("column").alias("value_column"),
                            F.col("position").alias("value_position"))
     place = F.regexp_replace(S.file_stem("path"), "^open_meteo_", "")
     return observations(rows, choice).select(

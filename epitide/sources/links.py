@@ -1,6 +1,8 @@
 """Download links in fetched web pages."""
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,16 +10,48 @@ from ..functions.scalars import as_col
 
 HREF = r"""(?i)href=["']([^"']+)["']"""
 
-# Character references found in link targets.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+REFERENCE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 EXCLUDED_WORDS = ("ecds", "supplementary", "commentary", "growth", "mapping", "quarter")
 
 
+def character(reference: Column) -> Column:
+    """What one character reference, without & and ;, stands for; NULL if nothing."""
+    digits = F.regexp_replace(reference, "^#[xX]?", "")
+    code = F.when(reference.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(reference.startswith("#"), digits).try_cast("bigint")
+    numbered = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair]), reference)
+    return F.when(reference.startswith("#"), numbered).otherwise(named)
+
+
 def unescape(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Numbered and named character references replaced; unknown ones stay. Ampersands come last, so that they start no other."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
+    last = F.filter(found, lambda r: r.isin("amp", "#38", "#x26"))
+
+    def put(acc, r):
+        whole = F.concat(F.lit("&"), r, F.lit(";"))
+        return F.replace(acc, whole, F.coalesce(character(r), whole))
+    return F.aggregate(last, F.aggregate(F.array_except(found, last), text, put), put)
+
+
+def folded(path: Column) -> Column:
+    """A path from the root without its . and .. segments."""
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, part: F.when(part == ".", acc).when(
+        part == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(part))))
+    text = F.array_join(kept, "/")
+    return F.when(path.rlike(r"(^|/)\.{1,2}$") & ~text.endswith("/"), F.concat(text, F.lit("/"))).otherwise(text)
+
+
+def after(text: Column, start: Column) -> Column:
+    return F.substring(text, F.length(start) + 1, F.length(text))
+
+
+def without_dots(path: Column) -> Column:
+    """Folds the path and leaves query and fragment as they are."""
+    bare = F.regexp_extract(path, "^[^?#]*", 0)
+    return F.when(bare.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(folded(bare), after(path, bare))).otherwise(path)
 
 
 def unquote(text: Column) -> Column:
@@ -33,10 +67,10 @@ def absolute(page_url: Column, href: Column) -> Column:
     folder = F.when(F.length(bare) > F.length(root), F.regexp_extract(bare, r"^(.*/)", 1)).otherwise(F.concat(root, F.lit("/")))
     return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(root, href))
+            .when(href.startswith("/"), F.concat(root, without_dots(href)))
             .when(href.startswith("?"), F.concat(bare, href))
             .when(href.startswith("#"), F.concat(F.regexp_replace(page_url, r"#.*$", ""), href))
-            .otherwise(F.concat(folder, href)))
+            .otherwise(F.concat(root, without_dots(F.concat(after(folder, root), href)))))
 
 
 def url_file_name(url: Column | str) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -76,29 +76,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, place): lines with the file and block they are from, places ascending within a block."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+def below(lines: DataFrame, heading: Column) -> DataFrame:
+    """Lines after the first one of each file that meets the condition, told by place and not by their text.
+
+    The heading of a file is looked for in its first block; files without one give nothing.
+    """
+    first = lines.where((F.col("block") == 0) & heading).groupBy(F.col("file").alias("_file")).agg(F.min("place").alias("_first"))
+    return lines.join(first, F.col("file") == F.col("_file")).where((F.col("block") > 0) | (F.col("place") > F.col("_first")))
+
+
 def read_words(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
     """Text split at runs of blanks; the first line holds the names unless they are given."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"), F.trim("value").alias("line"))
+    placed = placed_lines(spark, path)
+    lines = placed if names is not None else below(placed, F.trim("value") != "")
+    words = F.split(F.trim("value"), r"\s+").alias("w")
     if names is None:
-        head = lines.where(F.col("line") != "").first()
-        names = head["w"]
-        lines = lines.where(F.col("line") != head["line"])
-    return lines.where(F.col("line") != "").select(*[F.get("w", i).alias(n) for i, n in enumerate(names)])
-
-
-def read_with_preamble(spark: SparkSession, path: str, marks: Sequence[str] = ("time", "date"), deepest: int = 6) -> DataFrame:
-    """CSV whose header follows a few lines about the file; the header is the first line with a marked column."""
-    heads = [r[0] for r in spark.read.text(path).limit(deepest).collect()]
-    for i, line in enumerate(heads):
-        names = [h.strip().strip('"') for h in line.lstrip(BOM).split(",")]
-        if any(m in names for m in marks):
-            break
-    else:
+        names = placed.where((F.col("block") == 0) & (F.trim("value") != "")).orderBy("place").select(words).first()["w"]
+    return lines.where(F.trim("value") != "").select(words).select(*[F.get("w", i).alias(n) for i, n in enumerate(names)])
+
+
+def read_with_preamble(spark: SparkSession, path: str, marks: Sequence[str] = ("time", "date")) -> DataFrame:
+    """CSV whose header follows lines about the file, however many; the header is the first line with a marked column."""
+    lines = placed_lines(spark, path)
+    fields = F.transform(F.split(F.ltrim("value", F.lit(BOM)), ","), lambda h: F.trim(F.trim(h), F.lit('"')))
+    heading = F.arrays_overlap(fields, F.array(*[F.lit(m) for m in marks]))
+    head = lines.where((F.col("block") == 0) & heading).orderBy("place").select(fields.alias("names")).first()
+    if head is None:
         raise ValueError(f"no header with one of {list(marks)} in {path}")
-    skipped = heads[: i + 1]
-    width = len(names)
-    schema = ", ".join(f"c{j} string" for j in range(width))
-    rows = spark.read.text(path).where(~F.col("value").isin(skipped) & (F.trim("value") != ""))
+    names = head["names"]
+    schema = ", ".join(f"c{j} string" for j in range(len(names)))
+    rows = below(lines, heading).where(F.trim("value") != "")
     return rows.select(F.from_csv("value", F.lit(schema)).alias("r")).select(
         *[F.col(f"r.c{j}").alias(n) for j, n in enumerate(names)])
 

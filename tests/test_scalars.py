@@ -34,6 +34,14 @@ def test_to_day(spark, text, expected):
     assert one(spark, S.to_day("a"), a=text) == expected
 
 
+@pytest.mark.parametrize("text,day_first,expected", [
+    ("25/12/2023", False, dt.date(2023, 12, 25)), ("05/12/2023", False, dt.date(2023, 5, 12)), ("05/12/2023", True, dt.date(2023, 12, 5)),
+    ("2021-07", False, dt.date(2021, 7, 1)), ("1 January 2024", False, dt.date(2024, 1, 1)), ("Jan 2024", False, dt.date(2024, 1, 1)),
+    ("January 2024", False, dt.date(2024, 1, 1)), ("05.12.2023", False, dt.date(2023, 12, 5)), ("Mar 4, 2024", False, dt.date(2024, 3, 4)), ("31/31/2024", True, None)])
+def test_other_layouts(spark, text, day_first, expected):
+    assert one(spark, S.to_day("a", day_first=day_first), a=text) == expected
+
+
 def test_compact_dates(spark):
     assert one(spark, S.from_yyyymmdd("a"), a="20240201.0") == dt.date(2024, 2, 1)
     assert one(spark, S.from_yyyymmdd("a"), a="99999999") is None
