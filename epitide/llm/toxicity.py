@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import arrow_fold, arrow_map, join_counted, share, texts
 
-GRAM = 5  # bytes of lower-cased text
-BITS = 18  # features
+GRAMS = (5, 8)  # bytes of lower-cased text
+BITS = 19  # features
 SMOOTHING = 20.0  # rows that every feature counts as seen besides, dealt to the classes as these are
-LEAST_RATIO = 0.4  # features with a smaller log-count ratio, in absolute terms, carry no weight
+LEAST_RATIO = 1.0  # features with a smaller log-count ratio, in absolute terms, carry no weight
 FIT_ROWS = 3_000  # labelled rows of each class that the linear weights are fitted on; the ratios count all of them
-STEPS, RATE, DECAY = 150, 0.1, 1e-5
+STEPS, RATE, DECAY = 150, 0.1, 1e-4
 THRESHOLD = 0.3
 
 COUNTS = "feature int, positive bigint, negative bigint"
@@ -29,12 +29,15 @@ class Model:
 
 def present(piece: T.Slice, carries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row and feature of every feature present in a text, once each, ordered by row; only those that `carries` marks."""
-    packed, at = T.byte_grams(piece, GRAM)
-    feature = T.bucketed(packed, BITS)
-    if carries is not None:
-        chosen = np.flatnonzero(carries[feature])
-        feature, at = feature[chosen], at[chosen]
-    both = np.unique((piece.text_of(at) << BITS) | feature)
+    keys = []
+    for n in GRAMS:
+        packed, at = T.byte_grams(piece, n)
+        feature = T.bucketed(packed, BITS, n)
+        if carries is not None:
+            chosen = np.flatnonzero(carries[feature])
+            feature, at = feature[chosen], at[chosen]
+        keys.append((piece.text_of(at) << BITS) | feature)
+    both = np.unique(np.concatenate(keys))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
