@@ -21,7 +21,7 @@ LENGTH = 200  # bytes
 GRAM = 12  # bytes under the rolling hash
 SPAN = 128  # positions that share a trigger at most
 STEPS = (16, 1)  # ranges of strings that are counted after those of SPAN
-PIECE_BYTES = 2 << 20  # of one text that are parsed at a time
+PIECE_BYTES = 1 << 20  # that are parsed at a time
 ROWS = 1_000  # surroundings that are hashed at a time
 SMALL_DOCS = 200_000  # documents whose short lists of ranges are broadcast; more are joined by a shuffle
 
@@ -76,7 +76,7 @@ def pieces(piece: T.Slice, length: int) -> Iterator[tuple[T.Slice, int]]:
 def first_level(rows: DataFrame, length: int, span: int) -> DataFrame:
     def work(batch):
         doc = np.asarray(batch.column("doc"))
-        for whole in T.slices(batch.column("text")):
+        for whole in T.slices(batch.column("text"), PIECE_BYTES):
             for piece, begin in pieces(whole, length):
                 for row, start, k, ahead, phrase, cover in parsed(piece, length, span):
                     yield T.signed(phrase), T.signed(cover), doc[piece.lo + row], (start + begin).astype(np.int32), k.astype(np.int32), ahead.astype(np.int32)
