@@ -12,25 +12,27 @@ from ..session import stage
 from . import textops as T
 from .common import arrow_map, join_counted, texts
 
-SYMBOLS = 45  # of 16 bits each: a signature
-LANES = 3  # symbols in a long, 21 bits apart, so that differing symbols can be counted by one addition
+SYMBOLS = 45  # of 16 bits each, that the indexes are made of
+FINE_SYMBOLS = 91  # of 8 bits each, for a finer distance between candidates
+LANES, LANE_BITS = 3, 21  # of a long, so that differing symbols can be counted by one addition
+FINE_LANES, FINE_BITS = 7, 9
 MISS = 1e-5  # probability that a pair at the threshold lies beyond the signature distance that the join guarantees
 CHUNK_ERRORS = 1
 
 _rng = np.random.default_rng(7)
-FLIPS = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-FACTORS = _rng.integers(0, 2**62, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FLIPS = _rng.integers(0, 2**63, SYMBOLS + FINE_SYMBOLS, dtype=np.uint64)
+FACTORS = _rng.integers(0, 2**62, SYMBOLS + FINE_SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEPS = _rng.integers(0, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCH = "doc_id bigint, n bigint, total bigint, parity bigint, signature array<bigint>"
+SKETCH = "doc_id bigint, n bigint, total bigint, parity bigint, signature array<bigint>, fine array<bigint>"
 
 
-def distance_bound(similarity: float) -> int:
-    """Differing symbols that a pair of at least that similarity exceeds with a probability of at most MISS."""
+def distance_bound(similarity: float, symbols: int = SYMBOLS) -> int:
+    """Differing symbols, of so many, that a pair of at least that similarity exceeds with a probability of at most MISS."""
     p, tail, d = 1 - similarity, 1.0, -1
-    while tail > MISS and d < SYMBOLS:
+    while tail > MISS and d < symbols:
         d += 1
-        tail -= comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)
+        tail -= comb(symbols, d) * p**d * (1 - p) ** (symbols - d)
     return d
 
 
@@ -59,31 +61,37 @@ def shingle_sets(piece: T.Slice, size: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The symbols of every set, packed into longs; sets lie end to end and none is empty."""
+def signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of every set, packed into longs: those of the indexes, and the fine ones. Sets lie end to end, none empty."""
     packed = np.zeros((len(starts), SYMBOLS // LANES), np.int64)
-    for k in range(SYMBOLS):
-        least = np.minimum.reduceat((sets ^ FLIPS[k]) * FACTORS[k], starts)
-        symbol = (T.mix(least) & np.uint64(0xFFFF)).astype(np.int64)
-        packed[:, k // LANES] |= symbol << (21 * (k % LANES))
-    return packed
+    fine = np.zeros((len(starts), FINE_SYMBOLS // FINE_LANES), np.int64)
+    for k in range(SYMBOLS + FINE_SYMBOLS):
+        least = T.mix(np.minimum.reduceat((sets ^ FLIPS[k]) * FACTORS[k], starts))
+        if k < SYMBOLS:
+            packed[:, k // LANES] |= (least & np.uint64(0xFFFF)).astype(np.int64) << (LANE_BITS * (k % LANES))
+        else:
+            j = k - SYMBOLS
+            fine[:, j // FINE_LANES] |= (least & np.uint64(0xFF)).astype(np.int64) << (FINE_BITS * (j % FINE_LANES))
+    return packed, fine
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), total and parity (a digest of the set), signature; the last three null for an empty set."""
+    """doc_id, n (set size), total and parity (a digest of the set), signature, fine; the last four null for an empty set."""
     def work(batch):
         for piece in T.slices(batch.column("text")):
             sets = shingle_sets(piece, size)
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
-            columns = [[None] * len(n) for _ in range(3)]
+            columns = [[None] * len(n) for _ in range(4)]
             if len(full):
                 every = np.concatenate([sets[i] for i in full])
                 starts = np.r_[0, np.cumsum(n[full])[:-1]]
                 again = T.mix(every)
                 totals, parities = np.add.reduceat(again, starts), np.bitwise_xor.reduceat(every * again, starts)
-                for i, t, p, s in zip(full.tolist(), T.signed(totals).tolist(), T.signed(parities).tolist(), signatures(every, starts).tolist(), strict=True):
-                    columns[0][i], columns[1][i], columns[2][i] = t, p, s
+                found = (T.signed(totals), T.signed(parities), *signatures(every, starts))
+                for i, *values in zip(full.tolist(), *[v.tolist() for v in found], strict=True):
+                    for column, value in zip(columns, values, strict=True):
+                        column[i] = value
             yield (batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo), n, *columns)
     return arrow_map(docs, SKETCH, work)
 
@@ -106,39 +114,51 @@ def index_keys(sets: DataFrame, bound: int) -> DataFrame:
     return arrow_map(sets.select("id", "signature"), ddl, work)
 
 
-def distance(a: Column, b: Column) -> Column:
+def distance(a: Column, b: Column, longs: int, lanes: int, bits: int) -> Column:
     """Symbols in which two packed signatures differ: an addition carries a bit out of every lane that is not zero."""
-    carry = sum(0xFFFF << (21 * k) for k in range(LANES))
-    mark = sum(0x10000 << (21 * k) for k in range(LANES))
+    carry = sum((2 ** (8 * (bits // 8)) - 1) << (bits * k) for k in range(lanes))
+    mark = sum(2 ** (8 * (bits // 8)) << (bits * k) for k in range(lanes))
     out = F.lit(0)
-    for i in range(SYMBOLS // LANES):
+    for i in range(longs):
         out = out + F.bit_count((a[i].bitwiseXOR(b[i]) + F.lit(carry)).bitwiseAND(F.lit(mark)))
     return out
 
 
-def near(bound: int, num: int, den: int) -> Column:
-    """Whether two sets, as a and b, can be similar enough: by size, and by signature."""
-    sizes = (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-    return sizes & (distance(F.col("a.signature"), F.col("b.signature")) <= bound)
+def near(num: int, den: int, fine: bool = False) -> Column:
+    """Whether two sets, as a and b, can be similar enough: by size, and by the symbols of the indexes or the fine ones."""
+    sizes = F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num
+    if fine:
+        apart = distance(F.col("a.fine"), F.col("b.fine"), FINE_SYMBOLS // FINE_LANES, FINE_LANES, FINE_BITS)
+        return sizes & (apart <= distance_bound(num / den, FINE_SYMBOLS))
+    return sizes & (distance(F.col("a.signature"), F.col("b.signature"), SYMBOLS // LANES, LANES, LANE_BITS) <= distance_bound(num / den))
+
+
+COMPARED = "a bigint, b bigint, common bigint, together bigint, extra array<bigint>, missing array<bigint>"
+
 
+def compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) with how many shingles both share and have together, and which ones only a or only b has.
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. The texts of the pairs come together, no others are moved."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    The texts of the pairs come together, no others are moved.
+    """
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     known = stage(join_counted(docs, needed, "doc_id"), "near-texts")
     both = pairs.join(known.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(
         known.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    ddl = "a bigint, b bigint, common bigint, together bigint"
 
     def work(batch):
         for lo in range(0, batch.num_rows, 64):  # a few pairs at a time, whatever the batch holds
             part = batch.slice(lo, 64)
             sides = [[s for piece in T.slices(part.column(c)) for s in shingle_sets(piece, size)] for c in ("text_a", "text_b")]
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)]
-            together = [len(x) + len(y) - k for x, y, k in zip(*sides, common, strict=True)]
-            yield (part.column("a"), part.column("b"), common, together)
-    return arrow_map(both.select("a", "b", "text_a", "text_b"), ddl, work).filter(
-        (F.col("common") * den >= F.col("together") * num) & (F.col("together") > 0)).select("a", "b").distinct()
+            differ = [[np.setdiff1d(x, y, assume_unique=True) for x, y in zip(*order, strict=True)] for order in (sides, sides[::-1])]
+            common = [len(x) - len(e) for x, e in zip(sides[0], differ[0], strict=True)]
+            together = [len(y) + len(e) for y, e in zip(sides[1], differ[0], strict=True)]
+            yield part.column("a"), part.column("b"), common, together, *[[T.signed(e).tolist() for e in side] for side in differ]
+    return arrow_map(both.select("a", "b", "text_a", "text_b"), COMPARED, work)
+
+
+def similar(compared_pairs: DataFrame, num: int, den: int) -> DataFrame:
+    return compared_pairs.filter((F.col("common") * den >= F.col("together") * num) & (F.col("together") > 0)).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,43 +183,78 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     without words are linked with nothing. Rows with the same id count as one document with several texts; a null id is linked
     with nothing but equal sets, of which it takes the component. An empty table gives no rows; other columns are ignored.
 
-    Equal sets first become one class. A class is looked up under every key of its signature; it is compared with the smallest
-    class of each bucket, and after that only with members that are not yet in one component with it.
+    Equal sets first become one class. A class is looked up under every key of its signature and compared with the most central
+    class of each bucket, its hub. Two other members of a bucket are compared only if their components differ: by what sets them
+    apart from the hub, if both were compared with it, and in full otherwise.
     """
     rows = texts(docs, id_col, text_col)
-    bound = distance_bound(num / den)
     sketched = stage(sketches(rows, size), "near-sketches")
-    classes = stage(sketched.filter("n > 0").groupBy("n", "total", "parity", "signature").agg(F.min("doc_id").alias("id")), "near-classes")
-    sets = classes.filter(F.col("id").isNotNull() & (F.col("n") * den >= (F.col("n") + 1) * num)).select("id", "n", "signature")
-    keys = index_keys(sets, bound)
-    buckets = stage(keys.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-buckets")
-    hits = stage(keys.join(buckets, "key").filter("id != low"), "near-hits")
+    classes = stage(sketched.filter("n > 0").groupBy("n", "total", "parity", "signature", "fine").agg(F.min("doc_id").alias("id")), "near-classes")
+    sets = classes.filter(F.col("id").isNotNull() & (F.col("n") * den >= (F.col("n") + 1) * num)).select("id", "n", "signature", "fine")
+    keys = index_keys(sets, distance_bound(num / den))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    hits = around_hubs(stage(keys.join(stage(buckets, "near-buckets"), "key"), "near-shared"))
 
-    first = stage(with_sets(hits.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), sets).filter(near(bound, num, den)).select(
+    first = stage(with_sets(hits.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), sets).filter(near(num, den)).select(
         F.col("a.id").alias("a"), F.col("b.id").alias("b")), "near-pairs")
-    links = stage(confirmed(first, rows, size, num, den), "near-links")
+    tested = stage(compared(first, rows, size), "near-tested")
+    links = similar(tested, num, den)
     labels = components(links)
 
-    more = stage(apart(hits, labels, sets, bound, num, den).join(first, ["a", "b"], "left_anti"), "near-pairs")
+    told = stage(tested.select(F.col("b").alias("hub"), F.col("a").alias("id"), "extra", "missing", (F.col("common") + F.size("missing")).alias("hub_n")).join(
+        labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "near-told")
+    beside = stage(beside_hubs(told, sets, num, den), "near-links")
+    more = stage(without_hubs(hits, told, labels, sets, num, den).join(
+        first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():
-        found = stage(confirmed(more, rows, size, num, den), "near-links")
-        labels = components(links.unionByName(found)) if not found.isEmpty() else labels
-    known = classes.join(labels.select("id", "label"), "id", "left").select(
-        "n", "total", "parity", F.coalesce("label", "id").alias("component_id"))
+        beside = beside.unionByName(stage(similar(compared(more, rows, size), num, den), "near-links"))
+    if not beside.isEmpty():
+        labels = components(links.unionByName(beside))
+    known = classes.join(labels, "id", "left").select("n", "total", "parity", F.coalesce("label", "id").alias("component_id"))
     return sketched.select("doc_id", "n", "total", "parity").join(stage(known, "near-known"), ["n", "total", "parity"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def around_hubs(shared: DataFrame) -> DataFrame:
+    """key, id, low, members of every member of a bucket but its hub `low`.
+
+    The hub is the member that meets most others over all its buckets: among copies of one text, one near the text itself.
+    """
+    scores = shared.groupBy("id").agg(F.sum("members").alias("score"))
+    scored = stage(shared.join(scores, "id"), "near-scored")
+    hubs = stage(scored.groupBy("key").agg(F.max(F.struct("score", "id")).alias("hub")).select("key", F.col("hub.id").alias("low")), "near-hubs")
+    return stage(scored.join(hubs, "key").filter("id != low").select("key", "id", "low", "members"), "near-hits")
+
+
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.alias("p").join(sets.alias("a"), F.col("p.a") == F.col("a.id")).join(sets.alias("b"), F.col("p.b") == F.col("b.id"))
 
 
-def apart(hits: DataFrame, labels: DataFrame, sets: DataFrame, bound: int, num: int, den: int) -> DataFrame:
-    """Pairs (a > b) of a bucket that no component holds together yet, neither of them its smallest, near enough by signature."""
-    labelled = stage(hits.filter("members > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "near-labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
-    members = stage(labelled.join(open_keys, "key").join(sets, "id"), "near-members")
-    pairs = members.alias("a").join(members.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id")) & (
-        F.col("a.label") != F.col("b.label")) & near(bound, num, den))
+def beside_hubs(told: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a > b) between members of different components that were both compared with a hub.
+
+    What both share follows from what each lacks of the hub's set and has besides, so the full sets need not come together again.
+    """
+    mixed = told.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("hub")
+    members = stage(told.join(mixed, "hub").join(sets.select("id", "n", "fine"), "id"), "near-members")
+    common = (F.col("a.hub_n") - F.size("a.missing") - F.size("b.missing") + F.size(F.array_intersect("a.missing", "b.missing"))
+              + F.size(F.array_intersect("a.extra", "b.extra")))
+    pairs = members.alias("a").join(members.alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.id") > F.col("b.id")) & (
+        F.col("a.label") != F.col("b.label")) & near(num, den, fine=True) & (common * den >= (F.col("a.n") + F.col("b.n") - common) * num))
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def without_hubs(hits: DataFrame, told: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a > b) around a hub in different components, near by their fine signatures, of which one was too far from the hub
+    to be compared with it. Around a hub are the members of all its buckets."""
+    known = told.select(F.col("hub").alias("low"), "id", F.lit(True).alias("told"))
+    around = stage(hits.filter("members > 2").select("low", "id").distinct().join(labels, "id", "left").select(
+        "low", "id", F.coalesce("label", "id").alias("label")).join(known, ["low", "id"], "left").withColumn(
+        "told", F.coalesce("told", F.lit(False))), "near-around")
+    mixed = around.groupBy("low").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("told").alias("settled")).filter(
+        "least != most AND NOT settled").select("low")
+    members = stage(around.join(mixed, "low").join(sets.select("id", "n", "fine"), "id"), "near-open")
+    pairs = members.filter("NOT told").alias("a").join(members.alias("b"), (F.col("a.low") == F.col("b.low")) & (F.col("a.label") != F.col("b.label")) & (
+        F.col("b.told") | (F.col("a.id") > F.col("b.id"))) & near(num, den, fine=True))
+    return pairs.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
