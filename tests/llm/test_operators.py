@@ -104,7 +104,7 @@ def test_chunks_hold_every_pair_within_the_bound():
 def test_quality_model_is_kneser_ney(spark, real):
     texts = [t[:150] for t in real.text[:25]]
     frame = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, fold int")
-    tables = quality.log_probabilities(quality.gram_counts(frame))
+    tables = [quality.log_probabilities(m) for m in quality.models_of(quality.gram_counts(frame))]
     for model, own in ((2, texts), (1, texts[::2]), (0, texts[1::2])):
         p = brute.kneser_ney(own, quality.CLASS, quality.ORDER, quality.CLASSES)
         for context, w in (((0, 0, 0), 20), ((20, 8, 5), 54), ((54, 1, 14), 4), ((63, 60, 5), 3), ((53, 53, 53), 53), ((9, 9, 9), 9)):
