@@ -1,6 +1,7 @@
 """Corpus preparation: quality, near-duplicates, test-item passages, mixture, shards. Each stage works on what the one before kept."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,31 +16,56 @@ from epitide.session import stage
 SHARDS = 8
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with _row, a key of each row: the number of its file and its place in it. Rows that are no Parquet files yet are written."""
+    try:
+        plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"  # above a join or an explode, a row of a file may repeat
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")) if plain else None
+    except AnalysisException:
+        placed = None
+    if placed is None:
+        return keyed(stage(docs, "pipeline-rows"))
+    files = sorted(r["_file"] for r in placed.select("_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number bigint")
+    return placed.join(F.broadcast(numbers), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_at")).drop("_file", "_number", "_at")
+
+
 def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id no verdict drops. Only the ids to drop are moved, as long as a count shows that they are few."""
-    dropped = stage(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return join_counted(docs, dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti").select(*docs.columns)
+    """The rows of keyed() that no verdict (_row, kept) drops. Only the keys to drop are moved, as long as a count shows that they are few."""
+    dropped = stage(verdicts.filter(~F.col("kept")).select(F.col("_row").alias("_dropped")), "dropped")
+    return join_counted(docs, dropped, F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return without(docs, quality(docs, table(spark, sf_dir, "labels")))
+    """Rows that the quality classifier rejects go."""
+    rows = keyed(docs)
+    return without(rows, quality(rows, table(spark, sf_dir, "labels"), row_col="_row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
-    return without(docs, near_duplicates(docs, size=5, num=80, den=100))
+    """One row of each group stays, that with the smallest id (null ids last): five-word shingles, similarity 0.8 or more.
+
+    Rows are compared one by one, whatever their ids: of equal rows one stays, and rows of one id are alike only if their texts are.
+    """
+    rows = keyed(docs)
+    found = near_duplicates(rows, size=5, num=80, den=100, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = stage(found.join(rows.select("_row", "doc_id"), "_row"), "near-groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"), F.count(F.lit(1)).alias("members"))
+    first = stage(first.filter("members > 1").select("component_id", F.col("first._row").alias("stays")), "near-first")
+    return without(rows, join_counted(groups, first, "component_id").select("_row", (F.col("_row") == F.col("stays")).alias("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which passages of test items make up a twentieth or more go; the others keep their texts as they are."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    """Rows of which passages of test items make up a twentieth or more go; the others keep their texts as they are."""
+    rows = keyed(docs)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return without(rows, found.select(F.col("doc_id").alias("_row"), (~F.col("contaminated")).alias("kept")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with the probabilities that bring the sources to their target weights."""
-    return without(docs, mix(docs))
+    """Rows are drawn with the probabilities that bring the sources to their target weights."""
+    rows = keyed(docs)
+    return without(rows, mix(rows, row_col="_row"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

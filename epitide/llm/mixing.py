@@ -31,11 +31,13 @@ def tokens_of(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(gaps + 1).cast("long")
 
 
-def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """doc_id, source, lang, topic, tokens of every row; null sources and languages read as ''."""
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+              row_col: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens of every row, and its key if it has one; null sources and languages read as ''."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
-                       F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
+                       F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"),
+                       *([F.col(row_col)] if row_col else []))
 
 
 def flattened(shares: dict[str, float], temperature: float) -> dict[str, float]:
@@ -120,17 +122,17 @@ def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE, lang_target: dict | None = None, topic_target: dict | None = None,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", row_col: str | None = None) -> DataFrame:
     """Every row with the weight of its cell, its probability and whether it is drawn.
 
     Returns doc_id, source, lang, topic, tokens, multiplier, probability, kept. A draw depends on doc_id alone, so repeated rows
     share it; rows without an id share one draw. Rows without tokens are never drawn (probability 0). Null sources and languages
-    are values of their own. An empty table gives no rows; other columns are ignored.
+    are values of their own. An empty table gives no rows; other columns are ignored, but a key of the rows, row_col, is kept.
     """
-    rows = stage(described(docs, id_col, text_col, source_col, lang_col), "mix-rows")
+    rows = stage(described(docs, id_col, text_col, source_col, lang_col, row_col), "mix-rows")
     cells = stage(probabilities(rake(rows, temperature, lang_target, topic_target), budget).select(
         "source", "lang", "topic", "multiplier", "probability"), "mix-weights")
     draw = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11).cast("double") + 0.5) / float(1 << 53)
     return join_counted(rows, cells, ["source", "lang", "topic"], "left").select(
-        "doc_id", "source", "lang", "topic", "tokens", F.coalesce("multiplier", F.lit(0.0)).alias("multiplier"),
+        *([row_col] if row_col else []), "doc_id", "source", "lang", "topic", "tokens", F.coalesce("multiplier", F.lit(0.0)).alias("multiplier"),
         F.coalesce("probability", F.lit(0.0)).alias("probability")).withColumn("kept", (F.col("tokens") > 0) & (draw < F.col("probability")))
