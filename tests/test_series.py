@@ -178,9 +178,9 @@ def test_stated_role_wins(spark):
     assert {r["role"] for r in reshape.signal_series(df.withColumn("role", F.lit("predictive"))).collect()} == {"predictive"}
 
 
-def test_pivot_refuses_too_many_columns(two):
-    with pytest.raises(ValueError):
-        frames.distinct_values(two, "series_id", 1)
+def test_distinct_values_are_sorted_without_null(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "name string")
+    assert frames.distinct_values(df, "name") == ["a", "b"]
 
 
 def test_positive_lags():
