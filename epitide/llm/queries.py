@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, minhash, mixing, pii, quality, repeats, shards, toxicity
+from . import decontaminate, exact, language, minhash, mixing, periods, pii, quality, repeats, sentencepieces, shards, toxicity, variants
 from .common import table
 
 SHARDS = 8
@@ -71,6 +71,32 @@ def sharding(spark, sf):
     return placed.withColumn("law", F.lit("key"))
 
 
+def sentence_pieces(spark, sf, model=None):
+    """The model is a file of the installed vocabularies unless its path is given."""
+    if model is None:
+        import public_tokenizers
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentencepieces.encode(table(spark, sf, "documents"), sentencepieces.load(model))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def spelling_variants(spark, sf):
+    return variants.spelling_variants(variants.word_counts(table(spark, sf, "documents"), respell=variants.slipped))
+
+
+def word_runs(spark, sf):
+    """The longest run is the first one by falling length, start and period."""
+    found = periods.periodic_runs(table(spark, sf, "documents"), periods.planted_tail)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    length = -F.col("longest.less")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"),
+        F.col("longest.period").alias("period"), F.floor(1000 * length / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_near_duplicates": near_duplicates,
     "op2_quality": quality_classifier,
@@ -82,6 +108,9 @@ QUERIES = {
     "op8_decontamination": decontamination,
     "op9_exact_dedup": exact_duplicates,
     "op10_sharding": sharding,
+    "op11_sentence_pieces": sentence_pieces,
+    "op12_spelling_variants": spelling_variants,
+    "op13_word_runs": word_runs,
 }
 
 ORACLES = {
