@@ -2,12 +2,14 @@
 
 The model writes a marker for each space and one before the text. Where no piece has a marker after another character, the
 pieces of a text are those of its marked words: markers and what follows them up to the next marker. So each distinct marked
-word of the corpus is segmented once, by the library, and a text's ids are joined back by the places of its words.
+word of a block of texts is segmented once, by the library, and the ids of the texts are joined back by the places of its words.
+The table belongs to a block, not to the corpus: most of the different words of a corpus stand in one block only, and moving words
+and places to a table of all of them and back takes more disk than the texts have.
 """
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -15,15 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import stage
-from .common import arrow_map, schema_of, texts
-from .textops import slices
+from .common import arrow_map, texts
+from .textops import Slice, slices
 
 MARKER = "▁"
-BLOCK_BYTES = 4 << 20  # texts that share one list of words
+BLOCK_BYTES = 16 << 20  # texts that share one table of words
+WORDS = 50_000  # words the library is given at once
 # Characters that other normalisations than the plain one change: ligature, circled digit, combining mark, wide space, tab, two spaces.
 PROBE = "a  ﬁ①é　Ａ\tb "
 
@@ -52,14 +52,19 @@ class Pieces:
         if model.normalize(PROBE) != MARKER + PROBE.replace(" ", MARKER):
             raise ValueError("the model changes characters before it segments")
 
-    def segment(self, words: Iterable[str]) -> tuple[list[list[int]], list[str]]:
+    def segment(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Ids of each marked word (its markers written as spaces), and the text of these ids behind other text."""
         model = self.model
-        words, alone, front = list(words), model.piece_to_id(MARKER), model.encode("a")
-        # the library puts one marker before what it is given; a lone marker is thus no text for it
-        ids = [found or [alone] for found in model.encode([w[1:] for w in words])]
+        alone, front = [model.piece_to_id(MARKER)], model.encode("a")
         lead = len(model.decode(front))
-        return ids, [t[lead:] for t in model.decode([front + i for i in ids])]
+        ids, decoded = [pa.array([], pa.large_list(pa.int32()))], [pa.array([], pa.large_string())]
+        for at in range(0, len(words), WORDS):
+            # the library puts one marker before what it is given; a lone marker is thus no text for it
+            found = [i or alone for i in model.encode([w[1:] for w in words.slice(at, WORDS).to_pylist()])]
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            ids.append(pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, ends[-1]))))
+            decoded.append(pa.array([t[lead:] for t in model.decode([front + i for i in found])], pa.large_string()))
+        return pa.concat_arrays(ids), pa.concat_arrays(decoded)
 
 
 def load(path: str) -> Pieces:
@@ -69,74 +74,43 @@ def load(path: str) -> Pieces:
     return pieces
 
 
-def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of whole texts: ids of the rows, words of each row, the words as places in the list of the block's different words."""
-    def work(batch):
-        text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-        text = pc.replace_substring(text, MARKER, " ")
-        filled = pc.not_equal(pc.binary_length(text), 0)
-        text = pc.if_else(filled, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())), text)
-        for piece in slices(text, block_bytes):
-            space = piece.data == 0x20
-            begins = space.copy()
-            begins[1:] &= ~space[:-1]
-            begins[piece.offsets[:-1][np.diff(piece.offsets) > 0]] = True
-            begin = np.flatnonzero(begins)
-            bounds = np.append(begin, len(piece.data)).astype(np.int64)
-            coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(piece.data))).dictionary_encode()
-            counts = np.diff(np.searchsorted(begin, piece.offsets)).astype(np.int32)
-            yield [one_list(batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo)), [counts], [coded.indices.to_numpy().astype(np.int32).tobytes()],
-                   one_list(coded.dictionary.cast(pa.string()))]
-    rows = arrow_map(docs, "ids array<bigint>, counts array<int>, codes binary, words array<string>", work)
-    return stage(rows.withColumn("block", F.monotonically_increasing_id()), "piece-blocks")
-
-
-def one_list(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
-def word_table(blocks: DataFrame, pieces: Pieces) -> DataFrame:
-    """Each distinct marked word with its ids and their text."""
-    words = blocks.select(F.explode("words").alias("word")).distinct()
-    return stage(arrow_map(words, "word string, ids array<int>, decoded string",
-                           lambda batch: [[batch.column("word"), *pieces.segment(batch.column("word").to_pylist())]]), "piece-words")
-
-
-def joined_back(left: pa.Table, right: pa.Table, fields: pa.Schema) -> pa.Table:
-    """The rows of one block: ids and text of its words, set down in the order of the words."""
-    right = right.sort_by("pos").combine_chunks()
-    codes = pa.array(np.frombuffer(left["codes"][0].as_buffer(), np.int32))
-    rows = left["ids"].combine_chunks().flatten()
-    starts = np.concatenate([[0], np.cumsum(left["counts"].combine_chunks().flatten().to_numpy(), dtype=np.int64)])
-
-    def column(name: str, kind: pa.DataType) -> pa.Array:
-        parts = right[name].cast(kind).combine_chunks() if right.num_rows else pa.array([], kind)
-        return (parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts).take(codes)
-
-    ids = column("piece_ids", pa.large_list(pa.int32()))
-    ends = ids.offsets.to_numpy()[starts]
-    decoded = column("decoded", pa.large_string())
-    at = np.frombuffer(decoded.buffers()[1], np.int64, len(decoded) + 1, decoded.offset * 8)[starts]
-    # the marker before a text is no part of it: every text is cut into its first byte and the rest
-    halves = np.empty(2 * len(at) - 1, np.int64)
-    halves[::2], halves[1::2] = at, np.minimum(at[:-1] + 1, at[1:])
-    data = decoded.buffers()[2] or pa.py_buffer(b"")
-    whole = pa.LargeStringArray.from_buffers(2 * len(rows), pa.py_buffer(halves), data).take(pa.array(np.arange(1, 2 * len(rows), 2)))
-    return pa.table([rows, pa.LargeListArray.from_arrays(pa.array(ends), ids.values).cast(fields.field("ids").type), whole.cast(pa.string())],
-                    schema=fields)
+def marked_words(piece: Slice) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """First word of each text (one entry more), the place of every word in the table, and the table of different words."""
+    space = piece.data == 0x20
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[piece.offsets[:-1][np.diff(piece.offsets) > 0]] = True
+    begin = np.flatnonzero(begins)
+    edges = np.append(begin, len(piece.data)).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(piece.data))).dictionary_encode()
+    return np.searchsorted(begin, piece.offsets), coded.indices, coded.dictionary
+
+
+def joined(parts: pa.Array, codes: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """What stands in the table for each word, set down text by text."""
+    whole = parts.take(codes)
+    if pa.types.is_large_list(whole.type):
+        return pa.LargeListArray.from_arrays(pa.array(whole.offsets.to_numpy()[bounds]), whole.values)
+    ends = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)[bounds]
+    halves = np.empty(2 * len(ends) - 1, np.int64)  # the marker before a text is no part of it: a text is cut into its first byte and the rest
+    halves[::2], halves[1::2] = ends, np.minimum(ends[:-1] + 1, ends[1:])
+    cut = pa.LargeStringArray.from_buffers(len(halves) - 1, pa.py_buffer(halves), whole.buffers()[2] or pa.py_buffer(b""))
+    return cut.take(pa.array(np.arange(1, len(halves), 2)))
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids and decoded text of every row, as the library gives them for the whole text, without begin or end ids.
 
     Null texts count as empty: no ids, empty text. Rows without id and repeated rows come back as often as they stand. A block holds
-    whole texts, so the memory of a task follows the longest text. An empty table gives no rows; other columns are ignored.
+    whole texts, so the memory of a task follows its block or the longest text; nothing is shuffled. An empty table gives no rows; other
+    columns are ignored.
     """
-    blocks = word_blocks(texts(docs, id_col, text_col), block_bytes)
-    table = word_table(blocks, pieces)
-    used = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(table, "word").select(
-        F.col("block").alias("of"), "pos", F.col("ids").alias("piece_ids"), "decoded")
-    schema = schema_of("doc_id bigint, ids array<int>, decoded string")
-    fields = to_arrow_schema(schema)
-    rows = blocks.select("block", "ids", "counts", "codes")
-    return rows.groupBy("block").cogroup(used.groupBy("of")).applyInArrow(lambda left, right: joined_back(left, right, fields), schema)
+    def work(batch):
+        text = pc.replace_substring(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), MARKER, " ")
+        nothing = pa.scalar("", pa.large_string())
+        text = pc.if_else(pc.equal(text, nothing), nothing, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, nothing))
+        for piece in slices(text, block_bytes):
+            bounds, codes, table = marked_words(piece)
+            ids, decoded = pieces.segment(table)
+            yield [batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo), joined(ids, codes, bounds), joined(decoded, codes, bounds)]
+    return arrow_map(texts(docs, id_col, text_col), "doc_id bigint, ids array<int>, decoded string", work)

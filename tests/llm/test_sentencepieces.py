@@ -2,12 +2,13 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from epitide.llm import queries, sentencepieces
 from epitide.llm.common import table
+from epitide.llm.textops import slices
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "  ", "a", "a ", " a", "a  b", "▁", "▁x▁", "\t\n x\r\n", "ﬁ①é́ Ａ　b", "\x00a\x00", "<s> </s><0x0A> <unk>", "日本語 テキスト",
@@ -43,11 +44,12 @@ def test_query_against_the_library(spark, sf, model):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found.collect()} == want
 
 
-def test_each_word_is_segmented_once(spark, sf):
-    blocks = sentencepieces.word_blocks(table(spark, sf, "documents").repartition(4), 1 << 14)
-    words = sentencepieces.word_table(blocks, sentencepieces.load(PATH))
-    assert words.groupBy("word").count().filter("count > 1").isEmpty()
-    assert words.count() == blocks.select(F.explode("words")).distinct().count() < blocks.select(F.explode("words")).count()
+def test_each_word_of_a_block_is_segmented_once(spark, sf):
+    text = pa.array([" " + (r["text"] or "") for r in table(spark, sf, "documents").select("text").collect()], pa.large_string())
+    for piece in slices(text, 1 << 16):
+        bounds, codes, words = sentencepieces.marked_words(piece)
+        assert len(set(words.to_pylist())) == len(words) < len(codes)
+        assert "".join(words.take(codes).to_pylist()) == bytes(piece.data).decode() and bounds[-1] == len(codes)
 
 
 def test_empty_table(spark):
