@@ -71,8 +71,24 @@ def join_counted(left: DataFrame, right: DataFrame, on, how: str = "inner", most
     return left.join(F.broadcast(right) if is_small(right, most) else right, on, how)
 
 
+class _Shared:
+    """Gives the model; on its way to a task it leaves forget() behind."""
+
+    def __init__(self, get):
+        self.get = get
+
+    def __call__(self):
+        return self.get()
+
+    def __reduce__(self):
+        return _Shared, (self.get,)
+
+
 def share(spark: SparkSession, thing):
-    """Broadcasts a model together with its classes; the function that is returned gives it to a task, which unpacks it once."""
+    """Broadcasts a model together with its classes; the function that is returned gives it to a task, which unpacks it once.
+
+    Its attribute forget() frees the copies on the executors, once what needs the model is written.
+    """
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
     held = []
 
@@ -80,4 +96,6 @@ def share(spark: SparkSession, thing):
         if not held:
             held.append(pickle.loads(packed.value))
         return held[0]
-    return get
+    handle = _Shared(get)
+    handle.forget = packed.unpersist
+    return handle

@@ -128,29 +128,20 @@ def log_probabilities(levels: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return np.log(np.maximum(p, np.float32(1e-12), out=p), out=p)
 
 
-def perplexities(docs: DataFrame, models: list) -> DataFrame:
-    """doc_id, lang, trusted, perplexity (of a byte; null for a text without any), unseen (of trusted rows, by the model without them)."""
-    shared, tables = share(docs.sparkSession, models), {}
-
-    def table(model):
-        if model not in tables:
-            tables[model] = log_probabilities(shared()[model])
-        return tables[model]
-    ddl = "doc_id bigint, row_key bigint, lang string, trusted boolean, perplexity double, unseen double"
+def perplexities(docs: DataFrame, model: list, label: str) -> DataFrame:
+    """doc_id, row_key, lang, trusted, perplexity (of a byte; null for a text without any) by one model. Written at once, then the model is let go."""
+    shared, held = share(docs.sparkSession, model), []
+    ddl = "doc_id bigint, row_key bigint, lang string, trusted boolean, perplexity double"
 
     def work(batch):
-        trusted, fold = (np.asarray(batch.column(c)) for c in ("trusted", "fold"))
+        if not held:
+            held.append(log_probabilities(shared()))
         for piece in T.slices(batch.column("text")):
-            numbers, n = gram_numbers(piece), piece.hi - piece.lo
-            values = [mean_perplexity(table(ALL), numbers, piece.offsets), np.full(n, np.nan)]
-            for k in (0, 1):
-                own = np.flatnonzero(trusted[piece.lo:piece.hi] & (fold[piece.lo:piece.hi] == k))
-                if len(own):
-                    length = np.diff(piece.offsets)[own]
-                    at = np.repeat(piece.offsets[own] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-                    values[1][own] = mean_perplexity(table(k), numbers[at], np.r_[0, np.cumsum(length)])
-            yield (*[batch.column(c).slice(piece.lo, n) for c in ("doc_id", "row_key", "lang", "trusted")], *[pa.array(v, from_pandas=True) for v in values])
-    return arrow_map(docs.select("doc_id", "row_key", "text", "lang", "trusted", "fold"), ddl, work)
+            values = mean_perplexity(held[0], gram_numbers(piece), piece.offsets)
+            yield (*[batch.column(c).slice(piece.lo, piece.hi - piece.lo) for c in ("doc_id", "row_key", "lang", "trusted")], pa.array(values, from_pandas=True))
+    scored = stage(arrow_map(docs.select("doc_id", "row_key", "text", "lang", "trusted"), ddl, work), label)
+    shared.forget()
+    return scored
 
 
 def mean_perplexity(table: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -200,8 +191,11 @@ def quality(docs: DataFrame, labels: DataFrame, spreads: float = SPREADS, id_col
     marked = join_counted(rows, known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     marked = marked.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
     models = models_of(gram_counts(marked.filter("trusted")))
-    scored = stage(perplexities(marked, models).withColumn("lang_key", F.coalesce("lang", F.lit(""))), "perplexity")
-    limits, every = thresholds(scored.filter("trusted AND unseen IS NOT NULL"), spreads)
-    judged = join_counted(scored, limits, "lang_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
+    lang_key = F.coalesce("lang", F.lit("")).alias("lang_key")
+    # one model at a time: a task holds one table
+    halves = [perplexities(marked.filter(F.col("trusted") & (F.col("fold") == k)), models[k], "perplexity-unseen").select(
+        lang_key, F.col("perplexity").alias("unseen")) for k in (0, 1)]
+    limits, every = thresholds(halves[0].unionByName(halves[1]).filter("unseen IS NOT NULL"), spreads)
+    judged = join_counted(perplexities(marked, models[ALL], "perplexity").withColumn("lang_key", lang_key), limits, "lang_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select(*([F.col("row_key").alias(row_col)] if row_col else []), "doc_id", "lang", "trusted", "perplexity", "threshold", kept.alias("kept"))
