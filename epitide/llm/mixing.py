@@ -1,6 +1,7 @@
 """Mixing sources to target weights: raking of token weights to margins, then sampling by calibrated probabilities."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +56,21 @@ def margins(table: dict[tuple[str, str], float], lang: dict[str, float], topic:
                 factors[k] = targets.get(k, 0.0) / sums[k] if sums[k] > 0 else 0.0
 
 
+def with_factors(cells: DataFrame, b: dict[str, float], c: dict[str, float]) -> DataFrame:
+    """Cells with of_lang and of_topic. The factors are rows, not literals, so that the plan of every round runs the same compiled code."""
+    pairs = [(g, k, float(u), float(v)) for g, u in b.items() for k, v in c.items()]
+    names = ("lang", "topic", "of_lang", "of_topic")
+    columns = zip(*pairs, strict=True) if pairs else ([],) * 4
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64())
+    table = pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+    return cells.join(cells.sparkSession.createDataFrame(table), ["lang", "topic"])
+
+
 def source_factors(cells: DataFrame, b: dict[str, float], c: dict[str, float]) -> DataFrame:
     """The factor of every source that brings it to its target, given those of languages and topics."""
-    by_lang = F.create_map(*[x for k, v in b.items() for x in (F.lit(k), F.lit(float(v)))])
-    by_topic = F.create_map(*[x for k, v in c.items() for x in (F.lit(k), F.lit(float(v)))])
-    rest = F.col("share") * by_lang[F.col("lang")] * by_topic[F.col("topic")]
-    return cells.withColumn("other", by_lang[F.col("lang")] * by_topic[F.col("topic")]).join(
-        cells.groupBy("source").agg(F.sum(rest).alias("now"), F.max("target").alias("aim")).select(
+    rows = with_factors(cells, b, c).withColumn("other", F.col("of_lang") * F.col("of_topic")).drop("of_lang", "of_topic")
+    return rows.join(
+        rows.groupBy("source").agg(F.sum(F.col("share") * F.col("other")).alias("now"), F.max("target").alias("aim")).select(
             "source", F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0).alias("factor")), "source")
 
 
@@ -146,9 +155,8 @@ def bounded(cells: DataFrame, b: dict[str, float], c: dict[str, float]) -> DataF
 
     With the cells of a source by falling weight, those before some cell are drawn whole and the others in proportion to their weights.
     """
-    by_lang, by_topic = (F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.lit(float(v)))]) for of in (b, c))
     ranked = Window.partitionBy("source").orderBy(F.desc("weight"), "lang", "topic")
-    rows = cells.withColumn("weight", F.col("multiplier") * by_lang[F.col("lang")] * by_topic[F.col("topic")]).withColumns({
+    rows = with_factors(cells, b, c).withColumn("weight", F.col("multiplier") * F.col("of_lang") * F.col("of_topic")).drop("of_lang", "of_topic").withColumns({
         "whole": F.coalesce(F.sum("share").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
         "rest": F.sum(F.col("share") * F.col("weight")).over(ranked.rowsBetween(0, Window.unboundedFollowing))})
     factor = F.when(F.col("rest") > 0, (F.col("want") - F.col("whole")) / F.col("rest"))
