@@ -221,8 +221,8 @@ def impute_and_scale(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
         *panel.columns, ((F.col("_f") - F.col("_m")) / S.train_scale("_s")).alias("x"))
 
 
-def pack(panel: DataFrame, index: Sequence[str]) -> DataFrame:
-    """One row per index with x as an array in feature order and the feature names."""
-    cells = F.sort_array(F.collect_list(F.struct("feature", "x")))
+def pack(panel: DataFrame, index: Sequence[str], raw: bool = False) -> DataFrame:
+    """One row per index with x as an array in the order of the feature names; raw adds the values as they were, NULL where missing."""
+    cells = F.sort_array(F.collect_list(F.struct("feature", "x", *(["value"] if raw else []))))
     return panel.groupBy(*index).agg(cells.alias("_c")).select(
-        *index, F.transform("_c", lambda c: c["x"]).alias("x"), F.transform("_c", lambda c: c["feature"]).alias("features"))
+        *index, F.transform("_c", lambda c: c["x"]).alias("x"), *([F.transform("_c", lambda c: c["value"]).alias("raw")] if raw else []))

@@ -1,26 +1,27 @@
 """Spike early warning: labels, a classifier per target and horizon, and a severity ensemble with intervals."""
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.numeric import ridge_cv
+from ..functions.networks import predict
+from ..functions.networks import train as train_network
 from ..operators import features as X
 from ..operators.metrics import classification_metrics, ensemble_summary, interval_metrics
 from ..operators.rollup import period_grid, roll_up, rolled_series
 from ..operators.splits import chronological_split, purge_crossing_labels
 from ..schema import SpikeConfig
-from ..session import run_folder, stage
-from .forecast import bootstrap
+from ..session import stage
+from .models import by_group, chosen_text, matrix
 
 KEYS = ["target_id", "horizon"]
+PART = 5  # members of the severity ensemble that one task trains
+VALUE = "target_id string, horizon int, period date, member int, value double, classifier string, error string"
 
 
 def labelled(series: DataFrame, cfg: SpikeConfig = SpikeConfig()) -> DataFrame:
@@ -53,63 +54,39 @@ def run_gate(inputs: DataFrame, cfg: SpikeConfig) -> DataFrame:
         "error", F.when(small, F.format_string("Too few rows after split: train=%d, test=%d", "n_train", "n_test")).otherwise(""))
 
 
-def _members(pdf: pd.DataFrame) -> pd.DataFrame:
-    train = pdf[pdf["weight"] > 0]
-    intercept, slope = ridge_cv(np.stack(train["x"].to_numpy()), train["severity_score"].to_numpy(), train["weight"].to_numpy())
-    test = pdf[pdf["split"] == "test"]
-    value = np.maximum(0.0, intercept + np.stack(test["x"].to_numpy()) @ slope)
-    return test[["target_id", "horizon", "replicate", "period"]].assign(value=value)
+def network_values(inputs: DataFrame, cfg: SpikeConfig = SpikeConfig(), seed: int = 42) -> DataFrame:
+    """(target_id, horizon, period, member, value, classifier) of the test rows: member 0 is the chance of a spike, the others severities.
 
-
-def severity_intervals(inputs: DataFrame, cfg: SpikeConfig = SpikeConfig(), seed: int = 42) -> DataFrame:
-    """Mean and interval of severity over bootstrap ridge members, per test row.
-
-    One task fits one member of one target and horizon: at most one row per period.
-    """
-    from ..operators.frames import ordered
-    from pyspark.sql import Window
-    train = inputs.where(F.col("split") == "train").select(
-        *KEYS, "period", "split", "severity_score", "x", F.row_number().over(ordered(KEYS, ["period"])).alias("row_index"),
-        F.count(F.lit(1)).over(Window.partitionBy(*KEYS)).alias("n_rows"))
-    columns = [*KEYS, "replicate", "period", "split", "severity_score", "x", "weight"]
-    sample = bootstrap(train, KEYS, cfg.n_bootstrap, seed).select(*columns)
-    test = inputs.where(F.col("split") == "test").withColumn("weight", F.lit(0.0)).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_bootstrap)))).select(*columns)
-    paths = sample.unionByName(test).groupBy(*KEYS, "replicate").applyInPandas(
-        _members, "target_id string, horizon int, replicate int, period date, value double")
-    return ensemble_summary(paths, [*KEYS, "period"], "value", cfg.interval_level).select(
-        *KEYS, "period", F.col("prediction").alias("predicted_severity_score"),
-        F.col("lower").alias("severity_score_lower"), F.col("upper").alias("severity_score_upper"))
-
-
-def spike_probabilities(inputs: DataFrame, gate: DataFrame, cfg: SpikeConfig = SpikeConfig(), seed: int = 42,
-                        workers: int = 4) -> DataFrame:
-    """(target_id, horizon, period, spike_probability, classifier) of the test rows.
-
-    Targets with one class in training get its rate; the others one network each, fitted side by side.
+    A task trains the classifier or PART members of the severity ensemble of one target and horizon on its rows, at most one per
+    period; members are trained on rows drawn with replacement. With one class in training the chance is its rate.
     """
-    one_class = (F.col("train_spike_rate") <= 0) | (F.col("train_spike_rate") >= 1)
-    test = inputs.where(F.col("split") == "test").select(*KEYS, "period")
-    constant = test.join(gate.where(one_class).select(*KEYS, "train_spike_rate"), KEYS).select(
-        *KEYS, "period", F.col("train_spike_rate").alias("spike_probability"), F.lit("constant_single_class").alias("classifier"))
-    folder = run_folder(inputs.sparkSession, "spike-probabilities")
-
-    def fit(job):
-        mine = inputs.where((F.col("target_id") == job["target_id"]) & (F.col("horizon") == job["horizon"])).withColumn(
-            "vector", array_to_vector("x"))
-        net = MultilayerPerceptronClassifier(
-            featuresCol="vector", labelCol="spike", layers=[job["n_features"], *cfg.hidden, 2], maxIter=cfg.max_iter,
-            seed=seed + 100 * job["horizon"])
-        path = f"{folder}/{job['row']}"
-        net.fit(mine.where(F.col("split") == "train")).transform(mine.where(F.col("split") == "test")).select(
-            *KEYS, "period", S.clip01(vector_to_array("probability")[1]).alias("spike_probability"),
-            F.lit("mlp_classifier").alias("classifier")).write.parquet(path)
-        return path
-
-    jobs = [{**r.asDict(), "row": i} for i, r in enumerate(gate.where(~one_class).select(*KEYS, "n_features").orderBy(*KEYS).collect())]
-    with ThreadPoolExecutor(workers) as pool:
-        paths = list(pool.map(fit, jobs))
-    return constant.unionByName(inputs.sparkSession.read.parquet(*paths)) if paths else constant
+    parts = 1 + -(-cfg.n_bootstrap // PART)
+    tasked = inputs.select(*KEYS, "period", "split", "spike", "severity_score", "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def fit(key, table):
+        train = chosen_text(table["split"], "train")
+        x = matrix(table["x"])
+        periods, kind = table["period"].filter(pa.array(~train)).to_pylist(), None
+        label, score = (table[c].to_numpy().astype(float)[train] for c in ("spike", "severity_score"))
+        place = [seed, zlib.crc32(key["target_id"].encode()), key["horizon"]]
+        members, values = [], []
+        if key["part"] == 0:
+            kind = "constant_single_class"
+            chance = np.full(len(periods), label.mean())
+            if 0 < label.mean() < 1:
+                kind = "mlp_classifier"
+                chance = predict(train_network(x[train], label, cfg.hidden, cfg.max_iter, np.random.default_rng([*place, 0]), True), x[~train], True)
+            members, values = [0], [chance]
+        else:
+            for member in range((key["part"] - 1) * PART + 1, min(key["part"] * PART, cfg.n_bootstrap) + 1):
+                rng = np.random.default_rng([*place, member])
+                drawn = rng.integers(0, len(score), len(score))
+                net = train_network(x[train][drawn], score[drawn], cfg.hidden, cfg.max_iter, rng, False)
+                members.append(member)
+                values.append(np.maximum(0.0, predict(net, x[~train], False)))
+        n = len(periods)
+        return {"period": periods * len(members), "member": np.repeat(members, n).astype(np.int32), "value": np.concatenate(values), "classifier": [kind] * n * len(members)}
+    return by_group(tasked, [*KEYS, "part"], VALUE, fit)
 
 
 def spike_experiment(series: DataFrame, cfg: SpikeConfig = SpikeConfig(), seed: int = 42,
@@ -123,8 +100,14 @@ def spike_experiment(series: DataFrame, cfg: SpikeConfig = SpikeConfig(), seed:
     gate = run_gate(inputs, cfg)
     ready = gate.where(F.col("status") == "ok")
     usable = inputs.join(ready.select(*KEYS), KEYS, "left_semi")
-    chances = spike_probabilities(usable, ready, cfg, seed)
-    bands = severity_intervals(usable, cfg, seed)
+    values = stage(network_values(usable, cfg, seed), "spike-values")
+    chances = values.where("member = 0").select(*KEYS, "period", S.clip01("value").alias("spike_probability"), "classifier")
+    bands = ensemble_summary(values.where("member > 0"), [*KEYS, "period"], "value", cfg.interval_level).select(
+        *KEYS, "period", F.col("prediction").alias("predicted_severity_score"),
+        F.col("lower").alias("severity_score_lower"), F.col("upper").alias("severity_score_upper"))
+    failed = values.where("error IS NOT NULL").groupBy(*KEYS).agg(F.max("error").alias("_failed"))
+    gate = gate.join(failed, KEYS, "left").withColumns({
+        "status": F.when(F.col("_failed").isNotNull(), "error").otherwise(F.col("status")), "error": F.coalesce("_failed", "error")}).drop("_failed")
     test = labels.where(F.col("split") == "test").join(chances, [*KEYS, "period"]).join(bands, [*KEYS, "period"])
     predictions = test.select(
         "*", (F.col("spike_probability") >= cfg.decision_threshold).cast("int").alias("predicted_spike"),
@@ -138,5 +121,5 @@ def spike_experiment(series: DataFrame, cfg: SpikeConfig = SpikeConfig(), seed:
     fixed = predictions.groupBy(*KEYS).agg(F.max("spike_threshold").alias("spike_threshold"),
                                            F.max("severity_scale").alias("severity_scale"), F.max("classifier").alias("classifier"))
     results = (gate.join(classes, KEYS, "left").join(severity, KEYS, "left").join(fixed, KEYS, "left")
-               .withColumn("severity_model", F.when(F.col("status") == "ok", f"bootstrap_ridge_{cfg.n_bootstrap}")))
+               .withColumn("severity_model", F.when(F.col("status") == "ok", f"bootstrap_mlp_regressor_{cfg.n_bootstrap}")))
     return results, predictions

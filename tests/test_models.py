@@ -195,7 +195,7 @@ def test_model_subset_and_predictors(spark, data):
     assert set(one["model"]) == {"ols"} and set(two["model"]) == {"ols", "random_forest"}
     assert one["n_features"].max() < two["n_features"].max() and predictions.count() == 2 * two["n_test"].max()
     assert one["mse_skill_vs_train_mean"].max() > 0.5
-    assert set(models.MODEL_NAMES.values()) == set(models.model_specs())
+    assert set(models.LINES) < set(models.MODEL_NAMES.values())
 
 
 def test_spike_experiment(spark, data):
@@ -216,3 +216,47 @@ def test_boosted_direct(spark):
     predictions, metrics, importance = direct.boosted_direct(spark.createDataFrame(days), "date", "target", rounds=10)
     assert predictions.count() == 37 and metrics.first()["rmse"] > 0
     assert not any("const" in r["feature"] for r in importance.collect())
+
+
+def test_boosted_targets_leave_out_their_own_columns(spark):
+    days = pd.DataFrame({"date": pd.date_range("2024-01-01", periods=220).date})
+    days["a"], days["b"] = np.sin(np.arange(220) / 9) + 2, np.cos(np.arange(220) / 5) + 2
+    days.loc[40:45, "b"] = np.nan
+    spine = spark.createDataFrame(days)
+    panel, names = direct.direct_panel(spine, "date", ["a", "b"])
+    sizes = {r["target_id"]: r["n"] for r in panel.groupBy("target_id").agg(F.max(F.size("x")).alias("n")).collect()}
+    assert sizes == {"a": len(names) // 2, "b": len(names) // 2}
+    predictions, metrics, importance = direct.boosted_targets(spine, "date", ["a", "b"], rounds=20)
+    used = {(r["target_id"], r["feature"][0]) for r in importance.collect()}
+    assert used == {("a", "b"), ("b", "a")} and {r["target_id"] for r in metrics.where("error = ''").collect()} == {"a", "b"}
+    assert {r["target_id"]: r["count"] for r in predictions.groupBy("target_id").count().collect()} == {"a": 41, "b": 40}
+
+
+def test_failing_fit_is_an_error_row(spark, data):
+    _, df = data
+    rows = models.model_rows(df)
+    uneven = F.slice("x", 1, F.when(F.month("period") == 3, 2).otherwise(4))
+    broken = rows.unionByName(rows.withColumn("target_id", F.lit("broken")).withColumn("x", uneven))
+    results, predictions = models.evaluate_models(broken, ["ols", "random_forest"], trees=5)
+    status = {(r["target_id"], r["model"]): r["status"] for r in results.collect()}
+    assert {k[0]: v for k, v in status.items()} == {"y": "ok", "broken": "error"} and len(status) == 4
+    assert {r["target_id"] for r in predictions.select("target_id").distinct().collect()} == {"y"}
+
+
+def test_models_agree_with_plain_fits(spark, data):
+    _, df = data
+    rows = models.model_rows(df).orderBy("period").toPandas()
+    train = rows["split"] == "train"
+    x, y = np.stack(rows["x"].to_numpy()), rows["target"].to_numpy()
+    _, predictions = models.fit_models(df, models=["ols", "elastic_net"])
+    got = predictions.orderBy("model", "period").toPandas()
+    from epitide.functions import linear
+    for name in ("ols", "elastic_net"):
+        line = linear.LINES[name](x[train], y[train])
+        assert np.allclose(got[got["model"] == name]["prediction"], line["intercept"] + x[~train] @ line["slopes"])
+    assert np.allclose(x[train].mean(0), 0) and not np.isnan(x).any() and got["baseline_prediction"].iloc[0] == pytest.approx(y[train].mean())
+
+
+def test_unknown_model_is_refused(data):
+    with pytest.raises(ValueError, match="unknown"):
+        models.fit_models(data[1], models=["nothing"])

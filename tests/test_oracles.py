@@ -7,7 +7,7 @@ from conftest import SF
 from epitide import catalog
 
 QUERIES, ORACLES = catalog.load()
-SLOW = {"model_zoo", "spike_experiment", "forecast_strategies", "boosted_direct"}  # covered by their own tests
+SLOW = {"forecast_strategies"}  # covered by its own tests
 
 
 @pytest.fixture(scope="module")
