@@ -233,6 +233,16 @@ def ingestion_run(spark, sf):
     return merged(newest, series.withColumn("source", F.lit("web")), "source")
 
 
+def ingestion_rerun(spark, sf):
+    """A run of the events table, a second one, and the second one again from the rows with a value of at least 5: the last writing counts."""
+    root = run_folder(spark, "registry")
+    raw = table(spark, sf, "events").select(F.col("ts").alias("date"), F.col("event_type").alias("location"), "value")
+    for run, rows in (("20240101T000000Z", raw), ("20240201T000000Z", raw), ("20240201T000000Z", raw.where("value >= 5"))):
+        runs.ingest(rows, {"name": "web", "pathogen": "none", "role": "predictive"}, root, run)
+    stored = runs.read_signals(spark, root).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), R(F.sum("value"), 2).alias("total"))
+    return merged(stored, runs.manifests(spark, root).select("run_id", F.col("rows").alias("manifest_rows")), "run_id")
+
+
 QUERIES = {
     "normalized_unpivot": unpivot,
     "ingest_stats": ingest_stats,
@@ -256,6 +266,7 @@ QUERIES = {
     "delimited_round_trip": round_trip,
     "landed_charts": landed_charts,
     "ingestion_run": ingestion_run,
+    "ingestion_rerun": ingestion_rerun,
     "file_inventory": lambda s, sf: files.inventory(s, sf, "*.parquet"),
     "file_checksums": lambda s, sf: files.checksums(s, sf, "*.parquet"),
     "files_by_suffix": lambda s, sf: files.size_by_suffix(files.inventory(s, sf)),
@@ -421,6 +432,9 @@ SELECT CASE event_type WHEN 'view' THEN 'gp-admissions' WHEN 'click' THEN 'nhs-1
        CASE event_type WHEN 'view' THEN 'gp_admissions' WHEN 'click' THEN 'nhs_calls' ELSE 'other' END AS series_type,
        'date' AS date_column, 'metric_value' AS value_column, CAST(date_trunc('week', date) AS DATE) AS week,
        count(*) AS n_rows, rnd(sum(v), 2) AS total FROM d GROUP BY ALL""",
+    "ingestion_rerun": """
+SELECT '20240101T000000Z' AS run_id, count(value) AS n_rows, rnd(sum(value), 2) AS total, count(value) AS manifest_rows FROM events
+UNION ALL SELECT '20240201T000000Z', count(*), rnd(sum(value), 2), count(*) FROM events WHERE value >= 5""",
     "ingestion_run": """
 WITH m AS (SELECT avg(CASE WHEN user_id % 4 <> 0 THEN 1.0::DOUBLE ELSE 0 END) / 2 AS f, count(value) + count(*) FILTER (WHERE user_id % 4 = 0) AS n,
                   strftime(min(ts), '%Y-%m-%d') AS a, strftime(max(ts), '%Y-%m-%d') AS b FROM events)

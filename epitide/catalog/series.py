@@ -1,6 +1,7 @@
 """Canonical series, roll-ups, catalogues, filters, cleaning and site features."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -37,15 +38,19 @@ def zscores(spark, sf):
                        R("log10_value", 6).alias("log10_value"), R("zscore_within_series", 6).alias("zscore_within_series"))
 
 
+def day_chunk():
+    """A day, or some of the rows without one: no chunk grows with the table's undated rows."""
+    return F.struct(F.col("date").isNull().alias("undated"), "date", F.expr("event_id div 100000").alias("part"))
+
+
 def rolling(spark, sf):
-    rows = clean.add_log_signal(sites(spark, sf)).where("date IS NOT NULL")
-    out = clean.rolling_features(rows, keys=("country", "pathogen"), order=("date", "event_id"), chunk=F.col("date"))
+    rows = clean.add_log_signal(sites(spark, sf))
+    out = clean.rolling_features(rows, keys=("country", "pathogen"), order=("date", "event_id"), chunk=day_chunk())
     return out.select("event_id", *rounded(("rolling_3_log10_value", "weekly_change_rolling_3_log10_value"), 6))
 
 
 def site_lags(spark, sf):
-    rows = sites(spark, sf).where("date IS NOT NULL")
-    out = clean.group_lags(rows, ["value"], [1, 2, 5], ["country", "site_id"], ["date", "event_id"], F.col("date"))
+    out = clean.group_lags(sites(spark, sf), ["value"], [1, 2, 5], ["country", "site_id"], ["date", "event_id"], day_chunk())
     return out.select("event_id", "value_lag1", "value_lag2", "value_lag5")
 
 
@@ -55,6 +60,18 @@ def latest(spark, sf):
         "country", "pathogen", "latest_date", "sites", R("median_latest_z", 6).alias("median_latest_z"))
 
 
+def signal_ranking(spark, sf):
+    return clean.ranked_signals(latest(spark, sf)).select("country", "pathogen", "median_latest_z", "place")
+
+
+def day_first_columns(spark, sf):
+    """The same days as text with the day first, with the month first and in ISO form; one order holds for a column."""
+    day = F.col("o_orderdate").cast("date")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.date_format(day, "dd/MM/yyyy").alias("a"), F.date_format(day, "M/d/yyyy").alias("b"),
+                                             F.date_format(day, "yyyy-MM-dd").alias("c"))
+    return rows.select("o_orderkey", *[frames.column_day(rows, k).alias(name) for k, name in (("a", "day_first"), ("b", "month_first"), ("c", "iso"))])
+
+
 def coverage_pivot(spark, sf):
     return rollup.pivot_counts(clean.coverage(sites(spark, sf)), "country", "pathogen", "n_observations", ["k0", "k1", "k2"])
 
@@ -66,7 +83,7 @@ def quality(spark, sf):
 
 
 def column_profile(spark, sf):
-    out = profile.describe(table(spark, sf, "orders").drop("o_orderdate"))
+    out = profile.describe(table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")))
     return out.select("column", "count", "missing", "missing_pct", "unique", "top", "freq",
                       *rounded(("mean", "std", "min", "p25", "p50", "p75", "max"), 4))
 
@@ -158,8 +175,10 @@ def weekly_counts(spark, sf):
 
 
 def last_periods(spark, sf):
-    rolled = rollup.roll_up(canonical(spark, sf)).where(F.col("series_id") == "orders::1-URGENT")
-    return rolled.orderBy(F.col("period").desc()).limit(12).select("period", R("value", 4).alias("value"))
+    """The twelve newest weeks of every series."""
+    newest = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("period").desc()))
+    rolled = rollup.roll_up(canonical(spark, sf)).withColumn("place", newest).where(F.col("place") <= 12)
+    return rolled.select("series_id", "place", "period", R("value", 4).alias("value"))
 
 
 def top_parts(spark, sf):
@@ -188,6 +207,8 @@ QUERIES = {
     "rolling_features": rolling,
     "site_lags": site_lags,
     "latest_signal_summary": latest,
+    "signal_ranking": signal_ranking,
+    "day_first_columns": day_first_columns,
     "coverage": lambda s, sf: clean.coverage(sites(s, sf)),
     "coverage_pivot": coverage_pivot,
     "quality_report": quality,
@@ -251,16 +272,22 @@ SELECT event_id, country, pathogen, site_id, date, CAST(date_trunc('week', date)
                                  ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r,
          avg(lv) OVER (PARTITION BY country, pathogen ORDER BY date, event_id
                        ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b
-  FROM logs WHERE date IS NOT NULL)
+  FROM logs)
 SELECT event_id, rnd(r, 6) AS rolling_3_log10_value, rnd(r - b, 6) AS weekly_change_rolling_3_log10_value FROM rolled""",
     "site_lags": "WITH " + SITES_SQL + """
 SELECT event_id, lag(value, 1) OVER w AS value_lag1, lag(value, 2) OVER w AS value_lag2, lag(value, 5) OVER w AS value_lag5
-FROM sites WHERE date IS NOT NULL WINDOW w AS (PARTITION BY country, site_id ORDER BY date, event_id)""",
+FROM sites WINDOW w AS (PARTITION BY country, site_id ORDER BY date, event_id)""",
     "latest_signal_summary": "WITH " + ZSITES_SQL + """, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY country, pathogen, site_id ORDER BY date DESC NULLS FIRST, event_id DESC) AS r
   FROM zed)
 SELECT country, pathogen, max(date) AS latest_date, count(DISTINCT site_id) AS sites,
        rnd(quantile_cont(z, 0.5), 6) AS median_latest_z FROM ranked WHERE r = 1 GROUP BY ALL""",
+    "signal_ranking": "WITH " + ZSITES_SQL + """, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY country, pathogen, site_id ORDER BY date DESC NULLS FIRST, event_id DESC) AS r FROM zed),
+summary AS (SELECT country, pathogen, rnd(quantile_cont(z, 0.5), 6) AS median_latest_z FROM ranked WHERE r = 1 GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY pathogen ORDER BY median_latest_z DESC NULLS LAST, country) AS INTEGER) AS place FROM summary""",
+    "day_first_columns": """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day_first, CAST(o_orderdate AS DATE) AS month_first, CAST(o_orderdate AS DATE) AS iso FROM orders""",
     "coverage": "WITH " + SITES_SQL + """
 SELECT country, pathogen, min(date) AS start_date, max(date) AS end_date, count(*) AS n_observations,
        count(DISTINCT site_id) AS n_sites FROM sites GROUP BY ALL""",
@@ -286,7 +313,9 @@ FROM good GROUP BY l_returnflag""",
         + [f"""SELECT '{c}', count({c}), count(*) - count({c}), round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2),
    count(DISTINCT {c}), (SELECT {c} FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
    (SELECT count(*) FROM orders GROUP BY {c} ORDER BY count(*) DESC LIMIT 1),
-   NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM orders""" for c in ("o_orderstatus", "o_orderpriority")]),
+   NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders)"""
+           .replace("FROM orders GROUP", "FROM (SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders) GROUP")
+           for c in ("o_orderdate", "o_orderstatus", "o_orderpriority")]),
     "column_facts": """
 SELECT 'event_id' AS "column", 0 AS position, count(*) AS n_rows, count(event_id) AS n_filled, 0::BIGINT AS n_dates,
        count(event_id) AS n_numbers FROM events UNION ALL
@@ -347,7 +376,8 @@ WITH w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS period, avg(o
            FROM orders GROUP BY ALL)
 SELECT period, rnd(m, 4) AS mean_value, n AS n_observations, rnd(ln(1 + greatest(m, 0)), 6) AS log1p_mean FROM w""",
     "last_periods": "WITH " + WEEKLY_SQL + """
-SELECT period, rnd(value, 4) AS value FROM weekly WHERE series_id = 'orders::1-URGENT' ORDER BY period DESC LIMIT 12""",
+SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY period DESC) AS INTEGER) AS place, period, rnd(value, 4) AS value
+FROM weekly QUALIFY place <= 12""",
     "top_parts": """
 WITH t AS (SELECT l_partkey, rnd(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_partkey)
 SELECT * FROM t ORDER BY total DESC NULLS LAST, l_partkey LIMIT 20""",

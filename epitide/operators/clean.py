@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import CANONICAL, ROLES
-from .frames import null_safe_join
+from .frames import column_day, null_safe_join
 from .ordered import over_chunks
 from .quantiles import exact_quantiles
 
@@ -20,8 +20,7 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 
 
 def add_time_features(df: DataFrame, date: str = "date") -> DataFrame:
-    day = F.col(date) if dict(df.dtypes)[date] in ("date", "timestamp", "timestamp_ntz") else S.to_day(date)
-    out = df.withColumn("date", day.cast("date"))
+    out = df.withColumn("date", column_day(df, date))
     return (out.withColumn("week", S.period("date", "W")).withColumn("year", F.year("date"))
             .withColumn("month", F.month("date")))
 
@@ -85,6 +84,12 @@ def latest_signal_summary(df: DataFrame, tie: str | None = None, z: str = "zscor
     return null_safe_join(counts, medians, keys)
 
 
+def ranked_signals(summary: DataFrame, group: str = "pathogen", z: str = "median_latest_z", tie: str = "country") -> DataFrame:
+    """The summary by rising group and, within it, falling signal, with the place there; missing signals come last."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col(z).desc_nulls_last(), tie))
+    return summary.withColumn("place", place).orderBy(F.col(group).asc_nulls_last(), F.col(z).desc_nulls_last(), tie)
+
+
 def coverage(df: DataFrame, keys: Sequence[str] = ("country", "pathogen"), site: str = "site_id") -> DataFrame:
     return df.groupBy(*keys).agg(
         F.min("date").alias("start_date"), F.max("date").alias("end_date"),
@@ -126,7 +131,7 @@ def custom_series(df: DataFrame, date: str, value: str, series_id: str, series_n
     if role not in ROLES:
         raise ValueError("role must be 'predictive' or 'predicted'")
     types = dict(df.dtypes)
-    day = F.col(date).cast("date") if types[date] in ("date", "timestamp", "timestamp_ntz") else S.to_day(date)
+    day = column_day(df, date)
     number = S.to_number(value) if types[value] == "string" else S.finite(F.col(value).cast("double"))
     return df.select(
         day.alias("date"), number.alias("value"), F.lit(series_id).alias("series_id"), F.lit(role).alias("role"),

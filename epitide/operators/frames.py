@@ -6,6 +6,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 
 def positive_lags(lags: Iterable[int]) -> list[int]:
     """Sorted, de-duplicated lags; anything below one would leak the period itself."""
@@ -37,6 +39,19 @@ def ordered(keys: Sequence[str], order: Sequence[str | Column]) -> Window:
         *[(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in order])
 
 
+def column_day(df: DataFrame, column: str, layout: str | None = None) -> Column:
+    """Dates of a column of any type. Text has one order of day and month for the whole column.
+
+    One value that can only have its day first decides for all; this is asked in a scalar subquery, an aggregate of the one column.
+    """
+    if dict(df.dtypes)[column] in ("date", "timestamp", "timestamp_ntz"):
+        return F.col(f"`{column}`").cast("date")
+    if layout:
+        return S.to_day(F.col(f"`{column}`"), layout)
+    order = df.select(F.col(f"`{column}`").alias("_text")).agg(F.coalesce(F.max(S.only_day_first("_text")), F.lit(False))).scalar()
+    return S.to_day(F.col(f"`{column}`"), day_first=order)
+
+
 def distinct_values(df: DataFrame, column: str) -> list:
     """Sorted distinct values, for the columns of a pivot."""
     return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())

@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -128,57 +128,6 @@ def file_columns(rows: DataFrame) -> DataFrame:
         F.coalesce(F.max(S.only_day_first("text")), F.lit(False)).alias("day_first"))
 
 
-def _at_least(share: int) -> Column:
-    return F.greatest(F.lit(3), F.floor(F.col("n_rows") / share))
-
-
-def date_choice(columns: DataFrame, candidates: Sequence[str], share: int = 3) -> DataFrame:
-    """(path, member, date_column, date_position, day_first): first candidate with a date, else first mostly-dates column."""
-    place = F.create_map(*[F.lit(x) for i, c in enumerate(candidates) for x in (c, i)])
-    rank = F.when((F.col("n_dates") > 0) & F.element_at(place, F.col("column")).isNotNull(),
-                  F.element_at(place, F.col("column"))).when(
-        F.col("n_dates") >= _at_least(share), F.col("position") + 1000)
-    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "column", "position", "day_first")))
-    return columns.groupBy(*FILE).agg(best.alias("b")).where(F.col("b").isNotNull()).select(
-        *FILE, F.col("b.column").alias("date_column"), F.col("b.position").alias("date_position"), F.col("b.day_first").alias("day_first"))
-
-
-def value_choice(columns: DataFrame, preferred: Sequence[str] = P.CHART_VALUES) -> DataFrame:
-    """(path, member, value_column, value_position): numeric column with most preferred words, see P.value_column."""
-    score = F.lit(0)
-    for word in preferred:
-        score = score + F.col("column").contains(word).cast("int")
-    dated = F.col("column").rlike("date|week|month|year")
-    best = F.max(F.when(score > 0, F.struct(score.alias("s"), "column", "position")))
-    plain = F.min(F.when(~dated, F.struct("position", "column")))
-    numeric = columns.where(F.col("n_numbers") >= _at_least(3))
-    picks = numeric.groupBy(*FILE).agg(best.alias("a"), plain.alias("b"), F.min(F.struct("position", "column")).alias("c"))
-    return picks.select(*FILE, F.coalesce("a.column", "b.column", "c.column").alias("value_column"),
-                        F.coalesce("a.position", "b.position", "c.position").alias("value_position"))
-
-
-def _score(name: Column) -> Column:
-    words = F.lit(0)
-    for w in P.VALUE_WORDS:
-        words = words + name.contains(w).cast("int")
-    other = F.lit(False)
-    for w in P.OTHER_WORDS:
-        other = other | (name == w) | name.endswith("_" + w) | name.startswith(w + "_")
-    return F.when(other, -10).otherwise(words)
-
-
-def value_choices(columns: DataFrame, dates: DataFrame, limit: int = 3) -> DataFrame:
-    """Up to limit (value_column, value_position) per file by score then name; unscored ones only if none scores."""
-    open_columns = columns.drop("day_first").join(dates, FILE).where(F.col("position") != F.col("date_position"))
-    scored = open_columns.withColumn("_s", _score(F.col("column"))).where(
-        (F.col("_s") >= 0) & (F.col("n_numbers") >= _at_least(5)))
-    w = Window.partitionBy(*FILE)
-    ranked = scored.withColumn("_best", F.max("_s").over(w)).withColumn(
-        "_r", F.row_number().over(w.orderBy(F.col("_s").desc(), F.col("column").desc())))
-    return ranked.where((F.col("_r") <= limit) & ((F.col("_s") > 0) | (F.col("_best") == 0))).select(
-        *FILE, "date_column", "date_position", "day_first", F.col("column").alias("value_column"), F.col("position").alias("value_position"))
-
-
 def observations(rows: DataFrame, choice: DataFrame) -> DataFrame:
     """(path, member, columns chosen, date, value) of the rows that have both. choice is one row per file and value."""
     return rows.join(choice, FILE).select(
@@ -194,8 +143,8 @@ def _files(rows: DataFrame) -> DataFrame:
 def chart_catalogue(rows: DataFrame) -> DataFrame:
     """One row per chart file: class, date and value columns; files without them are error rows."""
     columns = file_columns(rows)
-    found = (_files(rows).join(date_choice(columns, P.CHART_DATES), FILE, "left")
-             .join(value_choice(columns), FILE, "left"))
+    found = (_files(rows).join(P.date_choice(columns, P.CHART_DATES, 3, FILE), FILE, "left")
+             .join(P.value_choice(columns, P.CHART_VALUES, FILE), FILE, "left"))
     error = F.coalesce("error", F.when(F.col("date_column").isNull(), "no date column").when(
         F.col("value_column").isNull(), "no numeric value column"))
     return found.select(
@@ -209,7 +158,7 @@ def chart_catalogue(rows: DataFrame) -> DataFrame:
 def chart_observations(rows: DataFrame) -> DataFrame:
     """(path, series_type, date, value, week, month) of all readable chart files."""
     columns = file_columns(rows)
-    choice = date_choice(columns, P.CHART_DATES).join(value_choice(columns), FILE)
+    choice = P.date_choice(columns, P.CHART_DATES, 3, FILE).join(P.value_choice(columns, P.CHART_VALUES, FILE), FILE)
     out = observations(rows, choice)
     return out.select("path", chart_class(S.file_name("path"), F.col("header")).alias("series_type"), "date", "value",
                       "date_column", "value_column", S.period("date", "W").alias("week"), S.period("date", "M").alias("month"))
@@ -228,7 +177,7 @@ def search_catalogue(rows: DataFrame, index: int = 1) -> DataFrame:
     columns = file_columns(rows)
     value = columns.where(F.col("position") == index).select(
         *FILE, F.col("column").alias("predictor_column"), F.col("n_numbers").alias("usable_predictor_values"))
-    found = _files(rows).join(date_choice(columns, P.SEARCH_DATES), FILE, "left").join(value, FILE, "left")
+    found = _files(rows).join(P.date_choice(columns, P.SEARCH_DATES, 3, FILE), FILE, "left").join(value, FILE, "left")
     error = F.coalesce("error", F.when(F.size("columns") <= index, "too few columns").when(
         F.col("date_column").isNull(), "no date column").when(
         F.coalesce("usable_predictor_values", F.lit(0)) == 0, "the value column has no numbers"))
@@ -241,7 +190,7 @@ def search_catalogue(rows: DataFrame, index: int = 1) -> DataFrame:
 
 def search_observations(rows: DataFrame, index: int = 1, label: str = "file") -> DataFrame:
     """(path, search_term, date, count, week, month); the term is the file's name or its column header."""
-    choice = date_choice(file_columns(rows), P.SEARCH_DATES).select(
+    choice = P.date_choice(file_columns(rows), P.SEARCH_DATES, 3, FILE).select(
         "*", F.lit(index).alias("value_position"), F.lit("").alias("value_column"))
     out = observations(rows.where(F.size("header") > index), choice)
     term = S.term_label("path") if label == "file" else F.get("header", F.lit(index))
@@ -268,7 +217,7 @@ def raw_series(rows: DataFrame, catalogue: DataFrame, limit: int = 3, minimum: i
     names = catalogue.select("country", "pathogen_scope", "level", F.col("filename").alias("source_name"),
                              F.explode(F.array("filename", F.regexp_replace("filename", r"\.[^.]+$", ""))).alias("_key"))
     columns = file_columns(rows)
-    choices = value_choices(columns, date_choice(columns, P.RAW_DATES, 4), limit)
+    choices = P.value_choices(columns, P.date_choice(columns, P.RAW_DATES, 4, FILE), limit, FILE)
     found = observations(rows, choices)
     by_file = found.withColumn("_key", S.file_name("path")).join(names, "_key")
     by_folder = found.withColumn("_key", folder).join(names, "_key")
@@ -286,7 +235,7 @@ def raw_series(rows: DataFrame, catalogue: DataFrame, limit: int = 3, minimum: i
 def monthly_totals(rows: DataFrame, value_column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Monthly sums of one column over all files that have it, tagged by file; suppression marks are removed."""
     columns = file_columns(rows)
-    months = date_choice(columns, P.MONTH_DATES, 1_000_000_000)
+    months = P.date_choice(columns, P.MONTH_DATES, 1_000_000_000, FILE)
     position = F.array_position("header", value_column)
     have = rows.where((position > 0) & F.col("cells").isNotNull()).join(months, FILE, "left")
     extra = [F.get("cells", (F.array_position("header", k) - 1).cast("int")).alias(k) for k in keys]
@@ -298,7 +247,7 @@ def monthly_totals(rows: DataFrame, value_column: str, keys: Sequence[str] = ())
 def weather_series(rows: DataFrame, minimum: int = 10) -> DataFrame:
     """Weather tables (date first found by name, every other numeric column a series); place from the file name."""
     columns = file_columns(rows)
-    dates = date_choice(columns, ("time", "date"), 1_000_000_000)
+    dates = P.date_choice(columns, ("time", "date"), 1_000_000_000, FILE)
     values = columns.drop("day_first").join(dates, FILE).where((F.col("position") != F.col("date_position")) & (F.col("n_numbers") >= minimum))
     choice = values.select(*FILE, "date_column", "date_position", "day_first", F.col("column").alias("value_column"),
                            F.col("position").alias("value_position"))

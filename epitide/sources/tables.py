@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.frames import column_day
 from ..operators.reshape import first_pivot
 
 BOM = "﻿"
@@ -205,9 +206,7 @@ def spine_rows(df: DataFrame, source: SpineSource, order: str | None = None) ->
     for column, wanted in source.filters.items():
         if column in df.columns:
             df = df.where(F.col(column) == wanted)
-    kind = dict(df.dtypes)[source.date_column]
-    date = (F.col(source.date_column).cast("date") if kind in ("date", "timestamp", "timestamp_ntz")
-            else S.to_day(source.date_column, source.date_layout))
+    date = column_day(df, source.date_column, source.date_layout)
     value = S.to_number(source.value_column) if dict(df.dtypes)[source.value_column] == "string" else F.col(source.value_column)
     if source.series_column is None:
         name = F.lit(source.output_name or source.name)

@@ -150,13 +150,16 @@ def test_lag_panel_uses_the_shared_grid(spark):
     assert values == {weeks[0]: None, weeks[1]: 0.0, weeks[2]: 1.0, weeks[3]: None, weeks[4]: 3.0, weeks[5]: 4.0}
 
 
-def test_column_rules():
-    facts = [profile.ColumnFacts(n, 10, d, v) for n, d, v in (
-        ("week", 10, 0), ("region_id", 0, 10), ("viral_load", 0, 10), ("mean_copies", 0, 9), ("comment", 0, 0), ("year", 0, 10))]
-    assert profile.date_column(10, facts, profile.CHART_DATES) == "week"
-    assert profile.value_column(10, facts, ("load",)) == "viral_load"
-    assert profile.value_column(10, facts, ("zzz",)) == "region_id"
-    assert profile.value_columns(10, facts, "week") == ["viral_load", "mean_copies"]
+def test_column_rules(spark):
+    facts = spark.createDataFrame([(0, n, i, 10, d, v, False) for i, (n, d, v) in enumerate((
+        ("week", 10, 0), ("region_id", 0, 10), ("viral_load", 0, 10), ("mean_copies", 0, 9), ("comment", 0, 0), ("year", 0, 10)))],
+        "_table int, column string, position int, n_rows long, n_dates long, n_numbers long, day_first boolean")
+    dates = profile.date_choice(facts, profile.CHART_DATES, 3, ["_table"])
+    assert dates.first()["date_column"] == "week"
+    assert profile.value_choice(facts, ("load",), ["_table"]).first()["value_column"] == "viral_load"
+    assert profile.value_choice(facts, ("zzz",), ["_table"]).first()["value_column"] == "region_id"
+    assert [r["value_column"] for r in profile.value_choices(facts, dates, 3, ["_table"]).collect()] == ["viral_load", "mean_copies"]
+    assert profile.date_choice(facts.where("position > 0"), profile.CHART_DATES, 3, ["_table"]).isEmpty()
     assert profile.column_mapping(["date", "location", "new_cases"]) == {
         "date_column": "date", "geography_column": "location", "signal_columns": ["new_cases"]}
     assert profile.column_mapping(["date", "a", "b"], {"date_column": "zz", "signal_columns": ["b"]})["signal_columns"] == ["b"]
@@ -187,3 +190,28 @@ def test_positive_lags():
     assert frames.positive_lags((3, 1, 1)) == [1, 3]
     with pytest.raises(ValueError):
         frames.positive_lags((0, 1))
+
+
+def test_one_date_order_for_a_column(spark):
+    df = spark.createDataFrame([("05/12/2023", "05/12/2023", 1.0), ("25/12/2023", "12/25/2023", 2.0), ("26/12/2023", None, 3.0)], "a string, b string, v double")
+    days = {c: [r[0] for r in clean.custom_series(df, c, "v", "s", "s", "predicted").orderBy("value").select("date").collect()] for c in ("a", "b")}
+    assert days == {"a": [D(2023, 12, 5), D(2023, 12, 25), D(2023, 12, 26)], "b": [D(2023, 5, 12), D(2023, 12, 25)]}
+    assert [r["date"] for r in clean.add_time_features(df, "a").orderBy("v").collect()] == days["a"]
+    wide = reshape.normalized_signals(df.drop("b"), "s", "p", "predicted", {"date_column": "a", "geography_column": None, "signal_columns": ["v"]})
+    assert [r["date"] for r in wide.orderBy("value").collect()] == days["a"]
+    empty = clean.custom_series(df.limit(0), "a", "v", "s", "s", "predicted")
+    assert empty.isEmpty()
+
+
+def test_undated_rows_keep_their_order(spark):
+    rows = [("k", D(2024, 1, d) if d else None, i, float(i)) for i, d in enumerate((1, 1, 2, 0, 0, 0))]
+    df = spark.createDataFrame(rows, "country string, date date, event_id long, value double")
+    chunk = F.struct(F.col("date").isNull().alias("undated"), "date", F.expr("event_id div 2").alias("part"))
+    got = clean.group_lags(df, ["value"], [1, 3], ["country"], ["date", "event_id"], chunk)
+    assert [(r["value_lag1"], r["value_lag3"]) for r in got.orderBy("event_id").collect()] == [
+        (None, None), (0.0, None), (1.0, None), (2.0, 0.0), (3.0, 1.0), (4.0, 2.0)]
+
+
+def test_signals_ranked_in_two_directions(spark):
+    df = spark.createDataFrame([("a", "p2", 1.0), ("b", "p1", None), ("c", "p1", 2.0), ("d", "p1", 2.0), ("e", None, 1.0)], "country string, pathogen string, median_latest_z double")
+    assert [(r["country"], r["place"]) for r in clean.ranked_signals(df).collect()] == [("c", 1), ("d", 2), ("b", 3), ("a", 1), ("e", 1)]

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from epitide.operators import reshape
+from epitide.operators import profile, reshape
 from epitide.plans import events, pipelines
 from epitide.schema import REGISTRY
 from epitide.sources import cells, files, links, runs, tables
@@ -117,7 +117,7 @@ def test_all_series(spark, tree):
 def test_model_run_writes_everything(spark, tree, tmp_path):
     from epitide.schema import PanelConfig
     series = pipelines.all_series(spark, pipelines.Landing(str(tree)), external=False)
-    best = pipelines.model_run(series, str(tmp_path / "out"), PanelConfig(lags=(1,)), trees=2, rounds=1, penalties=(0.1,))
+    best = pipelines.model_run(series, str(tmp_path / "out"), PanelConfig(lags=(1,)), trees=2, rounds=1)
     assert best.count() == 5
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "family_counts")).count() == 4
     with pytest.raises(ValueError):
@@ -279,7 +279,7 @@ def test_day_first_preamble_and_broken_files(spark, tmp_path):
     write(tmp_path / "b.csv", "date,value\n" + "2024-01-01,1\n" * 6000 + "2024-01-02," + "x" * 200_000 + "\n")
     rows = cells.read_rows(spark, str(tmp_path), header_marks=("date",))
     columns = cells.file_columns(rows)
-    choice = cells.date_choice(columns, ("date",)).join(cells.value_choice(columns), cells.FILE)
+    choice = profile.date_choice(columns, ("date",), 3, cells.FILE).join(profile.value_choice(columns, profile.CHART_VALUES, cells.FILE), cells.FILE)
     got = sorted((str(r["date"]), r["value"]) for r in cells.observations(rows, choice).collect())
     assert got == [("2023-12-05", 1.0), ("2023-12-25", 2.0), ("2023-12-26", 3.0)]
     assert rows.where("error IS NOT NULL").count() == 1
@@ -303,3 +303,32 @@ def test_links_with_dots_and_references(spark):
 def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(1.0, 1), (float("nan"), None)], "a double, b int")
     assert runs.missing_fraction(df, ["a", "b"]).first()[0] == 0.5
+
+
+def test_a_run_that_is_repeated_replaces_itself(spark, tmp_path):
+    def land(run, factor, n=5):
+        raw = spark.createDataFrame([(D(2026, 1, 4) + dt.timedelta(weeks=i), factor * i) for i in range(n)], "date date, cases double")
+        runs.ingest(raw, {"name": "a", "pathogen": "rsv", "role": "predicted"}, str(tmp_path), run)
+
+    land("r1", 1.0)
+    land("r2", 2.0)
+    land("r2", 3.0, 4)
+    rows = runs.read_signals(spark, str(tmp_path))
+    assert {(r["run_id"], r["n"], r["v"]) for r in rows.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("value").alias("v")).collect()} == {
+        ("r1", 5, 10.0), ("r2", 4, 18.0)}
+    assert sorted((r["run_id"], r["rows"]) for r in runs.manifests(spark, str(tmp_path)).collect()) == [("r1", 5), ("r2", 4)]
+    table, manifest = runs.read_feature_table(spark, str(tmp_path), "a")
+    assert table.count() == 4 and manifest["run_id"] == "r2" and {"source", "run_id"} <= set(table.columns)
+
+
+def test_pointers_without_manifest(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "features" / "own.parquet"))
+    write(tmp_path / "latest" / "own.json", json.dumps({"feature_set": "own", "run_id": "r1", "path": "features/own.parquet"}))
+    write(tmp_path / "latest" / "lost.json", json.dumps({"feature_set": "lost", "latest_run_id": "r2", "manifest_path": "manifests/lost/r2.json"}))
+    table, manifest = runs.read_pointer(spark, str(tmp_path), "own")
+    assert table.count() == 3 and manifest["run_id"] == "r1"
+    for name in ("lost", "absent"):
+        with pytest.raises(FileNotFoundError):
+            runs.read_pointer(spark, str(tmp_path), name)
+    write(tmp_path / "manifests" / "lost" / "r2.json", json.dumps({"feature_set": "lost", "run_id": "r2", "path": "features/own.parquet"}))
+    assert runs.read_pointer(spark, str(tmp_path), "lost")[1]["run_id"] == "r2"
