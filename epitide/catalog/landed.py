@@ -219,6 +219,33 @@ def landed_charts(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), R(F.sum("value"), 2).alias("total"))
 
 
+def landed_events(spark, sf, *folders):
+    """The events table as CSV files, one for each combination of the folders' columns, nested in this order."""
+    path = run_folder(spark, "raw-landing")
+    rows = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("sample_date"), F.col("value").alias("viral_load"), F.col("user_id").alias("site_id"),
+                                             F.col("event_type").alias("kind"), (F.col("event_id") % 3).alias("part"))
+    rows.repartition(*folders).write.partitionBy(*folders).option("header", True).csv(path)
+    return path
+
+
+def raw_folder_series(spark, sf):
+    """Tables two folders deep, whose catalogue names the archive they came from; equal file names in two folders are two series."""
+    path = landed_events(spark, sf, "kind", "part")
+    entries = table(spark, sf, "events").select(F.concat(F.lit("kind="), F.col("event_type"), F.lit(".zip")).alias("filename")).distinct().select(
+        "filename", F.lit("Nowhere").alias("country"), F.lit("none").alias("pathogen_scope"), F.lit("site").alias("level"))
+    series = cells.raw_series(cells.read_rows(spark, path), entries, tables.qualified(spark, path))
+    name = F.regexp_replace("series_name", "/part-[^/ ]+[.]csv", "")
+    return series.groupBy("source_file", name.alias("series_name")).agg(F.count(F.lit(1)).alias("n_rows"), R(F.sum("value"), 2).alias("total"))
+
+
+def landed_schemas(spark, sf):
+    """Rows and columns of every landed file, counted by one job."""
+    path = landed_events(spark, sf, "kind")
+    found = cells.file_schemas(cells.read_rows(spark, path, plain_headers=True))
+    return found.groupBy(F.regexp_extract("path", "kind=([^/]+)/", 1).alias("kind"), F.array_join("columns", ",").alias("columns"), "n_cols", "error").agg(
+        F.sum("n_rows").alias("n_rows"))
+
+
 def ingestion_run(spark, sf):
     """One ingestion run of the events table: written by source and run, then read back through its manifest."""
     root = run_folder(spark, "registry")
@@ -267,6 +294,8 @@ QUERIES = {
     "landed_charts": landed_charts,
     "ingestion_run": ingestion_run,
     "ingestion_rerun": ingestion_rerun,
+    "raw_folder_series": raw_folder_series,
+    "landed_schemas": landed_schemas,
     "file_inventory": lambda s, sf: files.inventory(s, sf, "*.parquet"),
     "file_checksums": lambda s, sf: files.checksums(s, sf, "*.parquet"),
     "files_by_suffix": lambda s, sf: files.size_by_suffix(files.inventory(s, sf)),
@@ -432,6 +461,13 @@ SELECT CASE event_type WHEN 'view' THEN 'gp-admissions' WHEN 'click' THEN 'nhs-1
        CASE event_type WHEN 'view' THEN 'gp_admissions' WHEN 'click' THEN 'nhs_calls' ELSE 'other' END AS series_type,
        'date' AS date_column, 'metric_value' AS value_column, CAST(date_trunc('week', date) AS DATE) AS week,
        count(*) AS n_rows, rnd(sum(v), 2) AS total FROM d GROUP BY ALL""",
+    "raw_folder_series": """
+SELECT 'kind=' || event_type || '.zip' AS source_file,
+       'Nowhere / none / site / kind=' || event_type || '/part=' || CAST(event_id % 3 AS VARCHAR) || ' / viral_load' AS series_name,
+       count(*) AS n_rows, rnd(sum(value), 2) AS total
+FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY event_type, event_id % 3 HAVING count(*) >= 3""",
+    "landed_schemas": """
+SELECT event_type AS kind, 'sample_date,viral_load,site_id,part' AS columns, 4 AS n_cols, '' AS error, count(*) AS n_rows FROM events GROUP BY event_type""",
     "ingestion_rerun": """
 SELECT '20240101T000000Z' AS run_id, count(value) AS n_rows, rnd(sum(value), 2) AS total, count(value) AS manifest_rows FROM events
 UNION ALL SELECT '20240201T000000Z', count(*), rnd(sum(value), 2), count(*) FROM events WHERE value >= 5""",

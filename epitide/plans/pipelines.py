@@ -12,7 +12,7 @@ from ..operators.features import daily_spine, season_columns
 from ..operators.reshape import processed_series, two_role_series
 from ..schema import CANONICAL, PanelConfig
 from ..sources import cells
-from ..sources.tables import SpineSource, build_spine, exists, read_delimited, read_processed, read_table, read_words, spine_rows
+from ..sources.tables import SpineSource, build_spine, exists, qualified, read_delimited, read_processed, read_table, read_words, spine_rows
 from . import direct, models
 
 # Columns of the international case table used as predictors and as outcomes.
@@ -53,7 +53,7 @@ def local_series(spark: SparkSession, landing: Landing) -> DataFrame:
         parts.append(cells.chart_series(charts, "gp_admissions", "predicted", "ukhsa_gp_admissions"))
     if exists(spark, landing.at(landing.raw)) and exists(spark, landing.at(landing.catalogue)):
         rows = cells.read_rows(spark, landing.at(landing.raw), suffixes=(".csv", ".tsv", ".json", ".zip"))
-        parts.append(cells.raw_series(rows, read_delimited(spark, landing.at(landing.catalogue), sep=",")))
+        parts.append(cells.raw_series(rows, read_delimited(spark, landing.at(landing.catalogue), sep=","), qualified(spark, landing.at(landing.raw))))
     processed = read_processed(spark, landing.at(landing.processed + ".parquet"), landing.at(landing.processed + ".csv"))
     if processed is not None:
         parts.append(processed_series(processed))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import profile as P
 from ..schema import CANONICAL
+from ..session import stage
 from .files import TABLE_SUFFIXES, chart_class
 
 ROWS = "path string, member string, row_no long, header array<string>, cells array<string>, error string"
@@ -103,17 +104,22 @@ def _decode(marks: Sequence[str]):
 
 
 def read_rows(spark: SparkSession, root: str, pattern: str = "*", suffixes: Sequence[str] = TABLE_SUFFIXES,
-              header_marks: Sequence[str] = ()) -> DataFrame:
-    """(path, member, row_no, header, cells, error) of every table file under root; headers are normalised.
+              header_marks: Sequence[str] = (), plain_headers: bool = False) -> DataFrame:
+    """(path, member, row_no, header, cells, error) of every table file under root, decoded once and written.
 
-    header_marks: column names that tell the header from a preamble.
+    header_marks: column names that tell the header from a preamble. Headers are normalised unless plain_headers.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", pattern).load(root)
              .where(S.file_suffix("path").isin([*suffixes])).select("path", "content"))
-    rows = files.mapInPandas(_decode(tuple(header_marks)), ROWS)
+    rows = stage(files.mapInPandas(_decode(tuple(header_marks)), ROWS), "file-rows")
     name = F.transform("header", lambda h: F.lower(F.trim(F.regexp_replace(F.trim(h), "[^0-9A-Za-z]+", "_"), F.lit("_"))))
-    return rows.withColumn("header", name)
+    return rows if plain_headers else rows.withColumn("header", name)
+
+
+def relative_name(path: Column, root: str) -> Column:
+    """The path below root; root as Spark lists it, see tables.qualified."""
+    return F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
 
 
 FILE = ["path", "member"]
@@ -207,22 +213,26 @@ def search_series(rows: DataFrame, family: str = "google_trends_1y", index: int
                         F.col("search_term").alias("series_name"), F.col("path").alias("source_file"))
 
 
-def raw_series(rows: DataFrame, catalogue: DataFrame, limit: int = 3, minimum: int = 3) -> DataFrame:
+def raw_series(rows: DataFrame, catalogue: DataFrame, root: str, limit: int = 3, minimum: int = 3) -> DataFrame:
     """Raw site tables (plain files, archive members, extracted folders) as predictive series.
 
-    catalogue has filename, country, pathogen_scope and level; a table belongs to the entry of its file name
-    or of the folder named like the archive.
+    catalogue has filename, country, pathogen_scope and level. A table belongs to the entry whose file it is, and to the entry
+    whose archive left a folder of its name anywhere above the table. It goes by its name below root, so equal names in different
+    folders stay apart; a member of an archive goes by the archive's name and its own.
     """
-    folder = F.element_at(F.split("path", "/"), -2)
-    names = catalogue.select("country", "pathogen_scope", "level", F.col("filename").alias("source_name"),
-                             F.explode(F.array("filename", F.regexp_replace("filename", r"\.[^.]+$", ""))).alias("_key"))
+    entry = F.col("filename")
+    stem = F.regexp_replace(F.regexp_extract(entry, "[^/]+$", 0), r"(.)\.[^.]+$", "$1")
+    names = catalogue.where(F.trim(entry) != "").select(
+        "country", "pathogen_scope", "level", entry.alias("source_name"),
+        F.explode(F.array(F.concat(F.lit("file:"), entry), F.concat(F.lit("folder:"), stem))).alias("_key"))
     columns = file_columns(rows)
     choices = P.value_choices(columns, P.date_choice(columns, P.RAW_DATES, 4, FILE), limit, FILE)
-    found = observations(rows, choices)
-    by_file = found.withColumn("_key", S.file_name("path")).join(names, "_key")
-    by_folder = found.withColumn("_key", folder).join(names, "_key")
-    tagged = by_file.unionByName(by_folder)
-    table_name = F.when(F.col("member") != "", F.concat(S.file_name("path"), F.lit(":"), F.col("member"))).otherwise(S.file_name("path"))
+    relative = relative_name(F.col("path"), root)
+    top = F.regexp_extract(relative, "^([^/]+)/", 1)
+    keys = F.array(F.concat(F.lit("file:"), relative), F.when((top != "") & (F.col("member") == ""), F.concat(F.lit("folder:"), top)))
+    found = observations(rows, choices).withColumn("_key", F.explode(F.array_compact(keys)))
+    tagged = found.join(names, "_key")
+    table_name = F.when(F.col("member") != "", F.concat(S.file_name("path"), F.lit(":"), F.col("member"))).otherwise(relative)
     label = S.join_parts(" / ", "country", "pathogen_scope", "level", table_name, "value_column")
     series = tagged.select(
         "date", "value", F.concat(F.lit("wastewater_raw::"), F.replace(label, F.lit("::"), F.lit("_"))).alias("series_id"),
@@ -232,6 +242,14 @@ def raw_series(rows: DataFrame, catalogue: DataFrame, limit: int = 3, minimum: i
     return series.join(keep, "series_id", "left_semi").select(*CANONICAL.names)
 
 
+def file_schemas(rows: DataFrame) -> DataFrame:
+    """(path, member, n_rows, n_cols, columns, error): one row per file or archive member."""
+    found = _files(rows)
+    good = F.col("error").isNull()
+    return found.select(*FILE, F.when(good, F.col("n_rows")).alias("n_rows"), F.when(good, F.size("columns")).alias("n_cols"),
+                        F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def monthly_totals(rows: DataFrame, value_column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Monthly sums of one column over all files that have it, tagged by file; suppression marks are removed."""
     columns = file_columns(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .tables import read_table, read_zip_lines, zip_members
+from .tables import qualified
 
 TABLE_SUFFIXES = (".csv", ".tsv", ".txt", ".json")
 SKIPPED_FOLDERS = (".git", ".venv", "__pycache__", ".ipynb_checkpoints")
@@ -81,30 +81,19 @@ def chart_class(name: Column | str, columns: Column | None = None) -> Column:
 
 
 def source_schemas(spark: SparkSession, sources: DataFrame, raw: str) -> DataFrame:
-    """Members, columns and row counts of each catalogued file; missing and unreadable files are rows too."""
-    from .tables import exists
-    rows = []
-    for s in sources.select("country", "pathogen_scope", "level", "filename").collect():
-        path = f"{raw}/{s['filename']}"
-        base = (s["country"], s["pathogen_scope"], s["level"], s["filename"])
-        if not exists(spark, path):
-            rows.append((*base, False, "", None, None, [], ""))
-            continue
-        try:
-            if path.lower().endswith(".zip"):
-                for m in zip_members(read_zip_lines(spark, path)).orderBy("member").collect():
-                    is_json = m["member"].lower().endswith(".json")
-                    names = (list(__import__("json").loads(m["header"])) if is_json
-                             else [h.strip('"') for h in m["header"].split("\t" if m["member"].lower().endswith(".tsv") else ",")])
-                    rows.append((*base, True, m["member"], m["n_lines"] - (0 if is_json else 1), len(names), names, ""))
-            else:
-                names = read_table(spark, path).columns
-                rows.append((*base, True, "", None, len(names), names, ""))
-        except Exception as exc:
-            rows.append((*base, True, "", None, None, [], str(exc)[:500]))
-    return spark.createDataFrame(rows, "country string, pathogen_scope string, level string, source_file string, "
-                                       "exists boolean, member string, n_rows long, n_cols int, columns array<string>, "
-                                       "error string")
+    """Members, columns and row counts of each catalogued file; missing and unreadable files are rows too. All files are read by one job."""
+    from .cells import file_schemas, read_rows, relative_name
+    root = qualified(spark, raw)
+    listed = sources.select("country", "pathogen_scope", "level", F.col("filename").alias("source_file"))
+    here = inventory(spark, raw).select(relative_name(F.col("path"), root).alias("source_file"), F.lit(True).alias("_here"))
+    read = file_schemas(read_rows(spark, raw, suffixes=(*TABLE_SUFFIXES, ".zip"), plain_headers=True)).withColumn(
+        "source_file", relative_name(F.col("path"), root)).drop("path")
+    found = listed.join(here, "source_file", "left").join(read, "source_file", "left")
+    there = F.coalesce("_here", F.lit(False))
+    unread = there & F.col("error").isNull()
+    return found.select("country", "pathogen_scope", "level", "source_file", there.alias("exists"), F.coalesce("member", F.lit("")).alias("member"),
+                        "n_rows", "n_cols", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"),
+                        F.when(unread, "unsupported format").otherwise(F.coalesce("error", F.lit(""))).alias("error"))
 
 
 def search_terms(catalogue: DataFrame, query: str, size: int = 10) -> DataFrame:

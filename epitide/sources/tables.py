@@ -77,6 +77,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark lists the files below it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, file, block, place): lines with the file and block they are from, places ascending within a block."""
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
@@ -120,47 +126,61 @@ def read_with_preamble(spark: SparkSession, path: str, marks: Sequence[str] = ("
 def _members(batches):
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for name in archive.namelist():
-                    low = name.lower()
-                    if name.endswith("/") or not low.endswith((".csv", ".tsv", ".json")):
-                        continue
-                    with archive.open(name) as handle:
-                        if low.endswith(".json"):
-                            data = json.load(io.TextIOWrapper(handle, "utf-8"))
-                            yield _member_rows(path, name, list(enumerate(
-                                json.dumps(r) for r in (data if isinstance(data, list) else [data]))))
-                            continue
-                        rows = []
-                        for i, line in enumerate(io.TextIOWrapper(handle, "utf-8-sig", errors="replace")):
-                            rows.append((i, line.rstrip("\r\n")))
-                            if len(rows) == 10_000:
-                                yield _member_rows(path, name, rows)
-                                rows = []
-                        if rows:
-                            yield _member_rows(path, name, rows)
-
-
-def _member_rows(path, name, rows):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        if name.lower().endswith((".csv", ".tsv", ".json")):
+                            yield from _member(path, name, archive)
+            except zipfile.BadZipFile as exc:
+                yield _member_rows(path, "", [(-1, None)], repr(exc))
+
+
+def _member(path, name, archive):
+    """Lines of one member in batches; one that cannot be read to its end gives only its error row."""
+    try:
+        with archive.open(name) as handle:
+            if name.lower().endswith(".json"):
+                data = json.load(io.TextIOWrapper(handle, "utf-8"))
+                yield _member_rows(path, name, list(enumerate(json.dumps(r) for r in (data if isinstance(data, list) else [data]))))
+                return
+            for _ in iter(lambda: handle.read(1 << 20), b""):  # the checksum stands at the end
+                pass
+        with archive.open(name) as handle:
+            rows = []
+            for i, line in enumerate(io.TextIOWrapper(handle, "utf-8-sig", errors="replace")):
+                rows.append((i, line.rstrip("\r\n")))
+                if len(rows) == 10_000:
+                    yield _member_rows(path, name, rows)
+                    rows = []
+            if rows:
+                yield _member_rows(path, name, rows)
+    except Exception as exc:  # a bad member is a row, not a failed run
+        yield _member_rows(path, name, [(-1, None)], repr(exc))
+
+
+def _member_rows(path, name, rows, error=None):
     frame = pd.DataFrame(rows, columns=["line_no", "line"])
-    return frame.assign(path=path, member=name)[["path", "member", "line_no", "line"]]
+    return frame.assign(path=path, member=name, error=error)[["path", "member", "line_no", "line", "error"]]
 
 
 def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, member, line_no, line) of every table in the archives; members are streamed, one archive per task."""
+    """(path, member, line_no, line, error) of every table in the archives; members are streamed, one archive per task.
+
+    A broken archive or member is one row with its error and line_no -1.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(_members, "path string, member string, line_no long, line string")
+    return files.mapInPandas(_members, "path string, member string, line_no long, line string, error string")
 
 
 def zip_members(lines: DataFrame) -> DataFrame:
     """(member, header, n_rows) of each member; the header names its columns."""
-    return lines.groupBy("path", "member").agg(
+    return lines.where("error IS NULL").groupBy("path", "member").agg(
         F.min_by("line", "line_no").alias("header"), F.count(F.lit(1)).alias("n_lines"))
 
 
 def zip_table(lines: DataFrame, member: str) -> DataFrame:
     """One member as a table of text columns."""
-    rows = lines.where(F.col("member") == member)
+    rows = lines.where((F.col("member") == member) & F.col("error").isNull())
     if member.lower().endswith(".json"):
         sample = rows.select("line").first()
         schema = F.schema_of_json(F.lit(sample["line"]))

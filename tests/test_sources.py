@@ -332,3 +332,38 @@ def test_pointers_without_manifest(spark, tmp_path):
             runs.read_pointer(spark, str(tmp_path), name)
     write(tmp_path / "manifests" / "lost" / "r2.json", json.dumps({"feature_set": "lost", "run_id": "r2", "path": "features/own.parquet"}))
     assert runs.read_pointer(spark, str(tmp_path), "lost")[1]["run_id"] == "r2"
+
+
+def test_nested_tables_and_equal_names(spark, tmp_path):
+    weeks = [D(2024, 1, 7) + dt.timedelta(weeks=i) for i in range(4)]
+
+    def body(k):
+        return "sample_date,viral_load\n" + "".join(f"{w},{i * k}\n" for i, w in enumerate(weeks))
+
+    for k, name in enumerate(("belg/x.csv", "belg/sub/x.csv", "belg/sub/deep/y.tsv", "belg.csv", "other/belg/x.csv", "belg/notes.txt"), 1):
+        write(tmp_path / "raw" / name, body(k).replace(",", "\t") if name.endswith("tsv") else body(k))
+    with zipfile.ZipFile(tmp_path / "raw" / "belg.zip", "w") as z:
+        z.writestr("in/x.csv", body(9))
+    (tmp_path / "raw" / "torn.zip").write_bytes(b"PK nothing")
+    catalogue = spark.createDataFrame([("Belgium", "rsv", "site", "belg.zip"), ("Lost", "", "", "absent.csv"), ("Torn", "", "", "torn.zip")],
+                                      "country string, pathogen_scope string, level string, filename string")
+    root = str(tmp_path / "raw")
+    rows = cells.read_rows(spark, root, suffixes=(".csv", ".tsv", ".json", ".zip"))
+    got = cells.raw_series(rows, catalogue, tables.qualified(spark, root)).groupBy("series_name").agg(F.sum("value").alias("v")).collect()
+    assert {r["series_name"]: r["v"] for r in got} == {f"Belgium / rsv / site / {name} / viral_load": 6.0 * k for name, k in (
+        ("belg/x.csv", 1), ("belg/sub/x.csv", 2), ("belg/sub/deep/y.tsv", 3), ("belg.zip:in/x.csv", 9))}
+    found = {(r["source_file"], r["member"]): r for r in files.source_schemas(spark, catalogue, root).collect()}
+    assert found["belg.zip", "in/x.csv"]["n_rows"] == 4 and found["belg.zip", "in/x.csv"]["columns"] == ["sample_date", "viral_load"]
+    assert not found["absent.csv", ""]["exists"] and "BadZipFile" in found["torn.zip", ""]["error"]
+
+
+def test_broken_archives_are_error_rows(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        z.writestr("a.csv", "date,v\n2024-01-01,1\n")
+        z.writestr("b.json", "{not json")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    lines = tables.read_zip_lines(spark, str(tmp_path))
+    errors = {(r["path"].rsplit("/", 1)[1], r["member"]) for r in lines.where("error IS NOT NULL").collect()}
+    assert errors == {("bad.zip", ""), ("good.zip", "b.json")}
+    assert [(r["member"], r["n_lines"]) for r in tables.zip_members(lines).collect()] == [("a.csv", 2)]
+    assert tables.zip_table(lines, "a.csv").first()["v"] == "1"
