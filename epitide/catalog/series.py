@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clean, frames, profile, reshape, rollup
+from ..operators import clean, frames, profile, ranks, reshape, rollup
 from ..operators.correlation import correlation_long
 from .inputs import CANONICAL_SQL, R, SITES_SQL, WEEKLY_SQL, canonical, event_series, orders_series, rounded, sites, table
 
@@ -60,6 +60,15 @@ def latest(spark, sf):
         "country", "pathogen", "latest_date", "sites", R("median_latest_z", 6).alias("median_latest_z"))
 
 
+def event_ranks(spark, sf):
+    return ranks.value_ranks(table(spark, sf, "events"), ["event_type"], "value")
+
+
+def price_ranks(spark, sf):
+    """One group, nearly every value its own."""
+    return ranks.value_ranks(table(spark, sf, "orders"), [], "o_totalprice")
+
+
 def signal_ranking(spark, sf):
     return clean.ranked_signals(latest(spark, sf)).select("country", "pathogen", "median_latest_z", "place")
 
@@ -208,6 +217,8 @@ QUERIES = {
     "site_lags": site_lags,
     "latest_signal_summary": latest,
     "signal_ranking": signal_ranking,
+    "event_value_ranks": event_ranks,
+    "price_ranks": price_ranks,
     "day_first_columns": day_first_columns,
     "coverage": lambda s, sf: clean.coverage(sites(s, sf)),
     "coverage_pivot": coverage_pivot,
@@ -282,6 +293,10 @@ FROM sites WINDOW w AS (PARTITION BY country, site_id ORDER BY date, event_id)""
   FROM zed)
 SELECT country, pathogen, max(date) AS latest_date, count(DISTINCT site_id) AS sites,
        rnd(quantile_cont(z, 0.5), 6) AS median_latest_z FROM ranked WHERE r = 1 GROUP BY ALL""",
+    **{name: f"""
+SELECT {keys} {value}, count(*) AS n, CAST(sum(count(*)) OVER ({part} ORDER BY {value}) AS BIGINT) AS n_upto
+FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys} {value}""" for name, keys, value, part, source in (
+        ("event_value_ranks", "event_type,", "value", "PARTITION BY event_type", "events"), ("price_ranks", "", "o_totalprice", "", "orders"))},
     "signal_ranking": "WITH " + ZSITES_SQL + """, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY country, pathogen, site_id ORDER BY date DESC NULLS FIRST, event_id DESC) AS r FROM zed),
 summary AS (SELECT country, pathogen, rnd(quantile_cont(z, 0.5), 6) AS median_latest_z FROM ranked WHERE r = 1 GROUP BY ALL)

@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running_sums
+
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str = "actual", prediction: str = "prediction",
                        baseline: str | None = "baseline_prediction", skill: str = "mse_skill",
@@ -43,8 +45,8 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], label: str, proba
                            threshold: float = 0.5) -> DataFrame:
     """Brier score, precision, recall, F1, average precision and ROC AUC per group.
 
-    Rows are counted per distinct score first, so ties cost nothing and the running sums see only
-    (group, score) rows. The ranking measures are NULL when a group has one class.
+    Rows are counted per distinct score first, so ties cost nothing; the running sums over scores are taken in ranges, so a group
+    may have any number of them. The ranking measures are NULL when a group has one class.
     """
     keys = list(keys)
     y, p = F.col(label).cast("double"), F.col(probability)
@@ -53,8 +55,7 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], label: str, proba
         F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"),
         F.sum((p - y) * (p - y)).alias("_sq"),
         F.sum(hit * y).alias("_tp"), F.sum(hit * (1 - y)).alias("_fp"), F.sum((1 - hit) * y).alias("_fn"))
-    down = Window.partitionBy(*keys).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (per_score.withColumn("_cn", F.sum("_n").over(down)).withColumn("_cp", F.sum("_pos").over(down)))
+    ranked = running_sums(per_score, keys, F.col("_p").desc(), ["_n", "_pos"]).withColumnsRenamed({"_n_upto": "_cn", "_pos_upto": "_cp"})
     neg = F.col("_n") - F.col("_pos")
     above = F.col("_cp") - F.col("_pos")
     sums = ranked.groupBy(*keys).agg(

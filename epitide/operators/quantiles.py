@@ -1,41 +1,30 @@
 """Exact linear-interpolation quantiles of groups of any size.
 
-Spark's percentile() keeps every distinct value of a group in one task. Here values are counted first, cut
-into buckets at approximate quantiles, and only the buckets that hold the wanted ranks are ordered.
+Spark's percentile() keeps every distinct value of a group in one task. Here values are counted first and dealt out in ranges, and
+only the ranges that hold the wanted ranks are ordered.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import null_safe_join
+from .ranks import RANGE, in_ranges, range_offsets, upto
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with one column per entry of probs (name -> probability)."""
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    steps = [i / buckets for i in range(1, buckets)]
-    shape = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"),
-        F.percentile_approx("_v", F.array(*[F.lit(s) for s in steps]), F.lit(10000)).alias("_edges"))
-    placed = null_safe_join(counts, shape, keys, "inner").withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    runs = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("_start", F.sum("_in").over(upto) - F.col("_in"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
-                       for name, p in probs.items()])
-    hits = F.filter(wanted, lambda w: (F.ceil(w["pos"]) >= F.col("_start"))
-                    & (F.floor(w["pos"]) < F.col("_start") + F.col("_in")))
-    runs = runs.withColumn("_wanted", hits).where(F.size("_wanted") > 0).select(*keys, "_b", "_start", "_wanted")
-    near = null_safe_join(placed, runs, [*keys, "_b"], "inner")
-    within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    near = (near.withColumn("_last", F.col("_start") + F.sum("_n").over(within) - 1)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = in_ranges(counts, keys, F.col("_v"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_n_all") - 1)).alias("pos")) for name, p in probs.items()])
+    start, end = F.col("_n_before"), F.col("_n_before") + F.col("_n")
+    hits = F.filter(wanted, lambda w: (F.ceil(w["pos"]) >= start) & (F.floor(w["pos"]) < end))
+    ranges = range_offsets(ranged, keys, ["_n"]).withColumn("_wanted", hits).where(F.size("_wanted") > 0).select(*keys, RANGE, "_n_before", "_wanted")
+    near = null_safe_join(ranged, ranges, [*keys, RANGE], "inner")
+    near = (near.withColumn("_last", F.col("_n_before") + F.sum("_n").over(upto(keys, F.col("_v"))) - 1)
             .withColumn("_first", F.col("_last") - F.col("_n") + 1)
             .select(*keys, "_v", "_first", "_last", F.explode("_wanted").alias("_w")))
     low, high = F.floor(F.col("_w.pos")), F.ceil(F.col("_w.pos"))

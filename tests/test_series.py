@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from epitide.operators import clean, features, frames, metrics, profile, quantiles, reshape, rollup, splits
+from epitide.operators import clean, features, frames, metrics, profile, quantiles, ranks, reshape, rollup, splits
 from epitide.operators.correlation import correlation_long
 from epitide.schema import CANONICAL, PanelConfig
 
@@ -89,14 +89,45 @@ def test_chunked_windows_equal_plain_ones(spark, lookback_window):
     pd.testing.assert_frame_equal(lags, lags_cut[lags.columns])
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 64])
-def test_exact_quantiles(spark, buckets):
+@pytest.fixture
+def many_ranges(spark):
+    """Range partitions stay as they are, however small."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+
+    def split(n):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield split
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("n", [1, 7, 30])
+def test_running_sums_over_ranges(spark, many_ranges, n):
+    many_ranges(n)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": rng.choice(["hot"] * 8 + ["a", None], 4000), "v": rng.permutation(4000) / 7, "w": rng.integers(0, 5, 4000)})
+    df = spark.createDataFrame(pdf)
+    ranged = ranks.in_ranges(df, ["k"], F.col("v"))
+    assert ranged.where("k = 'hot'").select(ranks.RANGE).distinct().count() >= min(n, 10) // 2
+    for order, ascending in ((F.col("v"), True), (F.col("v").desc(), False)):
+        got = ranks.running_sums(df, ["k"], order, ["w"]).toPandas()
+        want = pdf.sort_values("v", ascending=ascending)
+        want["w_upto"] = want.groupby("k", dropna=False)["w"].cumsum()
+        both = got.merge(want, on="v", suffixes=("", "_want"))
+        assert len(both) == 4000 and (both["w_upto"] == both["w_upto_want"]).all()
+    assert ranks.running_sums(df.limit(0), ["k"], F.col("v"), ["w"]).isEmpty()
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 40])
+def test_exact_quantiles(spark, many_ranges, buckets):
+    many_ranges(buckets)
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"k": np.where(rng.random(3000) < 0.7, "hot", "cold"), "v": np.round(rng.normal(size=3000), 2)})
     pdf.loc[:20, "k"] = None
     pdf = pd.concat([pdf, pd.DataFrame({"k": ["single"], "v": [4.0]})])
     probs = {"q05": 0.05, "q50": 0.5, "q85": 0.85, "q100": 1.0}
-    got = quantiles.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs, buckets).toPandas()
+    got = quantiles.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs).toPandas()
     for _, row in got.iterrows():
         mine = pdf[pdf["k"].isna()] if row["k"] is None else pdf[pdf["k"] == row["k"]]
         for name, p in probs.items():
