@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.pairs import PAIR
+from ..operators.rollup import series_catalogue
 from ..plans import backtest, pairwise
+from ..plans.forecast import leading_candidates
 from ..schema import BacktestConfig
 from .inputs import R, canonical, pair_sql, rounded, weekly_series
 
@@ -29,6 +31,14 @@ def matrix(cfg):
     return lambda spark, sf: backtest.backtest_matrix(weekly_series(spark, sf), cfg)
 
 
+def candidate_matrix(spark, sf):
+    """Backtest of the pairs whose predictor runs past its target's end, no others."""
+    series = weekly_series(spark, sf)
+    candidates = leading_candidates(series_catalogue(canonical(spark, sf)))
+    rows = backtest.backtest_matrix(series, ONE_LAG, candidates=candidates)
+    return rows.select(*PAIR, "predictor_name", "target_name", "status", "n_complete", "n_predictions", *rounded(METRICS, 4))
+
+
 def log_scale(spark, sf):
     from dataclasses import replace
     rows = backtest.pair_predictions(backtest.log_series(canonical(spark, sf)), replace(backtest.LOG_SCALE, lags=(1,)))
@@ -97,6 +107,7 @@ QUERIES = {
     "rolling_ridge_log_scale": log_scale,
     "rolling_ridge_metrics": rolling_metrics,
     "rolling_ridge_matrix": matrix(FOUR_LAGS),
+    "candidate_metrics": candidate_matrix,
     "pair_leaderboard": leaderboard,
     "leakage_check": leakage_check,
     "rolling_interval": rolling_interval,
@@ -250,6 +261,12 @@ SELECT predictor_id, target_id, split_part(predictor_id, '::', 1) AS predictor_f
        rnd(r2, 4) AS r2, rnd(correlation, 4) AS correlation, rnd(latest_prediction, 4) AS latest_prediction,
        rnd(latest_spike_score, 4) AS latest_spike_score, latest_actual_spike
 FROM metrics""",
+    "candidate_metrics": rolling_ctes((1,)) + METRICS_CTE + """, ends AS (SELECT series_id, max(date) AS e FROM canonical GROUP BY series_id)
+SELECT predictor_id, target_id, split_part(predictor_id, '::', 2) AS predictor_name, split_part(target_id, '::', 2) AS target_name, 'ok' AS status,
+       n_complete, n_predictions, rnd(mae, 4) AS mae, rnd(rmse, 4) AS rmse, rnd(max_abs_error, 4) AS max_abs_error,
+       rnd(mean_abs_baseline_error, 4) AS mean_abs_baseline_error, rnd(baseline_rmse, 4) AS baseline_rmse,
+       rnd(skill, 4) AS mse_skill_vs_rolling_train_mean, rnd(r2, 4) AS r2, rnd(correlation, 4) AS correlation
+FROM metrics JOIN ends p ON p.series_id = predictor_id JOIN ends t ON t.series_id = target_id AND t.e < p.e""",
     "pair_leaderboard": rolling_ctes((1,)) + METRICS_CTE + """, boards AS (
   SELECT 'best_rmse' AS ranking, predictor_id, target_id, rmse AS value, rmse AS key FROM metrics UNION ALL
   SELECT 'worst_rmse', predictor_id, target_id, rmse, -rmse FROM metrics UNION ALL

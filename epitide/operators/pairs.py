@@ -2,7 +2,7 @@
 
 The result of this family of operators is one block of rows per (predictor, target) pair, so pairs are part
 of the answer. They come from an equi-join on the period; the predictor side is salted by series so that
-one period (all series meet there) does not become one task.
+one period (all series meet there) does not become one task. A table of candidate pairs narrows all of it.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ridge_from_sums
 from .frames import ordered, replicated, salted
+from .ranks import NUMBER, fan_out, numbered
 from .rollup import roll_up, series_metadata
 
 PAIR = ["predictor_id", "target_id"]
@@ -39,25 +40,34 @@ def meet(x: DataFrame, y: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def pair_frame(series: DataFrame, freq: str = "W", lags: Sequence[int] = (1, 2, 3, 4), aggregation: str = "mean",
-               lag_before_join: bool = False, salts: int = SALTS) -> DataFrame:
-    """Complete rows (predictor_id, target_id, period, y, x_lag..) of all pairs.
+               lag_before_join: bool = False, salts: int = SALTS, candidates: DataFrame | None = None) -> DataFrame:
+    """Complete rows (predictor_id, target_id, period, y, x_lag..) of all pairs, or of the candidate pairs.
 
     Lags count rows, not weeks. Taken after the join they skip periods the target lacks; taken before it
-    they do not.
+    they do not. candidates holds predictor_id and target_id: a predictor's rows then go to its own targets only.
     """
     x, y = sides(series, freq, aggregation)
     names = [f"x_lag{k}" for k in lags]
+
+    def paired(rows: DataFrame) -> DataFrame:
+        if candidates is None:
+            return meet(rows, y, salts)
+        wanted = candidates.select(*PAIR).distinct()
+        return rows.join(wanted, "predictor_id").join(y, ["target_id", "period"])
+
     if lag_before_join:
         x = x.select("predictor_id", "period", *lag_columns("x", lags, ordered(["predictor_id"], ["period"])))
-        frame = meet(x, y, salts)
+        frame = paired(x)
     else:
-        joined = meet(x, y, salts)
-        frame = joined.select(*PAIR, "period", "y", *lag_columns("x", lags, ordered(PAIR, ["period"])))
+        frame = paired(x).select(*PAIR, "period", "y", *lag_columns("x", lags, ordered(PAIR, ["period"])))
     return frame.select(*PAIR, "period", "y", *names).dropna(subset=["y", *names])
 
 
-def pair_grid(series: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per predictor and target with both sides' metadata: the row set of the result table."""
+def pair_grid(series: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """One row per predictor and target, or per candidate pair, with both sides' metadata: the row set of the result table.
+
+    Without candidates the targets are numbered and every predictor fans out to the numbers.
+    """
     meta = series_metadata(series)
 
     def side(role: str, key: str, label: str) -> DataFrame:
@@ -65,8 +75,12 @@ def pair_grid(series: DataFrame, salts: int = SALTS) -> DataFrame:
             F.col("series_id").alias(key), F.col("dataset_family").alias(f"{label}_family"),
             F.col("series_name").alias(f"{label}_name"), F.col("source_file").alias(f"{label}_source_file"))
 
-    left = salted(side("predictive", "predictor_id", "predictor"), "predictor_id", salts)
-    return left.join(replicated(side("predicted", "target_id", "target"), salts), "_salt").drop("_salt")
+    left, right = side("predictive", "predictor_id", "predictor"), side("predicted", "target_id", "target")
+    if candidates is not None:
+        return left.join(candidates.select(*PAIR).distinct(), "predictor_id").join(right, "target_id").select(
+            *left.columns, *right.columns)
+    places = numbered(right, F.col("target_id"))
+    return fan_out(left, places, places.agg(F.max(NUMBER)).scalar())
 
 
 def fit_inputs(xs: Sequence[Column], y: Column, over=None, where: Column | None = None) -> Column:

@@ -53,3 +53,18 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, value, n, n_upto): how often each value stands in a group, and how many values are not above it."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     return running_sums(counts, keys, F.col(value), ["n"])
+
+
+NUMBER = "_no"
+
+
+def numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """Rows with their place, from 1, in an order without ties; no task sees more than a range of them."""
+    placed = running_sums(rows.withColumn("_one", F.lit(1).cast("long")), [], order, ["_one"])
+    return placed.drop("_one").withColumnRenamed("_one_upto", NUMBER)
+
+
+def fan_out(rows: DataFrame, places: DataFrame, upto: Column) -> DataFrame:
+    """Every row with the numbered places from 1 to its count: as many rows as come out are made, and both sides meet on the number."""
+    wide = rows.withColumn(NUMBER, F.explode(F.when(upto >= 1, F.sequence(F.lit(1).cast("long"), upto.cast("long")))))
+    return wide.join(places, NUMBER).drop(NUMBER)

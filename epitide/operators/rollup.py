@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import stage
-from .frames import distinct_values, replicated, salted
+from .frames import distinct_values
 
 
 def roll_up(series: DataFrame, freq: str = "W", aggregation: str = "mean",
@@ -46,15 +46,15 @@ def wide_panel(rolled: DataFrame, ids: Sequence[str] | None = None) -> DataFrame
     return rolled.groupBy("period").pivot("series_id", ids).agg(F.first("value"))
 
 
-def period_grid(rolled: DataFrame, series: DataFrame | None = None, salts: int = 16) -> DataFrame:
+def period_grid(rolled: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Every series on every period that any series has; missing values NULL.
 
-    The grid is the long form of the wide panel, so its size is the size of that panel. Periods are
-    salted by series, so no single task builds it.
+    The grid is the long form of the wide panel, so its size is the size of that panel. The periods, which the calendar bounds, are one
+    array of a scalar subquery; each series unfolds it.
     """
     ids = (series if series is not None else rolled).select("series_id", "role").distinct()
-    periods = replicated(rolled.select("period").distinct(), salts)
-    grid = salted(ids, "series_id", salts).join(periods, "_salt").drop("_salt")
+    periods = rolled.agg(F.array_sort(F.collect_set("period"))).scalar()
+    grid = ids.withColumn("period", F.explode(periods))
     return grid.join(rolled.select("series_id", "role", "period", "value"), ["series_id", "role", "period"], "left")
 
 

@@ -68,10 +68,10 @@ def score_spikes(predictions: DataFrame, actual: str = "actual") -> DataFrame:
             .withColumn("actual_spike", F.col(actual) >= F.col("spike_threshold")))
 
 
-def pair_predictions(series: DataFrame, cfg: BacktestConfig = BacktestConfig(), spikes: bool = True) -> DataFrame:
-    """One row per pair and predicted period."""
+def pair_predictions(series: DataFrame, cfg: BacktestConfig = BacktestConfig(), spikes: bool = True, candidates: DataFrame | None = None) -> DataFrame:
+    """One row per pair, or candidate pair, and predicted period."""
     lags = positive_lags(cfg.lags)
-    frame = pair_frame(series, cfg.freq, lags, cfg.aggregation)
+    frame = pair_frame(series, cfg.freq, lags, cfg.aggregation, candidates=candidates)
     rows = origin_fits(frame, PAIR, [f"x_lag{k}" for k in lags], "y", cfg).withColumnRenamed("y", "actual")
     rows = (rows.withColumn("residual", F.col("actual") - F.col("prediction"))
             .withColumn("abs_error", F.abs(F.col("residual")))
@@ -102,13 +102,13 @@ def pair_metrics(predictions: DataFrame, cfg: BacktestConfig = BacktestConfig())
 
 
 def backtest_matrix(series: DataFrame, cfg: BacktestConfig = BacktestConfig(),
-                    predictions: DataFrame | None = None) -> DataFrame:
-    """pair_metrics for every pair of the grid; pairs with too few complete rows become error rows."""
-    predictions = pair_predictions(series, cfg) if predictions is None else predictions
+                    predictions: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """pair_metrics for every pair of the grid, or the candidates; pairs with too few complete rows become error rows."""
+    predictions = pair_predictions(series, cfg, candidates=candidates) if predictions is None else predictions
     scored = pair_metrics(predictions, cfg)
     ok = F.col("n_predictions").isNotNull()
     need = max(3, cfg.min_train_size + 1)
-    return (pair_grid(series).join(scored, PAIR, "left")
+    return (pair_grid(series, candidates).join(scored, PAIR, "left")
             .withColumn("status", F.when(ok, "ok").otherwise("error"))
             .withColumn("error", F.when(ok, "").otherwise(f"fewer than {need} complete lagged rows")))
 

@@ -10,25 +10,30 @@ from ..functions.numeric import normal_quantile, ridge_cv
 from ..functions.scalars import step_period
 from ..operators.frames import ordered, positive_lags
 from ..operators.metrics import ensemble_summary
-from ..operators.pairs import PAIR, SALTS, fit_inputs, fit_line, lag_columns, line_at, meet, sides
+from ..operators.pairs import PAIR, fit_inputs, fit_line, lag_columns, line_at, meet, sides
 from ..operators.rollup import period_grid, roll_up, rolled_series
 from ..schema import BacktestConfig, PanelConfig
+from ..operators.ranks import NUMBER, fan_out, numbered
 from ..session import stage
 from .backtest import pair_predictions
 
 OUTPUT = ["period", "actual", "prediction", "lower", "upper", "is_forecast"]
 
 
-def leading_candidates(catalogue: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Predictive series that end after a target does. The condition is an inequality on two columns of the
-    catalogue (one row per series), met through an equi-join on a salt."""
-    from ..operators.frames import replicated, salted
+def leading_candidates(catalogue: DataFrame) -> DataFrame:
+    """Predictive series that end after a target does: a join on an inequality between two columns of the catalogue (one row per series).
+
+    Targets are numbered by their end. Those that end before a predictor does are the first ones, up to a number that follows
+    from the counts of targets by end date, which the calendar bounds; the predictor fans out to exactly these numbers.
+    """
     x = catalogue.where(F.col("role") == "predictive").select(
         F.col("series_id").alias("predictor_id"), F.col("date_max").alias("predictor_end"))
-    y = catalogue.where(F.col("role") == "predicted").select(
+    y = catalogue.where((F.col("role") == "predicted") & F.col("date_max").isNotNull()).select(
         F.col("series_id").alias("target_id"), F.col("date_max").alias("target_end"))
-    return salted(x, "predictor_id", salts).join(replicated(y, salts), "_salt").where(
-        F.col("predictor_end") > F.col("target_end")).drop("_salt")
+    places = numbered(y, F.struct("target_end", "target_id"))
+    ends = places.groupBy("target_end").agg(F.max(NUMBER).alias("upto")).agg(F.collect_list(F.struct("target_end", "upto"))).scalar()
+    before = F.array_max(F.transform(F.filter("_ends", lambda e: e["target_end"] < F.col("predictor_end")), lambda e: e["upto"]))
+    return fan_out(x.withColumn("_ends", ends).withColumn("_before", before).drop("_ends"), places, F.col("_before")).drop("_before")
 
 
 def future_rows(x: DataFrame, ends: DataFrame, names: list[str], horizon: int) -> DataFrame:

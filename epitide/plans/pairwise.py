@@ -13,14 +13,14 @@ from ..operators.splits import chronological_split, train_zscore
 
 
 def pair_fits(series: DataFrame, freq: str = "W", lags: Sequence[int] = (0, 1, 2, 3, 4), train_fraction: float = 0.8,
-              min_test: int = 4, aggregation: str = "mean") -> DataFrame:
+              min_test: int = 4, aggregation: str = "mean", candidates: DataFrame | None = None) -> DataFrame:
     """Rows of all pairs with split, train-scaled values, fitted value and residual.
 
     Everything is keyed by pair, so lagging, splitting, scaling and fitting share one shuffle.
     """
     lags = list(lags)
     names = [f"x_lag{k}" for k in lags]
-    frame = chronological_split(pair_frame(series, freq, lags, aggregation), PAIR, "period", train_fraction, min_test)
+    frame = chronological_split(pair_frame(series, freq, lags, aggregation, candidates=candidates), PAIR, "period", train_fraction, min_test)
     frame = frame.where(F.col("split").isNotNull())
     w = Window.partitionBy(*PAIR)
     train = F.col("split") == "train"
@@ -50,11 +50,11 @@ def pair_scores(rows: DataFrame, freq: str, lags: Sequence[int]) -> DataFrame:
 
 def pairwise_matrix(series: DataFrame, freq: str = "W", lags: Sequence[int] = (0, 1, 2, 3, 4),
                     train_fraction: float = 0.8, min_test: int = 4, aggregation: str = "mean",
-                    rows: DataFrame | None = None) -> DataFrame:
+                    rows: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """One result row per pair with metadata; pairs with fewer than three complete rows are error rows."""
-    rows = pair_fits(series, freq, lags, train_fraction, min_test, aggregation) if rows is None else rows
+    rows = pair_fits(series, freq, lags, train_fraction, min_test, aggregation, candidates) if rows is None else rows
     scored = pair_scores(rows, freq, lags)
     ok = F.col("n_complete").isNotNull()
-    return (pair_grid(series).join(scored, PAIR, "left")
+    return (pair_grid(series, candidates).join(scored, PAIR, "left")
             .withColumn("status", F.when(ok, "ok").otherwise("error"))
             .withColumn("error", F.when(ok, "").otherwise("fewer than 3 overlapping complete rows")))

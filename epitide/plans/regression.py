@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..functions.numeric import normal_sf
 from ..operators.features import month_dummies
-from ..operators.frames import ordered, replicated, salted
+from ..operators.frames import ordered
 from ..operators.metrics import regression_metrics
 from ..operators.splits import chronological_split
 from ..session import stage
@@ -44,7 +44,7 @@ def activity_frame(predictor: DataFrame, outcome: DataFrame, freq: str = "W", la
 
 
 def term_rows(terms: DataFrame, outcome: DataFrame, freq: str = "W", lags: Sequence[int] = (0, 1, 2, 3, 4),
-              y: str = "gp_admissions", salts: int = 16) -> DataFrame:
+              y: str = "gp_admissions") -> DataFrame:
     """Long term frame: (period, outcome, z outcome, term, count, z, z_lag..), one row per term and shared period.
 
     terms has date, search_term, count. Periods are those of the outcome on which any term was seen.
@@ -54,7 +54,8 @@ def term_rows(terms: DataFrame, outcome: DataFrame, freq: str = "W", lags: Seque
     frame = period_sums(outcome, freq, y).join(seen, "period")
     every = Window.partitionBy(F.lit(0))
     frame = frame.withColumn(f"z_{y}", S.zscore(y, F.avg(y).over(every), F.stddev_samp(y).over(every)))
-    grid = salted(sums.select("search_term").distinct(), "search_term", salts).join(replicated(frame, salts), "_salt").drop("_salt")
+    days = frame.agg(F.collect_list(F.struct(*frame.columns))).scalar()  # one outcome row per period: the calendar bounds them
+    grid = sums.select("search_term").distinct().select("search_term", F.inline(days))
     rows = grid.join(sums, ["search_term", "period"], "left").withColumn("term", S.predictor_token("search_term"))
     group, w = Window.partitionBy("search_term"), ordered(["search_term"], ["period"])
     rows = rows.withColumn("z", S.zscore("count", F.avg("count").over(group), F.stddev_samp("count").over(group)))

@@ -260,3 +260,27 @@ def test_models_agree_with_plain_fits(spark, data):
 def test_unknown_model_is_refused(data):
     with pytest.raises(ValueError, match="unknown"):
         models.fit_models(data[1], models=["nothing"])
+
+
+def test_candidate_pairs(spark, data):
+    _, df = data
+    wanted = spark.createDataFrame([("x", "y"), ("short", "y"), ("x", "y"), ("absent", "y")], "predictor_id string, target_id string")
+    cfg = BacktestConfig(lags=(1,))
+    some = backtest.backtest_matrix(df, cfg, candidates=wanted).toPandas().set_index("predictor_id")
+    every = backtest.backtest_matrix(df, cfg).toPandas().set_index("predictor_id")
+    assert set(some.index) == {"x", "short"} and set(every.index) == {"x", "gap", "flat", "short"}
+    assert some.loc["x", "rmse"] == pytest.approx(every.loc["x", "rmse"]) and some.loc["short", "status"] == "error"
+    assert list(some.columns) == list(every.columns)
+    fits = pairwise.pairwise_matrix(df, lags=(1,), candidates=wanted)
+    assert {r["predictor_id"] for r in fits.collect()} == {"x", "short"}
+    assert backtest.backtest_matrix(df.where("role = 'predictive'"), cfg).isEmpty()
+
+
+def test_leading_candidates_of_equal_ends(spark):
+    D = dt.date
+    ends = {"p1": ("predictive", D(2024, 3, 1)), "p2": ("predictive", D(2024, 2, 1)), "p3": ("predictive", None), "t1": ("predicted", D(2024, 2, 1)),
+            "t2": ("predicted", D(2024, 2, 1)), "t3": ("predicted", D(2024, 1, 1)), "t4": ("predicted", D(2024, 3, 1)), "t5": ("predicted", None)}
+    catalogue = spark.createDataFrame([(k, r, e) for k, (r, e) in ends.items()], "series_id string, role string, date_max date")
+    got = {(r["predictor_id"], r["target_id"]) for r in forecast.leading_candidates(catalogue).collect()}
+    assert got == {("p1", "t1"), ("p1", "t2"), ("p1", "t3"), ("p2", "t3")}
+    assert forecast.leading_candidates(catalogue.where("role = 'predictive'")).isEmpty()
