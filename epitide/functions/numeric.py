@@ -97,6 +97,40 @@ def ridge_from_sums(alpha: float, x_scale: str = "sample", scale_y: bool = True)
     return fit
 
 
+def past_quantiles(values: np.ndarray, q: float) -> np.ndarray:
+    """For each value the q-quantile of those before it, interpolated; NaN for the first.
+
+    A tree over the ranks of all values holds how many of them have been seen, so a value is added and the k-th smallest found in
+    log n steps.
+    """
+    n = len(values)
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(1, n + 1)
+    ordered, seen, out = values[order].tolist(), [0] * (n + 1), np.full(n, np.nan)
+    top = 1 << max(0, n.bit_length() - 1)
+
+    def smallest(k: int) -> float:
+        at, step = 0, top
+        while step:
+            if at + step <= n and seen[at + step] < k:
+                at += step
+                k -= seen[at]
+            step >>= 1
+        return ordered[at]
+
+    for i, r in enumerate(rank.tolist()):
+        if i:
+            place = q * (i - 1)
+            low = int(place)
+            a = smallest(low + 1)
+            out[i] = a if place == low else a + (place - low) * (smallest(low + 2) - a)
+        while r <= n:
+            seen[r] += 1
+            r += r & -r
+    return out
+
+
 RIDGE_ALPHAS = tuple(np.logspace(-4, 4, 25))
 
 

@@ -1,16 +1,18 @@
 """Expanding-origin ridge backtest of all pairs, without refitting.
 
 A ridge fit on z-scored columns depends on the training rows only through sums, so one pass of running
-sums per pair gives the fit at every origin. Only the small solve leaves the JVM, and not even that when
-there is a single lag.
+sums per pair gives the fit at every origin. Only the quantiles of what came before and, with several lags, the small solve
+leave the JVM.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..functions.numeric import normal_sf
+from ..functions.numeric import normal_sf, past_quantiles
 from ..operators.frames import lag_text, ordered, positive_lags
 from ..operators.metrics import regression_metrics
 from ..operators.pairs import PAIR, fit_inputs, fit_line, line_at, pair_frame, pair_grid
@@ -31,6 +33,16 @@ def log_series(series: DataFrame, freq: str = "W") -> DataFrame:
     return rolled.withColumn("value", value).drop("_mean", "_sum").dropna(subset=["date", "value"])
 
 
+def with_past_quantile(rows: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """Adds the q-quantile of the values before each row of its key. Rows that are partitioned by key already stay where they are."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("period")
+        return table.append_column(name, pa.array(past_quantiles(table[value].to_numpy(), q), from_pandas=True))
+    return rows.groupBy(*keys).applyInArrow(add, schema)
+
+
 def origin_fits(frame: DataFrame, keys: list[str], xs: list[str], y: str, cfg: BacktestConfig) -> DataFrame:
     """Predictions of every period from the rows strictly before it, for each key.
 
@@ -49,8 +61,8 @@ def origin_fits(frame: DataFrame, keys: list[str], xs: list[str], y: str, cfg: B
         "*", fit_inputs(cx, F.col(y) - F.col("_y0"), past).alias("_sums"),
         F.avg(y).over(past).alias("baseline_prediction"),
         F.first("period").over(past).alias("train_start"), F.lag("period", 1).over(order).alias("train_end"),
-        F.lag(y, 1).over(order).alias("last_observed_target"),
-        F.percentile(y, F.lit(cfg.spike_quantile)).over(past).alias("spike_threshold"))
+        F.lag(y, 1).over(order).alias("last_observed_target"))
+    summed = with_past_quantile(summed, keys, y, cfg.spike_quantile, "spike_threshold")
     n = F.col("n_complete")
     start = F.least(F.greatest(F.lit(cfg.min_train_size), F.floor(n * F.lit(cfg.initial_train_fraction))), n - 1)
     origins = summed.where((n >= max(3, cfg.min_train_size + 1)) & (F.col("n_train") >= start))

@@ -10,8 +10,10 @@ from ..functions import scalars as S
 from .tables import qualified
 
 TABLE_SUFFIXES = (".csv", ".tsv", ".txt", ".json")
+# Folders that hold no data.
 SKIPPED_FOLDERS = (".git", ".venv", "__pycache__", ".ipynb_checkpoints")
 
+# Words of file and column names that tell the class of a chart.
 CALL_WORDS = ("nhs111", "nhs-111", "nhs_111", "111", "call", "calls", "online")
 VISIT_WORDS = ("gp", "general-practice", "general_practice", "admission", "admissions", "consultation", "consultations")
 

@@ -13,6 +13,7 @@ HREF = r"""(?i)href=["']([^"']+)["']"""
 REFERENCE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
+# Words that rule a link out.
 EXCLUDED_WORDS = ("ecds", "supplementary", "commentary", "growth", "mapping", "quarter")
 
 

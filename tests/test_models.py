@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from epitide.functions.numeric import ridge_cv
+from epitide.functions.numeric import past_quantiles, ridge_cv
 from epitide.plans import backtest, direct, forecast, models, pairwise, regression, spikes
 from epitide.schema import CANONICAL, BacktestConfig, PanelConfig, SpikeConfig
 
@@ -284,3 +284,18 @@ def test_leading_candidates_of_equal_ends(spark):
     got = {(r["predictor_id"], r["target_id"]) for r in forecast.leading_candidates(catalogue).collect()}
     assert got == {("p1", "t1"), ("p1", "t2"), ("p1", "t3"), ("p2", "t3")}
     assert forecast.leading_candidates(catalogue.where("role = 'predictive'")).isEmpty()
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.9, 1.0])
+def test_past_quantiles(q):
+    rng = np.random.default_rng(2)
+    for values in (np.round(rng.normal(size=200), 1), np.zeros(5), np.array([3.0]), np.zeros(0), np.arange(50.0)[::-1]):
+        got = past_quantiles(values, q)
+        assert len(got) == len(values) and (not len(got) or np.isnan(got[0]))
+        assert np.allclose(got[1:], [np.quantile(values[:i], q) for i in range(1, len(values))])
+
+
+def test_past_quantiles_of_twenty_years_of_days():
+    import time
+    values, begun = np.random.default_rng(0).normal(size=7300), time.perf_counter()
+    assert past_quantiles(values, 0.9)[-1] == pytest.approx(np.quantile(values[:-1], 0.9)) and time.perf_counter() - begun < 5

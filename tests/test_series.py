@@ -246,3 +246,13 @@ def test_undated_rows_keep_their_order(spark):
 def test_signals_ranked_in_two_directions(spark):
     df = spark.createDataFrame([("a", "p2", 1.0), ("b", "p1", None), ("c", "p1", 2.0), ("d", "p1", 2.0), ("e", None, 1.0)], "country string, pathogen string, median_latest_z double")
     assert [(r["country"], r["place"]) for r in clean.ranked_signals(df).collect()] == [("c", 1), ("d", 2), ("b", 3), ("a", 1), ("e", 1)]
+
+
+def test_commas_in_numbers_by_argument(spark):
+    df = spark.createDataFrame([(D(2024, 1, d), f"{d},000", str(d)) for d in (1, 2, 3)], "date date, a string, b string")
+    mapping = {"date_column": "date", "geography_column": None, "signal_columns": ["a", "b"]}
+    for commas, names in ((False, {"b"}), (True, {"a", "b"})):
+        rows = reshape.normalized_signals(df, "s", "p", "predicted", mapping, commas=commas)
+        assert {r["signal_type"] for r in rows.collect()} == names
+        series = reshape.feature_table_series(df, "s", "x", commas=commas)
+        assert series.select("series_id").distinct().count() == len(names)
