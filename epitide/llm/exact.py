@@ -7,22 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import run_folder, stage
-from .common import texts
+from .common import join_counted, texts
 
 BUCKET_ENTRIES = 16_384  # a bucket with more is split by doubling the directory
-MOST_DEPTH = 40  # bits of the hash a directory may use; beyond it entries chain in their bucket
-
-
-def chains(docs: DataFrame) -> DataFrame:
-    """One entry for each different text: its hash, its place in the chain of texts with that hash, size and survivor.
-
-    Grouping by the text itself compares bytes; copies are combined before the shuffle, so a group of any size is one row a task.
-    """
-    entries = docs.groupBy(F.xxhash64("text").alias("hash"), "text").agg(
-        F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-    chain = Window.partitionBy("hash").orderBy("text_sha256")
-    return entries.select("hash", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id").withColumn(
-        "chain", F.row_number().over(chain))
+MOST_DEPTH = 40  # bits of the hash a directory may use; beyond it entries stay in their bucket
+PLACE = ["depth", "bucket", "hash"]
 
 
 def slot(depth: int):
@@ -31,7 +20,7 @@ def slot(depth: int):
 
 
 def directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> tuple[int, DataFrame]:
-    """Global depth and, for each slot in use, the depth and number of the bucket it points to.
+    """entries: one row for each hash. Global depth and, for each slot in use, the depth and number of the bucket it points to.
 
     The directory doubles until no slot is overfull; then slots that fit together share the bucket of their common prefix.
     """
@@ -50,29 +39,57 @@ def directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> tuple
         F.min("depth").alias("depth")).withColumn("bucket", F.expr(f"shiftright(slot, {depth} - depth)"))
 
 
-def build_index(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """Writes the index: entries ordered by hash, so that each task owns a range of buckets; returns it as read back."""
-    entries = stage(chains(docs), "exact-entries")
-    depth, slots = directory(entries, bucket_entries)
+def routed(rows: DataFrame, bucket_entries: int = BUCKET_ENTRIES, hash_bits: int = 64) -> DataFrame:
+    """Rows with their hash and the bucket (depth, number) that the directory sends it to."""
+    hashed = rows.withColumn("hash", F.shiftleft(F.xxhash64("text"), 64 - hash_bits))
+    hashes = stage(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")), "exact-hashes")
+    depth, slots = directory(hashes, bucket_entries)
     slots = stage(slots, "exact-directory")
-    path = run_folder(docs.sparkSession, "exact-index")
-    # ranges of the unsigned hash follow the buckets, whose prefixes are ordered alike
-    located = entries.withColumn("slot", slot(depth)).join(slots, "slot").withColumn(
-        "place", F.shiftrightunsigned("hash", 1))
-    located.repartitionByRange("place").sortWithinPartitions("place", "chain").drop("place", "slot").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return join_counted(hashed.withColumn("slot", slot(depth)), slots, "slot").drop("slot")
+
 
+def build_index(located: DataFrame) -> DataFrame:
+    """Writes the index: within its bucket, the texts of a hash are told apart by their bytes and chained; returns it as read back.
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    Copies are combined before the shuffle, so a group of any size is one row a task; each task of the last step owns a range of
+    buckets. `chained` is the length of the chain, `link` the place in it.
+    """
+    entries = located.groupBy("depth", "bucket", "hash", "text").agg(
+        F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    small = stage(entries.select("depth", "bucket", "hash", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"), "exact-entries")
+    chain = Window.partitionBy(*PLACE)
+    path = run_folder(located.sparkSession, "exact-index")
+    # the bits of a bucket's prefix, moved to the front, order buckets of all depths as their hashes are ordered
+    front = F.expr("shiftleft(bucket, 63 - depth)")
+    small.withColumns({"chained": F.count(F.lit(1)).over(chain), "link": F.row_number().over(chain.orderBy("text_sha256"))}).withColumn(
+        "front", front).repartitionByRange("front").sortWithinPartitions("front", "hash", "link").drop("front").write.parquet(path)
+    return located.sparkSession.read.parquet(path)
+
+
+def look_up(located: DataFrame, index: DataFrame) -> DataFrame:
+    """Every row with its entry: by bucket and hash, and by the bytes of the text where the chain has more than one."""
+    alone = index.filter(F.col("chained") == 1)
+    found = located.select("doc_id", *PLACE).join(alone, PLACE)
+    crowded = stage(index.filter(F.col("chained") > 1), "exact-chains")
+    if crowded.isEmpty():
+        return found
+    rows = join_counted(located, crowded.select(*PLACE).distinct(), PLACE, "left_semi")
+    heads = rows.select(*PLACE, "text").distinct().withColumn("text_sha256", F.sha2("text", 256))
+    chains = heads.join(crowded, [*PLACE, "text_sha256"])
+    return found.unionByName(rows.join(chains, [*PLACE, "text"]).select(*found.columns))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = BUCKET_ENTRIES,
+                hash_bits: int = 64) -> DataFrame:
     """Every row with the row that stays of its group of equal texts.
 
-    Returns doc_id, keep_id (largest doc_id of the group), group_size, kept, text_sha256, hash, chain, depth, bucket.
+    Returns doc_id, keep_id (largest doc_id of the group), group_size, kept, text_sha256, hash, link, depth, bucket.
     Null texts count as empty. Rows without doc_id never stay unless no row of the group has one; then they all stay.
-    Repeated rows of the staying doc_id all stay. An empty table gives no rows; other columns are ignored.
+    Repeated rows of the staying doc_id all stay. An empty table gives no rows; other columns are ignored. Fewer `hash_bits`
+    only make collisions likelier: the result is the same.
     """
     rows = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    index = build_index(rows, bucket_entries)
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.sha2("text", 256).alias("text_sha256"))
-    return keyed.join(index, ["hash", "text_sha256"]).select(
+    located = routed(rows, bucket_entries, hash_bits)
+    return look_up(located, build_index(located)).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
-        "hash", "chain", "depth", "bucket")
+        "hash", "link", "depth", "bucket")
