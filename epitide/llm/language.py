@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import arrow_map, share, texts
+from ..session import stage
+from .common import arrow_map, join_counted, share, texts
 
 ORDERS = (1, 2, 3, 4)  # bytes of lower-cased text, blended
 BITS = 14  # presence bits of all orders together
@@ -45,8 +46,9 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 def fit(train: DataFrame) -> Model:
     """train: doc_id, text, lang, none of them null. A bounded sample of each language is encoded in tasks and solved here."""
-    rates = train.groupBy("lang").count().select("lang", (F.lit(float(FIT_ROWS)) / F.col("count")).alias("rate"))
-    chosen = train.join(rates, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
+    counts = stage(train.groupBy("lang").count(), "language-counts")  # a row for each language: no text is shuffled
+    rates = counts.select("lang", (F.lit(float(FIT_ROWS)) / F.col("count")).alias("rate"))
+    chosen = join_counted(train, rates, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
     ddl = "lang string, features binary"
 
     def encode(batch):
