@@ -50,13 +50,15 @@ METRICS = ["mae", "rmse", "max_abs_error", "mean_abs_baseline_error", "baseline_
            "mse_skill_vs_rolling_train_mean", "r2", "correlation"]
 
 
-def rolling_metrics(spark, sf):
-    rows = matrix(ONE_LAG)(spark, sf)
-    return rows.select(
-        *PAIR, "predictor_family", "predictor_name", "target_family", "target_name", "status", "error", "n_complete",
-        "n_predictions", "first_prediction_period", "last_prediction_period",
-        *rounded(METRICS, 4), R("latest_prediction", 4).alias("latest_prediction"),
-        R("latest_spike_score", 4).alias("latest_spike_score"), "latest_actual_spike")
+def rolling_metrics(cfg):
+    def run(spark, sf):
+        rows = matrix(cfg)(spark, sf)
+        return rows.select(
+            *PAIR, "predictor_family", "predictor_name", "target_family", "target_name", "status", "error", "n_complete",
+            "n_predictions", "first_prediction_period", "last_prediction_period",
+            *rounded(METRICS, 4), R("latest_prediction", 4).alias("latest_prediction"),
+            R("latest_spike_score", 4).alias("latest_spike_score"), "latest_actual_spike")
+    return run
 
 
 def leaderboard(spark, sf):
@@ -105,8 +107,8 @@ QUERIES = {
     "rolling_ridge_lag1_2": rolling(TWO_LAGS),
     "rolling_ridge": rolling(FOUR_LAGS),
     "rolling_ridge_log_scale": log_scale,
-    "rolling_ridge_metrics": rolling_metrics,
-    "rolling_ridge_matrix": matrix(FOUR_LAGS),
+    "rolling_ridge_metrics": rolling_metrics(ONE_LAG),
+    "rolling_ridge_matrix": rolling_metrics(FOUR_LAGS),
     "candidate_metrics": candidate_matrix,
     "pair_leaderboard": leaderboard,
     "leakage_check": leakage_check,
@@ -125,24 +127,32 @@ NORMAL_SF = """
 FIRST_ORIGIN = """least(greatest(12, CAST(floor(n_complete * CAST(0.6 AS DOUBLE)) AS BIGINT)), n_complete - 1)"""
 
 
+def eliminated(source, k, result="solved"):
+    """CTEs that turn columns g{i}_{j} (matrix) and c{i} (right side) of `source` into columns b{i}, one pivot at a time."""
+    steps, last = [], source
+    for p in range(k):
+        cells = [f"{cell} - g{i}_{p} / g{p}_{p} * {over} AS {cell}" for i in range(k) if i != p
+                 for cell, over in [(f"g{i}_{j}", f"g{p}_{j}") for j in range(p + 1, k)] + [(f"c{i}", f"c{p}")]]
+        steps.append(f"{result}{p} AS (SELECT * REPLACE ({', '.join(cells)}) FROM {last})" if cells else f"{result}{p} AS (SELECT * FROM {last})")
+        last = f"{result}{p}"
+    solution = ", ".join(f"c{i} / g{i}_{i} AS b{i}" for i in range(k))
+    return ", ".join(steps) + f", {result} AS (SELECT *, {solution} FROM {last})"
+
+
 def rolling_ctes(lags):
     """origins(..., prediction, sigma) from running means, deviations and correlations."""
     k = len(lags)
     x = [f"x_lag{j}" for j in lags]
+    both = [(i, j) for i in range(k) for j in range(i + 1, k)]
     stats = ", ".join(
-        [f"avg({c}) OVER past AS m{i}, stddev_samp({c}) OVER past AS s{i}, corr({c}, y) OVER past AS r{i}"
-         for i, c in enumerate(x)] + ([f"corr({x[0]}, {x[1]}) OVER past AS q"] if k == 2 else []))
-    if k == 1:
-        solve = """(n_train - 1) * r0 / ((n_train - 1) + 1.0) AS b0"""
-        fit = "b0 * (x0 - m0) / s0"
-        rest = "1 - 2 * b0 * r0 + b0 * b0"
-    else:
-        # ((n-1) [[1,q],[q,1]] + I) b = (n-1) [r0, r1]
-        det = "(n_train * n_train - ((n_train - 1) * q) * ((n_train - 1) * q))"
-        solve = f"""(n_train - 1) * (n_train * r0 - (n_train - 1) * q * r1) / {det} AS b0,
-                    (n_train - 1) * (n_train * r1 - (n_train - 1) * q * r0) / {det} AS b1"""
-        fit = "(b0 * (x0 - m0) / s0 + b1 * (x1 - m1) / s1)"
-        rest = "1 - 2 * (b0 * r0 + b1 * r1) + b0 * b0 + b1 * b1 + 2 * b0 * b1 * q"
+        [f"avg({c}) OVER past AS m{i}, stddev_samp({c}) OVER past AS s{i}, corr({c}, y) OVER past AS r{i}" for i, c in enumerate(x)]
+        + [f"corr({x[i]}, {x[j]}) OVER past AS q{i}_{j}" for i, j in both])
+    # ((n - 1) Q + I) b = (n - 1) r, Q the correlations of the lags
+    system = ", ".join(
+        [f"(n_train - 1) * {'1.0' if i == j else f'q{min(i, j)}_{max(i, j)}'} + {1.0 if i == j else 0.0} AS g{i}_{j}" for i in range(k) for j in range(k)]
+        + [f"(n_train - 1) * r{i} AS c{i}" for i in range(k)])
+    fit = "(" + " + ".join(f"b{i} * (x{i} - m{i}) / s{i}" for i in range(k)) + ")"
+    rest = "1" + "".join(f" - 2 * b{i} * r{i} + b{i} * b{i}" for i in range(k)) + "".join(f" + 2 * b{i} * b{j} * q{i}_{j}" for i, j in both)
     cols = ", ".join(f"{c} AS x{i}" for i, c in enumerate(x))
     return "WITH " + pair_sql(lags) + f""",
 walk AS (
@@ -156,9 +166,9 @@ walk AS (
   WINDOW o AS (PARTITION BY predictor_id, target_id ORDER BY period),
          past AS (PARTITION BY predictor_id, target_id ORDER BY period
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), solved AS (
-  SELECT *, {solve} FROM walk WHERE n_complete >= 13 AND n_train >= {FIRST_ORIGIN}
-), origins AS (
+), systems AS (
+  SELECT *, {system} FROM walk WHERE n_complete >= 13 AND n_train >= {FIRST_ORIGIN}
+), {eliminated("systems", k)}, origins AS (
   SELECT *, baseline + sy * {fit} AS prediction, sy * sqrt(greatest({rest}, 0)) AS sigma FROM solved
 ), scored AS (
   SELECT *, (threshold - prediction) / sigma AS z FROM origins
@@ -172,7 +182,7 @@ def log_scale_sql():
     sql = rolling_ctes((1,))
     for old, new in (
         ("period, avg(value) AS value\n", "period, ln(1 + greatest(CASE WHEN max(role) = 'predicted' THEN sum(value) ELSE avg(value) END, 0)) AS value\n"),
-        ("(n_train - 1) * r0 / ((n_train - 1) + 1.0) AS b0", "n_train * r0 / (n_train + 1.0) AS b0"),
+        ("(n_train - 1) * 1.0 + 1.0 AS g0_0", "n_train + 1.0 AS g0_0"), ("(n_train - 1) * r0 AS c0", "n_train * r0 AS c0"),
         ("n_complete >= 13", "n_complete >= 21"), (FIRST_ORIGIN, "least(20, n_complete - 1)")):
         assert old in sql
         sql = sql.replace(old, new)
@@ -210,13 +220,9 @@ def ols_ctes(lags):
     stats = ", ".join(f"avg({c}) {train} AS m{i}, stddev_samp({c}) {train} AS s{i}" for i, c in enumerate(x))
     zs = ", ".join(f"(x{i} - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END AS z{i}" for i in range(len(x)))
     cols = ", ".join(f"{c} AS x{i}, {c}" for i, c in enumerate(x))
-    agg = ", ".join(f"sum(z{i} * y_z) AS c{i}, sum(z{i} * z{i}) AS g{i}" for i in range(len(x)))
-    if len(x) == 1:
-        agg_more, b, fit = "", "c0 / g0 AS b0", "b0 * z0"
-    else:
-        agg_more = ", sum(z0 * z1) AS h"
-        b = "(g1 * c0 - h * c1) / (g0 * g1 - h * h) AS b0, (g0 * c1 - h * c0) / (g0 * g1 - h * h) AS b1"
-        fit = "b0 * z0 + b1 * z1"
+    k = len(x)
+    agg = ", ".join([f"sum(z{i} * z{j}) AS g{i}_{j}" for i in range(k) for j in range(k)] + [f"sum(z{i} * y_z) AS c{i}" for i in range(k)])
+    fit = " + ".join(f"b{i} * z{i}" for i in range(k))
     return "WITH " + pair_sql(lags) + f""",
 counted AS (
   SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY predictor_id, target_id ORDER BY period) AS i
@@ -233,9 +239,8 @@ counted AS (
   SELECT predictor_id, target_id, period, n, split, (y - my) / CASE WHEN sy > 0 THEN sy ELSE 1 END AS y_z, {zs}
   FROM stats
 ), sums AS (
-  SELECT predictor_id, target_id, {agg}{agg_more} FROM zed WHERE split = 'train' GROUP BY ALL
-), fits AS (SELECT predictor_id, target_id, {b} FROM sums
-), fitted AS (
+  SELECT predictor_id, target_id, {agg} FROM zed WHERE split = 'train' GROUP BY ALL
+), {eliminated("sums", k, "fits")}, fitted AS (
   SELECT zed.*, {fit} AS prediction FROM zed JOIN fits USING (predictor_id, target_id)
 )"""
 
@@ -247,11 +252,8 @@ SELECT predictor_id, target_id, period, split, rnd(y_z, 5) AS y_z, rnd(predictio
 FROM fitted"""
 
 
-ORACLES = {
-    "rolling_ridge_lag1": rolling_sql((1,)),
-    "rolling_ridge_lag1_2": rolling_sql((1, 2)),
-    "rolling_ridge_log_scale": log_scale_sql(),
-    "rolling_ridge_metrics": rolling_ctes((1,)) + METRICS_CTE + """
+def metrics_sql(lags):
+    return rolling_ctes(lags) + METRICS_CTE + """
 SELECT predictor_id, target_id, split_part(predictor_id, '::', 1) AS predictor_family,
        split_part(predictor_id, '::', 2) AS predictor_name, split_part(target_id, '::', 1) AS target_family,
        split_part(target_id, '::', 2) AS target_name, 'ok' AS status, '' AS error, n_complete, n_predictions,
@@ -260,7 +262,35 @@ SELECT predictor_id, target_id, split_part(predictor_id, '::', 1) AS predictor_f
        rnd(baseline_rmse, 4) AS baseline_rmse, rnd(skill, 4) AS mse_skill_vs_rolling_train_mean,
        rnd(r2, 4) AS r2, rnd(correlation, 4) AS correlation, rnd(latest_prediction, 4) AS latest_prediction,
        rnd(latest_spike_score, 4) AS latest_spike_score, latest_actual_spike
-FROM metrics""",
+FROM metrics"""
+
+
+def ols_matrix_sql(lags):
+    return ols_ctes(lags) + """
+SELECT predictor_id, target_id, split_part(predictor_id, '::', 1) AS predictor_family,
+       split_part(target_id, '::', 1) AS target_family, 'ok' AS status, '' AS error, max(n) AS n_complete,
+       CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train,
+       CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
+       min(period) FILTER (WHERE split = 'train') AS train_start, max(period) FILTER (WHERE split = 'train') AS train_end,
+       min(period) FILTER (WHERE split = 'test') AS test_start, max(period) FILTER (WHERE split = 'test') AS test_end,
+       rnd(avg(abs(y_z - prediction)) FILTER (WHERE split = 'test'), 4) AS mae,
+       rnd(sqrt(avg((y_z - prediction)**2) FILTER (WHERE split = 'test')), 4) AS rmse,
+       rnd(1 - sum((y_z - prediction)**2) FILTER (WHERE split = 'test')
+               / (var_pop(y_z) FILTER (WHERE split = 'test') * count(*) FILTER (WHERE split = 'test')), 4) AS r2,
+       rnd(corr(y_z, prediction) FILTER (WHERE split = 'test'), 4) AS correlation,
+       rnd(sqrt(avg(y_z**2) FILTER (WHERE split = 'test')), 4) AS baseline_rmse,
+       rnd(1 - avg((y_z - prediction)**2) FILTER (WHERE split = 'test')
+               / avg(y_z**2) FILTER (WHERE split = 'test'), 4) AS mse_skill_vs_train_mean
+FROM fitted GROUP BY ALL"""
+
+
+ORACLES = {
+    "rolling_ridge_lag1": rolling_sql((1,)),
+    "rolling_ridge_lag1_2": rolling_sql((1, 2)),
+    "rolling_ridge_log_scale": log_scale_sql(),
+    "rolling_ridge": rolling_sql((1, 2, 3, 4)),
+    "rolling_ridge_metrics": metrics_sql((1,)),
+    "rolling_ridge_matrix": metrics_sql((1, 2, 3, 4)),
     "candidate_metrics": rolling_ctes((1,)) + METRICS_CTE + """, ends AS (SELECT series_id, max(date) AS e FROM canonical GROUP BY series_id)
 SELECT predictor_id, target_id, split_part(predictor_id, '::', 2) AS predictor_name, split_part(target_id, '::', 2) AS target_name, 'ok' AS status,
        n_complete, n_predictions, rnd(mae, 4) AS mae, rnd(rmse, 4) AS rmse, rnd(max_abs_error, 4) AS max_abs_error,
@@ -290,20 +320,6 @@ SELECT predictor_id, target_id, rnd(avg(abs(y - prediction)), 4) AS mae,
 FROM final GROUP BY ALL""",
     "pairwise_ols_lag1": ols_sql((1,)),
     "pairwise_ols_lag0_1": ols_sql((0, 1)),
-    "pairwise_ols_matrix_lag1": ols_ctes((1,)) + """
-SELECT predictor_id, target_id, split_part(predictor_id, '::', 1) AS predictor_family,
-       split_part(target_id, '::', 1) AS target_family, 'ok' AS status, '' AS error, max(n) AS n_complete,
-       CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train,
-       CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
-       min(period) FILTER (WHERE split = 'train') AS train_start, max(period) FILTER (WHERE split = 'train') AS train_end,
-       min(period) FILTER (WHERE split = 'test') AS test_start, max(period) FILTER (WHERE split = 'test') AS test_end,
-       rnd(avg(abs(y_z - prediction)) FILTER (WHERE split = 'test'), 4) AS mae,
-       rnd(sqrt(avg((y_z - prediction)**2) FILTER (WHERE split = 'test')), 4) AS rmse,
-       rnd(1 - sum((y_z - prediction)**2) FILTER (WHERE split = 'test')
-               / (var_pop(y_z) FILTER (WHERE split = 'test') * count(*) FILTER (WHERE split = 'test')), 4) AS r2,
-       rnd(corr(y_z, prediction) FILTER (WHERE split = 'test'), 4) AS correlation,
-       rnd(sqrt(avg(y_z**2) FILTER (WHERE split = 'test')), 4) AS baseline_rmse,
-       rnd(1 - avg((y_z - prediction)**2) FILTER (WHERE split = 'test')
-               / avg(y_z**2) FILTER (WHERE split = 'test'), 4) AS mse_skill_vs_train_mean
-FROM fitted GROUP BY ALL""",
+    "pairwise_ols_matrix_lag1": ols_matrix_sql((1,)),
+    "pairwise_ols": ols_matrix_sql((0, 1, 2, 3, 4)),
 }
