@@ -206,19 +206,76 @@ def round_trip(spark, sf):
         F.max(S.to_day("o_orderdate")).alias("last_date"))
 
 
-def landed_charts(spark, sf):
-    """Daily totals per event type landed as one CSV export each, then classified and mapped file by file."""
+def landed_orders(spark, sf):
+    """Orders as one text file for each year and hundred customers, customers as one CSV file for each hundred; the folder."""
+    root = run_folder(spark, "files")
+    year = F.coalesce(F.year("o_orderdate").cast("string"), F.lit("undated"))
+    orders = table(spark, sf, "orders").select(
+        year.alias("year"), F.floor(F.col("o_custkey") / 100).alias("block"), "o_orderkey",
+        F.concat_ws(";", "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value"))
+    ordered = orders.repartition("year", "block").sortWithinPartitions("year", "block", "o_orderkey", "value")
+    ordered.drop("o_orderkey").write.partitionBy("year", "block").text(f"{root}/orders")
+    buyers = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("block"), "c_custkey", "c_nationkey")
+    buyers.repartition("block").write.partitionBy("block").option("header", True).csv(f"{root}/customers")
+    return root
+
+
+def of_block(path="path"):
+    return [F.regexp_extract(path, "/(orders|customers)/", 1).alias("kind"), F.regexp_extract(path, "year=([^/]+)/", 1).alias("year"),
+            F.regexp_extract(path, "block=([0-9]+)/", 1).cast("long").alias("block")]
+
+
+def file_inventory(spark, sf):
+    """Size and suffix of every landed file."""
+    return files.inventory(spark, landed_orders(spark, sf)).select(*of_block(), "suffix", "size_bytes", R("size_kb", 4).alias("size_kb"))
+
+
+def file_checksums(spark, sf):
+    """Length and digest of every landed text file."""
+    return files.checksums(spark, landed_orders(spark, sf), "*.txt").select(*of_block(), "bytes", "sha256", "status")
+
+
+def files_by_suffix(spark, sf):
+    return files.size_by_suffix(files.inventory(spark, landed_orders(spark, sf)))
+
+
+def chart_files(spark, sf):
+    """Daily totals per event type landed as one CSV export each, read back as cells under the name of the chart."""
     path = run_folder(spark, "charts")
     daily = table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("date"), "event_type").agg(
         R(F.sum("value"), 2).alias("metric_value"))
     name = F.when(F.col("event_type") == "view", "gp-admissions").when(F.col("event_type") == "click", "nhs-111-calls").otherwise(F.col("event_type"))
     daily.repartition("event_type").withColumn("chart", name).drop("event_type").write.partitionBy("chart").option("header", True).csv(path)
     rows = cells.read_rows(spark, path).withColumn("path", F.concat(F.regexp_extract("path", "chart=([^/]+)/", 1), F.lit(".csv")))
-    out = cells.chart_observations(rows)
+    return rows
+
+
+def landed_charts(spark, sf):
+    """The charts classified and mapped file by file."""
+    out = cells.chart_observations(chart_files(spark, sf))
     return out.groupBy(F.col("path").alias("chart"), "series_type", "date_column", "value_column", "week").agg(
         F.count(F.lit(1)).alias("n_rows"), R(F.sum("value"), 2).alias("total"))
 
 
+def landed_catalogue(spark, sf):
+    """Class and columns of every chart file."""
+    out = cells.chart_catalogue(chart_files(spark, sf))
+    return out.select("filename", "series_type", "date_column", "value_column", F.array_join("columns", ",").alias("columns"), "error")
+
+
+def landed_months(spark, sf):
+    """Attendances by month and site group over the exports of all event types; every seventh count is a suppression mark."""
+    path = run_folder(spark, "months")
+    rows = table(spark, sf, "events").where(F.col("event_id").isNotNull()).select(
+        F.col("event_type").alias("kind"), F.date_format("ts", "dd/MM/yyyy").alias("month"),
+        F.when(F.col("event_id") % 7 == 0, "*").otherwise((F.col("event_id") % 1500).cast("string")).alias("attendances"),
+        (F.col("user_id") % 3).alias("site"))
+    rows.repartition("kind").write.partitionBy("kind").option("header", True).csv(path)
+    found = cells.read_rows(spark, path).withColumn("path", F.regexp_extract("path", "kind=([^/]+)/", 1))
+    out = cells.monthly_totals(found, "attendances", ("site",))
+    return out.select("source_file", "month", "site", R("value", 2).alias("value"))
+
+
 def landed_events(spark, sf, *folders):
     """The events table as CSV files, one for each combination of the folders' columns, nested in this order."""
     path = run_folder(spark, "raw-landing")
@@ -296,11 +353,21 @@ QUERIES = {
     "ingestion_rerun": ingestion_rerun,
     "raw_folder_series": raw_folder_series,
     "landed_schemas": landed_schemas,
-    "file_inventory": lambda s, sf: files.inventory(s, sf, "*.parquet"),
-    "file_checksums": lambda s, sf: files.checksums(s, sf, "*.parquet"),
-    "files_by_suffix": lambda s, sf: files.size_by_suffix(files.inventory(s, sf)),
+    "landed_catalogue": landed_catalogue,
+    "landed_months": landed_months,
+    "file_inventory": file_inventory,
+    "file_checksums": file_checksums,
+    "files_by_suffix": files_by_suffix,
 }
 
+FILES_SQL = """
+WITH lines AS (SELECT coalesce(CAST(year(o_orderdate) AS VARCHAR), 'undated') AS year, CAST(floor(o_custkey / 100) AS BIGINT) AS block, o_orderkey AS k,
+                      concat_ws(';', o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d')) || chr(10) AS line FROM orders),
+texts AS (SELECT 'orders' AS kind, year, block, '.txt' AS suffix, string_agg(line, '' ORDER BY k, line) AS content FROM lines GROUP BY ALL),
+exports AS (SELECT 'customers' AS kind, '' AS year, CAST(floor(c_custkey / 100) AS BIGINT) AS block, '.csv' AS suffix,
+                   'c_custkey,c_nationkey' || chr(10) || string_agg(c_custkey || ',' || c_nationkey || chr(10), '') AS content FROM customer GROUP BY ALL),
+files AS (SELECT *, strlen(content) AS size FROM (SELECT * FROM texts UNION ALL SELECT * FROM exports))"""
+
 SIGNALS_SQL = """
 signals AS (
   SELECT CAST(l_shipdate AS DATE) AS date, l_quantity AS value, 'l_quantity' AS signal_type, l_returnflag AS geography_name FROM lineitem
@@ -461,6 +528,20 @@ SELECT CASE event_type WHEN 'view' THEN 'gp-admissions' WHEN 'click' THEN 'nhs-1
        CASE event_type WHEN 'view' THEN 'gp_admissions' WHEN 'click' THEN 'nhs_calls' ELSE 'other' END AS series_type,
        'date' AS date_column, 'metric_value' AS value_column, CAST(date_trunc('week', date) AS DATE) AS week,
        count(*) AS n_rows, rnd(sum(v), 2) AS total FROM d GROUP BY ALL""",
+    "landed_catalogue": """
+SELECT DISTINCT CASE event_type WHEN 'view' THEN 'gp-admissions' WHEN 'click' THEN 'nhs-111-calls' ELSE event_type END || '.csv' AS filename,
+       CASE event_type WHEN 'view' THEN 'gp_admissions' WHEN 'click' THEN 'nhs_calls' ELSE 'other' END AS series_type,
+       'date' AS date_column, 'metric_value' AS value_column, 'date,metric_value' AS columns, '' AS error FROM events""",
+    "landed_months": """
+SELECT event_type AS source_file, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(user_id % 3 AS VARCHAR) AS site,
+       rnd(sum(CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 1500 AS DOUBLE) END), 2) AS value
+FROM events WHERE event_id IS NOT NULL GROUP BY ALL""",
+    "file_inventory": FILES_SQL + """
+SELECT kind, year, block, suffix, CAST(size AS BIGINT) AS size_bytes, rnd(size / 1024, 4) AS size_kb FROM files""",
+    "file_checksums": FILES_SQL + """
+SELECT kind, year, block, CAST(size AS BIGINT) AS bytes, sha256(content) AS sha256, 'ok' AS status FROM files WHERE suffix = '.txt'""",
+    "files_by_suffix": FILES_SQL + """
+SELECT suffix, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_bytes FROM files GROUP BY suffix""",
     "raw_folder_series": """
 SELECT 'kind=' || event_type || '.zip' AS source_file,
        'Nowhere / none / site / kind=' || event_type || '/part=' || CAST(event_id % 3 AS VARCHAR) || ' / viral_load' AS series_name,

@@ -191,7 +191,8 @@ def hac(spark, sf):
 
 def hac_seasonal(spark, sf):
     frame = regression.activity_frame(lineitem_series(spark, sf), orders_series(spark, sf), "W", (0, 1, 2, 3, 4))
-    return regression.fit_hac(frame, "z_gp_admissions", [f"z_nhs_calls_lag{k}" for k in range(5)], 4)
+    out = regression.fit_hac(frame, "z_gp_admissions", [f"z_nhs_calls_lag{k}" for k in range(5)], 4)
+    return out.select("term", "n_obs", *rounded(("r2", "coef", "std_err", "z", "p_value"), 4))
 
 
 def train_test(spark, sf):
@@ -447,6 +448,34 @@ q AS (SELECT *, abs(b / se) AS z FROM r)
 SELECT predictor_id, target_id, term, n AS n_obs, rnd(r2, 4) AS r2, rnd(b, 4) AS coef, rnd(se, 4) AS std_err, rnd(b / se, 4) AS z,
        rnd(CASE WHEN z > 8 THEN 0 ELSE 1 - exp(-z*z/2) * list_sum(list_transform(range(0, 160),
          lambda i: exp((2*i+1) * ln(z/sqrt(2.0)) - lgamma(i + 1.5)))) END, 4) AS p_value FROM q""",
+    "hac_ols_seasonal": activity_sql("week", "nhs_calls", "gp_admissions").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+l AS (SELECT period, zy AS y, """ + ", ".join(f"lag(zx, {k}) OVER (ORDER BY period) AS l{k}" for k in range(5)) + """ FROM f),
+c AS (SELECT * FROM l WHERE y IS NOT NULL AND """ + " AND ".join(f"l{k} IS NOT NULL" for k in range(5)) + """),
+dummies AS (SELECT mo, row_number() OVER (ORDER BY mo) + 5 AS j FROM (SELECT DISTINCT month(period) AS mo FROM c)),
+cells AS (
+  SELECT period, y, 1 AS j, 'const' AS term, 1.0::DOUBLE AS x FROM c UNION ALL """ + " UNION ALL ".join(
+        f"SELECT period, y, {k + 2}, 'z_nhs_calls_lag{k}', l{k} FROM c" for k in range(5)) + """ UNION ALL
+  SELECT period, y, j, 'month_' || mo, CASE WHEN month(period) = mo THEN 1.0::DOUBLE ELSE 0 END FROM c CROSS JOIN dummies WHERE j > 6),
+points AS (SELECT period, any_value(y) AS y, list(x ORDER BY j) AS x FROM cells GROUP BY period),
+gram AS (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS g FROM cells a JOIN cells b USING (period) GROUP BY ALL),
+rhs AS (SELECT j AS i, any_value(term) AS term, sum(x * y) AS r FROM cells GROUP BY j),
+lines AS (SELECT i, list(g ORDER BY j) AS g FROM gram GROUP BY i),
+elim AS (
+  SELECT 1::BIGINT AS k, list(list_concat(g, [r], list_transform(g, lambda v, c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) ORDER BY i) AS m
+  FROM lines JOIN rhs USING (i)
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda q, i: CASE WHEN i = k THEN list_transform(q, lambda v: v / q[k])
+           ELSE list_transform(q, lambda v, c: v - q[k] * m[k][c] / m[k][k]) END) FROM elim WHERE k <= len(m)),
+fit AS (SELECT m, list_transform(m, lambda q: q[len(m) + 1]) AS beta FROM elim WHERE k = len(m) + 1),
+e AS (SELECT period, y, x, y - list_dot_product(x, beta) AS e FROM points, fit),
+score AS (SELECT 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, count(*) AS n_obs FROM e),
+d AS (SELECT i, term, beta[i] AS b, period, e * list_dot_product(m[i][len(m) + 2:], x) AS d FROM e, fit, rhs),
+lagged AS (SELECT *, """ + ", ".join(f"lag(d, {k}) OVER (PARTITION BY i ORDER BY period) AS d{k}" for k in range(1, 5)) + """ FROM d),
+r AS (SELECT term, b, sqrt(sum(d * d)""" + "".join(f" + 2 * {round(1 - k / 5, 1)} * sum(d * d{k})" for k in range(1, 5)) + """) AS se FROM lagged GROUP BY term, b),
+q AS (SELECT *, abs(b / se) AS z FROM r)
+SELECT term, n_obs, rnd(r2, 4) AS r2, rnd(b, 4) AS coef, rnd(se, 4) AS std_err, rnd(b / se, 4) AS z,
+       rnd(CASE WHEN z > 8 THEN 0 ELSE 1 - exp(-z*z/2) * list_sum(list_transform(range(0, 160),
+         lambda i: exp((2*i+1) * ln(z/sqrt(2.0)) - lgamma(i + 1.5)))) END, 4) AS p_value FROM q, score""",
     "train_test_ols": "WITH " + pair_sql((1,)) + f""",
 c AS (SELECT *, count(*) OVER (PARTITION BY predictor_id, target_id) AS n,
              row_number() OVER (PARTITION BY predictor_id, target_id ORDER BY period) AS i FROM pairs),
