@@ -15,9 +15,12 @@ from .common import arrow_map, share, texts
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of every kind
 WIDTH, STRIDE, MARGIN = 64, 32, 16  # characters of a window, between windows, and around a token of interest
+REACH = 64  # characters around a bracketed at, which stands apart from name and domain
+LONGEST, SHARED = 8_192, 256  # a longer stretch is decoded in pieces that share so many characters
+DECODED = 1 << 18  # characters decoded at once
 EMBED, HIDDEN, CODES = 12, 16, 98
 FIT_ROWS = 600  # documents with tokens of interest that the network is fitted on, chosen by a hash of the id
-FIT_WINDOWS = 3_000
+FIT_WINDOWS = 4_500
 EPOCHS, BATCH, RATE = 24, 96, 0.02
 SURE = 0.95  # least mean probability of an added span
 FORBIDDEN = -1e4
@@ -28,8 +31,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
-MARKED = T.byte_table((0x30, 0x39), (0x40, 0x40))
+MARK = re.compile(r"[0-9@]|\[at\]")
+TOKEN = re.compile(r"(?<!\S)(?:[^\s0-9@\[]|\[(?!at\]))*+(?:[0-9@]|\[at\])\S*")
+MARKED = T.byte_table((0x30, 0x39), (0x40, 0x40), (0x5B, 0x5B))
 
 Span = tuple[str, int, int]
 
@@ -76,10 +80,11 @@ def listed(spans: list[Span]) -> str:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around tokens with a digit or an @; a span has one of these, so elsewhere nothing can be tagged."""
+    """Stretches around tokens with a digit, an @ or a bracketed at; every taught form has one of these."""
     out: list[tuple[int, int]] = []
     for m in TOKEN.finditer(text):
-        begin, end = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        margin = REACH if "[at]" in m[0] else MARGIN
+        begin, end = max(0, m.start() - margin), min(len(text), m.end() + margin)
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], end)
         else:
@@ -87,6 +92,14 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(begin: int, end: int) -> list[tuple[int, int, int, int]]:
+    """A stretch in pieces of bounded length: begin and end of each, and between which places its spans may begin."""
+    if end - begin <= LONGEST:
+        return [(begin, end, begin, end)]
+    cuts = range(begin, end - SHARED, LONGEST - SHARED)
+    return [(a, min(a + LONGEST, end), a + (SHARED // 2 if a > begin else 0), min(a + LONGEST - SHARED // 2, end) if a + LONGEST < end else end) for a in cuts]
+
+
 def codes(text: str) -> np.ndarray:
     """Printable ASCII one by one, other characters as blank, letter or mark; 0 is padding."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -287,14 +300,41 @@ class Tagger:
         return out
 
 
-def varied(text: str, spans: list[Span]) -> tuple[str, list[Span]] | None:
-    """A labelled text in a form that the patterns miss: a phone number without its country code, an email with a bracketed at."""
-    for kind, a, b in spans:
-        old = text[a:b]
-        new = re.sub(r"^\+[0-9]{1,3}[ -]?", "", old) if kind == "phone" else old.replace("@", " [at] ") if kind == "email" else old
-        if new != old and len(new) >= 8:
-            return text[:a] + new + text[b:], [(kind, a, a + len(new))]
-    return None
+def rewritten(text: str, spans: list[Span], change) -> tuple[str, list[Span]]:
+    """The text with every labelled span changed, and all labels moved to where they stand now."""
+    out, labels, at, length = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < at:
+            continue
+        new = change(kind, text[a:b])
+        out += [text[at:a], new]
+        length += a - at
+        labels.append((kind, length, length + len(new)))
+        length, at = length + len(new), b
+    return "".join(out) + text[at:], labels
+
+
+def without_code(kind: str, old: str) -> str:
+    new = re.sub(r"^\+[0-9]{1,3}[ -]?", "", old) if kind == "phone" else old
+    return new if len(new) >= 8 else old
+
+
+def varied(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
+    """A labelled text in forms that the patterns miss: phone numbers without a country code, emails with a bracketed at, also
+    without blanks around it and without digits."""
+    def apart(kind, old):
+        return old.replace("@", " [at] ") if kind == "email" else without_code(kind, old)
+
+    def plain(kind, old):
+        bare = re.sub("[0-9]", "", old)
+        return bare.replace("@", " [at] ") if kind == "email" and bare[:1] != "@" else old
+
+    def close(kind, old):
+        return old.replace("@", "[at]") if kind == "email" else without_code(kind, old)
+    if any(spans[k][2] > spans[k + 1][1] for k in range(len(spans) - 1)):
+        return []  # spans that overlap stay as they are
+    forms = [rewritten(text, spans, change) for change in (apart, plain, close)]
+    return [f for k, f in enumerate(forms) if f[0] != text and f not in forms[:k]]
 
 
 def fit(docs: DataFrame) -> Tagger | None:
@@ -310,7 +350,7 @@ def fit(docs: DataFrame) -> Tagger | None:
             spans = base_spans(text)
             for begin, end in regions(text):
                 own = [(k, a - begin, b - begin) for k, a, b in spans if begin <= a and b <= end]
-                for stretch, labels in filter(None, [(text[begin:end], own), varied(text[begin:end], own)]):
+                for stretch, labels in [(text[begin:end], own), *varied(text[begin:end], own)]:
                     c, y = codes(stretch), tags(labels, 0, len(stretch))
                     for a in window_starts(len(c)):
                         n = len(c[a:a + WIDTH])
@@ -328,13 +368,25 @@ def fit(docs: DataFrame) -> Tagger | None:
     return tagger
 
 
+def whole_words(text: str, a: int, b: int) -> tuple[int, int]:
+    """An email's span widened to where its first and last words begin and end, by REACH characters at most."""
+    first, last = max(0, a - REACH), min(len(text), b + REACH)
+    while a > first and LOCAL.match(text, a - 1):
+        a -= 1
+    while b < last and re.match("[A-Za-z0-9-]", text[b]):
+        b += 1
+    return a, b
+
+
 def added_spans(text: str, base: list[Span], found: list[Span]) -> list[Span]:
-    """What the network finds besides: trimmed of blanks, with a digit or @, and clear of every span of the patterns."""
-    out = []
+    """What the network finds besides: trimmed of blanks, with a mark of a taught form, and clear of every span of the patterns."""
+    out: list[Span] = []
     for kind, a, b in found:
         piece = text[a:b]
         a, b = a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())
-        if b > a and re.search("[0-9@]", text[a:b]) and not any(a < y and x < b for _, x, y in base):
+        if kind == "email" and b > a:
+            a, b = whole_words(text, a, b)
+        if b > a and MARK.search(text, a, b) and not any(a < y and x < b for _, x, y in [*base, *out[-1:]]):
             out.append((kind, a, b))
     return out
 
@@ -344,7 +396,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns doc_id, base (spans of the patterns) and added (spans of the network that touch none of those), each an array of kind,
     begin, end in code points, end exclusive, ordered by begin and then kind. Null and empty texts have none. Rows that repeat are
-    treated alike. If no pattern matches anywhere there is nothing to learn from and nothing is added; an empty table gives no
+    treated alike; very long stretches of marked tokens are decoded in pieces that share 256 characters. If no pattern matches anywhere there is nothing to learn from and nothing is added; an empty table gives no
     rows; other columns are ignored.
     """
     rows = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
@@ -362,11 +414,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for row in marked:
                 own[row] = bytes(piece.data[piece.offsets[row]:piece.offsets[row + 1]]).decode("utf-8", "replace")
                 base[row] = base_spans(own[row])
-                stretches += [(row, a, b) for a, b in regions(own[row])]
-            if tagger and stretches:
-                decoded = tagger.spans([own[row][a:b] for row, a, b in stretches])
-                for (row, begin, _), found in zip(stretches, decoded, strict=True):
-                    added[row] += added_spans(own[row], base[row], [(k, a + begin, b + begin) for k, a, b in found])
+                stretches += [(row, *part) for a, b in regions(own[row]) for part in pieces(a, b)]
+            while tagger and stretches:
+                sizes = np.cumsum([b - a for _, a, b, _, _ in stretches])
+                now = max(1, int(np.searchsorted(sizes, DECODED)))
+                decoded = tagger.spans([own[row][a:b] for row, a, b, _, _ in stretches[:now]])
+                for (row, begin, _, first, last), found in zip(stretches[:now], decoded, strict=True):
+                    moved = [(k, a + begin, b + begin) for k, a, b in found if first <= a + begin < last]
+                    added[row] += added_spans(own[row], base[row], moved)
+                stretches = stretches[now:]
             packed = [[[{"kind": k, "begin": a, "end": b} for k, a, b in s] for s in side] for side in (base, added)]
             yield (batch.column("doc_id").slice(piece.lo, n), *packed)
     return arrow_map(rows, ddl, work)
