@@ -340,7 +340,7 @@ def test_network_learns_and_stitches_windows(spark):
             found += sum(any(k == x and a < d and c < b for x, c, d in own) for k, a, b in base)
     assert total > 50 and found / total > 0.7  # of card numbers only the checksum tells which count
     hits = forms = 0
-    for text in texts:  # the forms that the patterns miss, in texts the network was not fitted on: same borders
+    for text in texts:  # the forms that the patterns miss, same borders; most of these texts are in the sample of the fit too
         for other, labels in pii.varied(text, pii.base_spans(text)):
             base, seen = pii.base_spans(other), []
             for begin, end in pii.regions(other):
