@@ -1,187 +1,215 @@
-"""Quality: an interpolated modified Kneser-Ney model of characters, trained on trusted text, and thresholds by language."""
-from __future__ import annotations
+"""Quality: an interpolated modified Kneser-Ney model of characters, trained on trusted text, and quantiles by language as thresholds.
 
-from itertools import product
+Symbols are UTF-16 code units, so that an n-gram of four is one 64-bit number whatever the script. Texts are dealt out in blocks of
+bounded size. The different n-grams of a block, with their counts in trusted texts, are what is shuffled: added up by n-gram they
+are the model, joined with its probabilities they return to their block, where the texts are scored. No table of the corpus is
+held by a task or the driver.
+"""
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.quantiles import exact_quantiles
 from ..session import stage
-from . import textops as T
-from .common import arrow_fold, arrow_map, join_counted, share, texts
+from .common import join_counted, record, schema_of, texts
 
 ORDER = 4
-CLASSES = 64  # of bytes, so that a table of all n-grams has a fixed size
-SPREADS = 4.0  # robust deviations of log perplexity from the trusted median of a language at which the threshold stands
-POOL_ROWS = 30  # weight, in trusted rows, of the spread over all languages in that of one
-MAD = 1.4826  # the deviation of a normal law in median absolute deviations
-ACCURACY = 10_000
-
-COUNTS = "fold int, gram int, n bigint"
-ALL = 2  # the model of all trusted rows
-
-
-def byte_classes() -> np.ndarray:
-    """0 is before the text; letters by letter and case, digits, blanks, stops, other marks, and the bytes of other letters."""
-    out = np.full(256, 58, np.int32)
-    out[ord("a"):ord("z") + 1] = np.arange(1, 27)
-    out[ord("A"):ord("Z") + 1] = np.arange(27, 53)
-    out[ord("0"):ord("9") + 1] = 53
-    out[:33] = 55
-    out[ord(" ")], out[ord(".")], out[ord(",")] = 54, 56, 57
-    out[0x80:0xC0] = 59 + np.arange(64) % 4
-    out[0xC0:] = 63
-    return out
-
-
-CLASS = byte_classes()
-
-
-def gram_numbers(piece: T.Slice) -> np.ndarray:
-    """For each byte the number of the n-gram that ends there; places before the text read as class 0."""
-    shifted = CLASS[piece.data]
-    number, scale = shifted.copy(), 1
-    begins = piece.offsets[:-1][piece.offsets[:-1] < len(shifted)]
-    for _ in range(ORDER - 1):
-        shifted = np.r_[np.int32(0), shifted[:-1]]
-        shifted[begins] = 0
-        scale *= CLASSES
-        number += shifted * np.int32(scale)
-    return number
-
-
-def gram_counts(trusted: DataFrame) -> DataFrame:
-    """model, order, gram, n: n-grams of the highest order by occurrence, of each lower order by the different n-grams they end.
-
-    trusted: text, fold. Every task adds up its own texts; the sums are then dealt out by n-gram. Models 0 and 1 count the rows of
-    the other fold, so that a trusted row can be judged by a model that has not seen it; model 2 counts all rows.
+BITS = 16  # of a symbol
+BASE = 1.0 / (1 << BITS)  # probability of a symbol of which nothing is known
+BLOCK_BYTES = 8 << 20  # a block is closed once its texts have so many bytes
+CHUNK_UNITS = 1 << 20  # n-grams are made for so many symbols at a time
+QUANTILE = 0.99  # of the trusted perplexities of a language, at which its threshold stands
+POOL_ROWS = 30  # weight, in trusted rows, of the quantile over all languages in that of one
+MODELS = 3  # 0 and 1 count the trusted rows of the other fold, so that a trusted row is judged by a model without it; 2 counts all
+ROW = "doc_id bigint, row_key bigint, lang string, trusted boolean"
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """The rows with the number of their block, written so that the numbers stay. A text longer than a block fills one by itself."""
+    ddl = f"block bigint, fold int, {ROW}, text string"
+    schema = schema_of(ddl)
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        first, done = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            length = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)
+            ends = done + np.cumsum(length)
+            yield record(fields, [first + (ends - length) // BLOCK_BYTES, *(batch.column(c) for c in ("fold", "doc_id", "row_key", "lang", "trusted", "text"))])
+            done = int(ends[-1]) if len(ends) else done
+    return stage(docs.select("fold", "doc_id", "row_key", "lang", "trusted", "text").mapInArrow(run, schema), "quality-blocks")
+
+
+def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
+    """UTF-8 bytes of every text."""
+    return column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+
+
+def symbols(raw: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the texts end to end, and where each text begins (one offset more than texts)."""
+    units = [(t or b"").decode("utf-8", "replace").encode("utf-16-le") for t in raw]
+    return np.frombuffer(b"".join(units), np.uint16), np.cumsum([0, *(len(u) // 2 for u in units)])
+
+
+def gram_chunks(units: np.ndarray, offsets: np.ndarray):
+    """(place, n-grams): for every symbol from this place on the number of the n-gram that ends there; places before a text read as 0."""
+    for at in range(0, len(units), CHUNK_UNITS):
+        lo, hi = max(0, at - ORDER + 1), min(at + CHUNK_UNITS, len(units))
+        shifted = units[lo:hi].astype(np.int64)
+        begins = offsets[(offsets >= lo) & (offsets < hi)] - lo
+        number = shifted.copy()
+        for k in range(1, ORDER):
+            shifted = np.r_[np.int64(0), shifted[:-1]]
+            shifted[begins] = 0
+            number |= shifted << (BITS * k)
+        yield at, number[at - lo:]
+
+
+def block_grams(blocks: DataFrame) -> DataFrame:
+    """block, gram, n0, n1: the different n-grams of each block and how often they stand in trusted texts of either fold.
+
+    A block that is read in parts has a row for each part.
     """
-    def add(state, batch):
-        fold = np.asarray(batch.column("fold"))
-        for piece in T.slices(batch.column("text")):
-            numbers = gram_numbers(piece)
-            of = np.repeat(fold[piece.lo:piece.hi], np.diff(piece.offsets))
-            for k in (0, 1):
-                np.add.at(state[k], numbers[of == k], 1)
-
-    def finish(state):
-        for k in (0, 1):
-            seen = np.flatnonzero(state[k])
-            yield np.full(len(seen), k, np.int32), seen.astype(np.int32), state[k][seen]
-    folds = stage(arrow_fold(trusted.select("text", "fold"), COUNTS, lambda: np.zeros((2, CLASSES**ORDER), np.int32), add, finish).groupBy(
-        "fold", "gram").agg(F.sum("n").alias("n")), "gram-counts")
-    level = folds.select((1 - F.col("fold")).alias("model"), "gram", "n").unionByName(
-        folds.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("model", F.lit(ALL)))
-    levels = level.withColumn("order", F.lit(ORDER))
+    schema = schema_of("block bigint, gram bigint, n0 bigint, n1 bigint")
+    fields = to_arrow_schema(schema)
+
+    def counted(block, found):
+        grams, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        grams, place = np.unique(grams, return_inverse=True)
+        sums = [np.bincount(place, counts[:, k], len(grams)).astype(np.int64) for k in (0, 1)]
+        return record(fields, [np.full(len(grams), block), grams, *sums])
+
+    def run(batches):
+        block, found = None, []
+        for batch in batches:
+            number, fold = np.asarray(batch.column("block")), np.asarray(batch.column("fold"))
+            fold = np.where(np.asarray(batch.column("trusted").cast(pa.int8())) == 1, fold, 2)
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)] if len(number) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if found and number[lo] != block:
+                    yield counted(block, found)
+                    found = []
+                block = number[lo]
+                units, offsets = symbols(raw_texts(batch.column("text").slice(lo, hi - lo)))
+                for at, grams in gram_chunks(units, offsets):
+                    of = fold[lo:hi][np.searchsorted(offsets, np.arange(at, at + len(grams)), side="right") - 1]
+                    own, place = np.unique(grams, return_inverse=True)
+                    found.append((own, np.stack([np.bincount(place, of == k, len(own)) for k in (0, 1)], 1)))
+        if found:
+            yield counted(block, found)
+    return stage(blocks.select("block", "text", "fold", "trusted").mapInArrow(run, schema), "quality-grams")
+
+
+def gram_levels(grams: DataFrame) -> list[DataFrame]:
+    """For each order, lowest first: gram, c0, c1, c2, its count in each model.
+
+    N-grams of the highest order count by occurrence, those of each lower order by the different n-grams they end. N-grams that no
+    trusted text has are there with counts of 0: they are what the documents ask for.
+    """
+    level = stage(grams.groupBy("gram").agg(F.sum("n1").alias("c0"), F.sum("n0").alias("c1")).withColumn("c2", F.col("c0") + F.col("c1")), "gram-counts")
+    levels = [level]
     for order in range(ORDER - 1, 0, -1):
-        level = level.groupBy("model", (F.col("gram") % CLASSES**order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        levels = levels.unionByName(level.withColumn("order", F.lit(order)))
-    return stage(levels, "gram-levels")
+        level = stage(level.groupBy(suffix(order).alias("gram")).agg(*[F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}") for m in range(MODELS)]), "gram-level")
+        levels.insert(0, level)
+    return levels
 
 
-def discounted(counts: DataFrame) -> DataFrame:
-    """model, order, gram, share (discounted count over the context's total), context, rest (what the context leaves to lower orders).
+def suffix(order: int):
+    return F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
 
-    Modified Kneser-Ney: three discounts for each order from how many n-grams have counts of one to four.
-    """
-    of = {(r["model"], r["order"], r["n"]): r["k"] for r in counts.filter("n <= 4").groupBy("model", "order", "n").agg(
-        F.count(F.lit(1)).alias("k")).collect()}
-    cut = F.lit(0.0)
-    for model, order in product(range(ALL + 1), range(1, ORDER + 1)):
-        n1, n2, n3, n4 = (of.get((model, order, k), 0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-        d = [max(0.0, min(k, k - (k + 1) * y * b / a)) if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        cut = F.when((F.col("model") == model) & (F.col("order") == order), F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(cut)
-    rows = counts.withColumn("context", F.expr(f"gram div {CLASSES}")).withColumn("cut", cut)
-    totals = rows.groupBy("model", "order", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-    return rows.join(totals, ["model", "order", "context"]).select(
-        "model", "order", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"), "context", (F.col("freed") / F.col("total")).alias("rest"))
-
-
-def models_of(counts: DataFrame) -> list[list[tuple[np.ndarray, ...]]]:
-    """For each model and order: n-grams, their shares, contexts, what these leave. As few numbers as there are different n-grams."""
-    shares = stage(discounted(counts), "gram-shares")
+
+def discounts(level: DataFrame) -> list[list[float]]:
+    """Three discounts for each model, from how many n-grams of the order have counts of one to four."""
+    row = level.agg(*[F.count_if(F.col(f"c{m}") == k).alias(f"n{m}_{k}") for m in range(MODELS) for k in (1, 2, 3, 4)]).first()
     out = []
-    for model in range(ALL + 1):
-        rows = shares.filter(F.col("model") == model).toArrow()
-        order, gram, share, context, rest = (np.asarray(rows[c]) for c in ("order", "gram", "share", "context", "rest"))
-        levels = []
-        for k in range(1, ORDER + 1):
-            own = order == k
-            contexts, first = np.unique(context[own], return_index=True)
-            levels.append((gram[own].astype(np.int32), share[own].astype(np.float32), contexts.astype(np.int32), rest[own][first].astype(np.float32)))
-        out.append(levels)
+    for m in range(MODELS):
+        n = [row[f"n{m}_{k}"] for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.0
+        out.append([max(0.0, min(k, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3)])
     return out
 
 
-def log_probabilities(levels: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Log probability of the last class of every n-gram: CLASSES ** ORDER numbers, whatever the input. Each task makes its own."""
-    p = np.full(CLASSES, 1.0 / CLASSES, np.float32)
-    for k, (gram, share, context, rest) in enumerate(levels, 1):
-        left = np.ones(CLASSES ** (k - 1), np.float32)  # a context never seen leaves everything to the lower order
-        left[context] = rest
-        # the lower order is the same whatever stands first, so it repeats along the first axis
-        p = (left.reshape(-1, CLASSES ** max(0, k - 2), 1) * p.reshape(1, -1, CLASSES)).reshape(-1)
-        p[gram] += share
-    return np.log(np.maximum(p, np.float32(1e-12), out=p), out=p)
-
-
-def perplexities(docs: DataFrame, model: list, label: str) -> DataFrame:
-    """doc_id, row_key, lang, trusted, perplexity (of a byte; null for a text without any) by one model. Written at once, then the model is let go."""
-    shared, held = share(docs.sparkSession, model), []
-    ddl = "doc_id bigint, row_key bigint, lang string, trusted boolean, perplexity double"
+def log_probabilities(levels: list[DataFrame]) -> DataFrame:
+    """gram, log0, log1, log2: log probability of the last symbol of every n-gram of the highest order in each model.
 
-    def work(batch):
-        if not held:
-            held.append(log_probabilities(shared()))
-        for piece in T.slices(batch.column("text")):
-            values = mean_perplexity(held[0], gram_numbers(piece), piece.offsets)
-            yield (*[batch.column(c).slice(piece.lo, piece.hi - piece.lo) for c in ("doc_id", "row_key", "lang", "trusted")], pa.array(values, from_pandas=True))
-    scored = stage(arrow_map(docs.select("doc_id", "row_key", "text", "lang", "trusted"), ddl, work), label)
-    shared.forget()
-    return scored
-
-
-def mean_perplexity(table: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    running = np.r_[0.0, np.cumsum(table[numbers], dtype=np.float64)]
-    length = np.diff(offsets)
-    sums = running[offsets[1:]] - running[offsets[:-1]]
-    return np.where(length > 0, np.round(np.exp(-sums / np.maximum(length, 1)), 6), np.nan)
-
-
-def thresholds(trusted: DataFrame, spreads: float) -> tuple[DataFrame, float | None]:
+    Each order is joined with the sums of its contexts and with the probabilities of the order below.
+    """
+    every = range(MODELS)
+    below = None
+    for order, level in enumerate(levels, 1):
+        cuts = [F.when(F.col(f"c{m}") >= 3, d[2]).when(F.col(f"c{m}") == 2, d[1]).when(F.col(f"c{m}") == 1, d[0]).otherwise(0.0)
+                for m, d in enumerate(discounts(level))]
+        rows = level.select("*", F.shiftrightunsigned("gram", BITS).alias("context"), *[cut.alias(f"cut{m}") for m, cut in enumerate(cuts)])
+        contexts = rows.groupBy("context").agg(*[F.sum(f"{c}{m}").alias(f"{to}{m}") for m in every for c, to in (("c", "total"), ("cut", "freed"))])
+        rows = rows.join(contexts, "context")
+        if below is not None:
+            rows = rows.join(below, suffix(order - 1) == F.col("lower")).drop("lower")
+        p = [F.when(F.col(f"total{m}") > 0, (F.col(f"c{m}") - F.col(f"cut{m}")) / F.col(f"total{m}")
+                    + F.col(f"freed{m}") / F.col(f"total{m}") * (F.col(f"p{m}") if below is not None else F.lit(BASE)))
+             .otherwise(F.col(f"p{m}") if below is not None else F.lit(BASE)).alias(f"p{m}") for m in every]  # a context never seen leaves all to the order below
+        below = rows.select(F.col("gram").alias("lower"), *p)
+    return below.select(F.col("lower").alias("gram"), *[F.log(F.greatest(f"p{m}", F.lit(1e-12))).cast("float").alias(f"log{m}") for m in every])
+
+
+def perplexities(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    """doc_id, row_key, lang, trusted, perplexity (of a symbol; null for a text without any), unseen (of trusted rows, by the model without them)."""
+    fields = to_arrow_schema(schema_of(f"{ROW}, perplexity double, unseen double"))
+
+    def score(own: pa.Table, asked: pa.Table) -> pa.Table:
+        gram, first = np.unique(asked["gram"].to_numpy(), return_index=True)
+        logs = [asked[f"log{m}"].to_numpy()[first] for m in range(MODELS)]
+        fold, trusted = own["fold"].to_numpy(), own["trusted"].cast(pa.int8()).to_numpy() == 1
+        units, offsets = symbols(raw_texts(own["text"]))
+        sums = np.zeros((2, own.num_rows))
+        for at, numbers in gram_chunks(units, offsets):
+            place = np.searchsorted(gram, numbers)
+            row = np.searchsorted(offsets, np.arange(at, at + len(numbers)), side="right") - 1
+            sums[0] += np.bincount(row, logs[MODELS - 1][place], own.num_rows)
+            sums[1] += np.bincount(row, np.where(fold[row] == 0, logs[0][place], logs[1][place]), own.num_rows)
+        length = np.diff(offsets)
+        values = np.where(length > 0, np.round(np.exp(-sums / np.maximum(length, 1)), 6), np.nan)
+        values[1][~trusted] = np.nan
+        columns = [own[c].combine_chunks() for c in ("doc_id", "row_key", "lang", "trusted")]
+        return pa.Table.from_batches([record(fields, [*columns, *(pa.array(v, from_pandas=True) for v in values)])])
+
+    asked = grams.select("block", "gram").join(log_probabilities(gram_levels(grams)), "gram")
+    return stage(blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, f"{ROW}, perplexity double, unseen double"), "perplexity")
+
+
+def thresholds(trusted: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
     """lang_key, threshold; and the one over all languages. trusted: lang_key, unseen.
 
-    Median and median absolute deviation of log perplexity. With few rows in a language its spread leans on that over all
-    languages, each row measured from the median of its own.
+    The quantile of log perplexity in a language, which with few rows leans on the quantile over all languages, each row measured
+    from the median of its own.
     """
-    def median(c):
-        return F.percentile_approx(c, F.lit(0.5), F.lit(ACCURACY))
     rows = trusted.select("lang_key", F.log("unseen").alias("log"))
-    middles = stage(rows.groupBy("lang_key").agg(median("log").alias("middle"), F.count(F.lit(1)).alias("rows")), "quality-middles")
-    middle = rows.agg(median("log")).first()[0]
-    if middle is None:
-        return middles.select("lang_key", F.lit(None).cast("double").alias("threshold")), None
-    apart = join_counted(rows, middles, "lang_key").withColumn("apart", F.abs(F.col("log") - F.col("middle")))
-    pooled, wide = apart.agg(median("apart"), median(F.abs(F.col("log") - F.lit(middle)))).first()
-    own = apart.groupBy("lang_key").agg(median("apart").alias("own"))
-    spread = (F.col("rows") * F.col("own") + POOL_ROWS * F.lit(pooled)) / (F.col("rows") + POOL_ROWS)
-    limits = middles.join(own, "lang_key").select("lang_key", F.exp(F.col("middle") + F.lit(spreads * MAD) * spread).alias("threshold"))
-    return stage(limits, "quality-limits"), float(np.exp(middle + spreads * MAD * wide))
-
-
-def quality(docs: DataFrame, labels: DataFrame, spreads: float = SPREADS, id_col: str = "doc_id", text_col: str = "text",
+    sizes = rows.groupBy("lang_key").agg(F.count(F.lit(1)).alias("rows"))
+    own = stage(exact_quantiles(rows, ["lang_key"], "log", {"middle": 0.5, "own": quantile}).join(sizes, "lang_key"), "quality-quantiles")
+    apart = join_counted(rows, own, "lang_key").select(F.explode(F.array(
+        F.struct(F.lit("log").alias("kind"), F.col("log").alias("value")),
+        F.struct(F.lit("apart").alias("kind"), (F.col("log") - F.col("middle")).alias("value")))).alias("r")).select("r.*")
+    over = {r["kind"]: r["q"] for r in exact_quantiles(apart, ["kind"], "value", {"q": quantile}).collect()}  # two rows
+    if not over:
+        return own.select("lang_key", F.lit(None).cast("double").alias("threshold")), None
+    lean = (F.col("rows") * F.col("own") + POOL_ROWS * (F.col("middle") + F.lit(over["apart"]))) / (F.col("rows") + POOL_ROWS)
+    return own.select("lang_key", F.exp(lean).alias("threshold")), float(np.exp(over["log"]))
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text",
             lang_col: str = "lang", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """Every row with its perplexity under a model of the trusted texts and whether it passes.
 
     Trusted are the rows whose label is 1; all of them are counted. Returns doc_id, lang, trusted, perplexity, threshold, kept. The
-    threshold of a language stands at so many robust spreads above the median of its trusted rows' perplexities, each by a model of
-    the other half of the trusted rows: a text that a model has counted looks better to it than others as good. Medians do not
-    follow an odd trusted row. A language without trusted rows takes the threshold over
-    all of them; with no trusted row at all everything with text is kept. Null languages form one language. Null and empty texts
-    have no perplexity and are not kept. Ties with the threshold pass; repeated rows are judged alike; other columns are ignored,
+    threshold of a language is a quantile of the perplexities of its trusted rows, each by a model of the other half of the trusted
+    rows: a text that a model has counted looks better to it than others as good. A language without trusted rows takes the
+    quantile over all of them; with no trusted row at all everything with text is kept. Null languages form one language. Null
+    and empty texts have no perplexity and are not kept. Ties with the threshold pass; repeated rows are judged alike; other columns are ignored,
     but a key of the rows, row_col, is kept.
     """
     rows = texts(docs, id_col, text_col, lang_col, *([row_col] if row_col else [])).withColumnRenamed(lang_col, "lang")
@@ -190,12 +218,9 @@ def quality(docs: DataFrame, labels: DataFrame, spreads: float = SPREADS, id_col
         "doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     marked = join_counted(rows, known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     marked = marked.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
-    models = models_of(gram_counts(marked.filter("trusted")))
-    lang_key = F.coalesce("lang", F.lit("")).alias("lang_key")
-    # one model at a time: a task holds one table
-    halves = [perplexities(marked.filter(F.col("trusted") & (F.col("fold") == k)), models[k], "perplexity-unseen").select(
-        lang_key, F.col("perplexity").alias("unseen")) for k in (0, 1)]
-    limits, every = thresholds(halves[0].unionByName(halves[1]).filter("unseen IS NOT NULL"), spreads)
-    judged = join_counted(perplexities(marked, models[ALL], "perplexity").withColumn("lang_key", lang_key), limits, "lang_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
+    blocks = in_blocks(marked)
+    scored = perplexities(blocks, block_grams(blocks)).withColumn("lang_key", F.coalesce("lang", F.lit("")))
+    limits, every = thresholds(scored.filter("unseen IS NOT NULL").select("lang_key", "unseen"), quantile)
+    judged = join_counted(scored, limits, "lang_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select(*([F.col("row_key").alias(row_col)] if row_col else []), "doc_id", "lang", "trusted", "perplexity", "threshold", kept.alias("kept"))

@@ -85,11 +85,16 @@ def personal(text):
     return [(kind, a, b) for a, _, b, kind in sorted(out)]
 
 
-def kneser_ney(texts, classes, order, alphabet):
-    """Probability of a class after a context, by the recursive definition over dictionaries."""
+def utf16(text):
+    raw = text.encode("utf-16-le")
+    return [raw[k] + 256 * raw[k + 1] for k in range(0, len(raw), 2)]
+
+
+def kneser_ney(texts, order, alphabet):
+    """Probability of a symbol (a UTF-16 code unit) after a context, by the recursive definition over dictionaries."""
     counts = {order: Counter()}
     for text in texts:
-        seq = [0] * (order - 1) + [int(classes[b]) for b in text.encode()]
+        seq = [0] * (order - 1) + utf16(text)
         counts[order].update(tuple(seq[k:k + order]) for k in range(len(seq) - order + 1))
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])

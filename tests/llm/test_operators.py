@@ -101,18 +101,37 @@ def test_chunks_hold_every_pair_within_the_bound():
     assert sorted(sum(parts, [])) == list(range(minhash.SYMBOLS)) and bound < (minhash.CHUNK_ERRORS + 1) * len(parts)
 
 
-def test_quality_model_is_kneser_ney(spark, real):
-    texts = [t[:150] for t in real.text[:25]]
-    frame = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, fold int")
-    tables = [quality.log_probabilities(m) for m in quality.models_of(quality.gram_counts(frame))]
-    for model, own in ((2, texts), (1, texts[::2]), (0, texts[1::2])):
-        p = brute.kneser_ney(own, quality.CLASS, quality.ORDER, quality.CLASSES)
-        for context, w in (((0, 0, 0), 20), ((20, 8, 5), 54), ((54, 1, 14), 4), ((63, 60, 5), 3), ((53, 53, 53), 53), ((9, 9, 9), 9)):
-            number = 0
-            for c in (*context, w):
-                number = number * quality.CLASSES + c
-            assert math.isclose(math.exp(tables[model][number]), p(context, w), rel_tol=1e-4)
-    assert np.allclose(np.exp(tables[2]).reshape(-1, quality.CLASSES).sum(axis=1), 1, atol=1e-4)
+def test_quality_model_is_kneser_ney(spark, real, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_UNITS", 40)  # texts are taken in chunks
+    texts = [t[:150] for t in real.text[:24]] + ["Привет, мир \U0001f600 ещё"]
+    others = ["Ещё один мир \U0001f601", "the zzz", "", None]
+    rows = [(k, k, "en", t is not None and k < 25, k % 2, t) for k, t in enumerate(texts + others)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, row_key bigint, lang string, trusted boolean, fold int, text string")
+    blocks = quality.in_blocks(frame)
+    got = by_id(quality.perplexities(blocks, quality.block_grams(blocks)), "perplexity", "unseen")
+    models = [brute.kneser_ney(own, quality.ORDER, 65536) for own in (texts[1::2], texts[::2], texts)]
+
+    def perplexity(text, p):
+        seq = [0] * (quality.ORDER - 1) + brute.utf16(text)
+        logs = [math.log(p(tuple(seq[k - quality.ORDER + 1:k]), seq[k])) for k in range(quality.ORDER - 1, len(seq))]
+        return math.exp(-sum(logs) / len(logs))
+    for k in (0, 5, 24, 25, 26):
+        text = (texts + others)[k]
+        assert math.isclose(got[k][0], perplexity(text, models[2]), rel_tol=1e-4)
+        assert got[k][1] is None if k >= 25 else math.isclose(got[k][1], perplexity(text, models[k % 2]), rel_tol=1e-4)
+    assert got[27] == got[28] == (None, None)
+
+
+def test_quality_thresholds_are_quantiles(spark):
+    rows = [("en", float(v)) for v in range(1, 3001)] + [("de", 5.0), ("de", 7.0)]
+    limits, every = quality.thresholds(spark.createDataFrame(rows, "lang_key string, unseen double"), 0.99)
+    logs = {k: np.log([v for lang, v in rows if lang == k]) for k in ("en", "de")}
+    pooled = np.quantile(np.concatenate([v - np.median(v) for v in logs.values()]), 0.99)
+    for r in limits.collect():
+        v, n = logs[r["lang_key"]], len(logs[r["lang_key"]])
+        lean = (n * np.quantile(v, 0.99) + quality.POOL_ROWS * (np.median(v) + pooled)) / (n + quality.POOL_ROWS)
+        assert math.isclose(r["threshold"], math.exp(lean), rel_tol=1e-9)
+    assert math.isclose(every, np.exp(np.quantile(np.concatenate(list(logs.values())), 0.99)), rel_tol=1e-9)
 
 
 def test_quality(docs, odd, empty, labels):
