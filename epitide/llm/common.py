@@ -5,11 +5,15 @@ import pickle
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..operators.ranks import NUMBER, numbered
+from ..session import stage
+
 SMALL_ROWS = 2_000_000  # a side of at most so many short rows is broadcast, a larger one is shuffled
 
 
@@ -71,6 +75,22 @@ def join_counted(left: DataFrame, right: DataFrame, on, how: str = "inner", most
     return left.join(F.broadcast(right) if is_small(right, most) else right, on, how)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with _row, a key of each row: the number of its file and its place in it. Rows that are no Parquet files yet are written.
+
+    A column _row that is there is replaced.
+    """
+    try:
+        plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"  # above a join or an explode, a row of a file may repeat
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_keyed_file"), F.col("_metadata.row_index").alias("_keyed_at")) if plain else None
+    except AnalysisException:
+        placed = None
+    if placed is None:
+        return keyed(stage(docs, "keyed-rows"))
+    files = stage(numbered(placed.select("_keyed_file").distinct(), F.col("_keyed_file")).withColumnRenamed(NUMBER, "_keyed_no"), "files")
+    return join_counted(placed, files, "_keyed_file").withColumn("_row", F.shiftleft("_keyed_no", 40) + F.col("_keyed_at")).drop("_keyed_file", "_keyed_no", "_keyed_at")
+
+
 class _Shared:
     """Gives the model; on its way to a task it leaves forget() behind."""
 

@@ -10,19 +10,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.quantiles import exact_quantiles
 from ..session import stage
-from .common import join_counted, record, schema_of, texts
+from .common import join_counted, keyed, record, schema_of, texts
 
 ORDER = 4
 BITS = 16  # of a symbol
 BASE = 1.0 / (1 << BITS)  # probability of a symbol of which nothing is known
-BLOCK_BYTES = 8 << 20  # a block is closed once its texts have so many bytes
+BLOCK_BYTES = 64 << 20  # bounds the texts of a block; n-grams that most blocks share are sent once for each
+HELD_GRAMS = 4_000_000  # a task hands over what it has counted once it holds so many n-grams
+PIECE_BYTES = 1 << 20  # texts are sent to their block in compressed pieces of whole texts
 CHUNK_UNITS = 1 << 20  # n-grams are made for so many symbols at a time
 QUANTILE = 0.99  # of the trusted perplexities of a language, at which its threshold stands
 POOL_ROWS = 30  # weight, in trusted rows, of the quantile over all languages in that of one
@@ -30,20 +31,16 @@ MODELS = 3  # 0 and 1 count the trusted rows of the other fold, so that a truste
 ROW = "doc_id bigint, row_key bigint, lang string, trusted boolean"
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """The rows with the number of their block, written so that the numbers stay. A text longer than a block fills one by itself."""
-    ddl = f"block bigint, fold int, {ROW}, text string"
-    schema = schema_of(ddl)
-    fields = to_arrow_schema(schema)
+def with_block(docs: DataFrame) -> DataFrame:
+    """The rows with their block: texts of one size class (doubling from class to class) in a stretch of row keys.
 
-    def run(batches):
-        first, done = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            length = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)
-            ends = done + np.cumsum(length)
-            yield record(fields, [first + (ends - length) // BLOCK_BYTES, *(batch.column(c) for c in ("fold", "doc_id", "row_key", "lang", "trusted", "text"))])
-            done = int(ends[-1]) if len(ends) else done
-    return stage(docs.select("fold", "doc_id", "row_key", "lang", "trusted", "text").mapInArrow(run, schema), "quality-blocks")
+    The larger the class, the shorter the stretch: distinct keys keep a block under 2 * BLOCK_BYTES or to one longer text. A block follows from the
+    row alone, so that texts need not be written for it and a lost task finds it again.
+    """
+    most = BLOCK_BYTES.bit_length() - 1
+    size = F.least(F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(1)))).cast("int"), F.lit(most))
+    size = F.coalesce(size, F.lit(0))
+    return docs.withColumn("block", F.xxhash64(size, F.expr("shiftright(row_key, 40)"), F.call_function("shiftright", F.expr(f"row_key & {(1 << 40) - 1}"), F.lit(most) - size)))
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -71,38 +68,70 @@ def gram_chunks(units: np.ndarray, offsets: np.ndarray):
         yield at, number[at - lo:]
 
 
+def packed(blocks: DataFrame) -> DataFrame:
+    """block, rows: pieces of whole rows of a block as compressed Arrow streams, a third of what a shuffle would write for the rows."""
+    schema = schema_of("block bigint, rows binary")
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("block")))
+            number, piece = pieces(batch)
+            for lo, hi in runs(number, piece):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(lo, hi - lo))
+                yield record(fields, [number[lo:lo + 1], pa.array([sink.getvalue().to_pybytes()], pa.binary())])
+    return blocks.select("block", "fold", "doc_id", "row_key", "lang", "trusted", "text").mapInArrow(run, schema)
+
+
+def pieces(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Block of every row, and a number that changes about every PIECE_BYTES."""
+    length = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)
+    return np.asarray(batch.column("block")), np.cumsum(length) // PIECE_BYTES
+
+
+def runs(*numbers: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches in which none of the numbers changes."""
+    if not len(numbers[0]):
+        return []
+    cuts = [0, *(np.flatnonzero(np.any([np.diff(n) != 0 for n in numbers], axis=0)) + 1).tolist(), len(numbers[0])]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def block_grams(blocks: DataFrame) -> DataFrame:
     """block, gram, n0, n1: the different n-grams of each block and how often they stand in trusted texts of either fold.
 
-    A block that is read in parts has a row for each part.
+    A block has a row for each time a task hands it over.
     """
     schema = schema_of("block bigint, gram bigint, n0 bigint, n1 bigint")
     fields = to_arrow_schema(schema)
 
-    def counted(block, found):
-        grams, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-        grams, place = np.unique(grams, return_inverse=True)
-        sums = [np.bincount(place, counts[:, k], len(grams)).astype(np.int64) for k in (0, 1)]
-        return record(fields, [np.full(len(grams), block), grams, *sums])
+    def counted(found):
+        for block, parts in found.items():
+            grams, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+            grams, place = np.unique(grams, return_inverse=True)
+            sums = [np.bincount(place, counts[:, k], len(grams)).astype(np.int64) for k in (0, 1)]
+            yield record(fields, [np.full(len(grams), block), grams, *sums])
 
     def run(batches):
-        block, found = None, []
+        found, held = {}, 0
         for batch in batches:
-            number, fold = np.asarray(batch.column("block")), np.asarray(batch.column("fold"))
-            fold = np.where(np.asarray(batch.column("trusted").cast(pa.int8())) == 1, fold, 2)
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)] if len(number) else []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if found and number[lo] != block:
-                    yield counted(block, found)
-                    found = []
-                block = number[lo]
+            batch = batch.take(pc.sort_indices(batch.column("block")))
+            fold = np.where(np.asarray(batch.column("trusted").cast(pa.int8())) == 1, np.asarray(batch.column("fold")), 2)
+            number, piece = pieces(batch)
+            for lo, hi in runs(number, piece):
                 units, offsets = symbols(raw_texts(batch.column("text").slice(lo, hi - lo)))
                 for at, grams in gram_chunks(units, offsets):
                     of = fold[lo:hi][np.searchsorted(offsets, np.arange(at, at + len(grams)), side="right") - 1]
                     own, place = np.unique(grams, return_inverse=True)
-                    found.append((own, np.stack([np.bincount(place, of == k, len(own)) for k in (0, 1)], 1)))
-        if found:
-            yield counted(block, found)
+                    found.setdefault(number[lo], []).append((own, np.stack([np.bincount(place, of == k, len(own)) for k in (0, 1)], 1)))
+                    held += len(own)
+                if held > HELD_GRAMS:
+                    yield from counted(found)
+                    found, held = {}, 0
+        yield from counted(found)
     return stage(blocks.select("block", "text", "fold", "trusted").mapInArrow(run, schema), "quality-grams")
 
 
@@ -161,9 +190,7 @@ def perplexities(blocks: DataFrame, grams: DataFrame) -> DataFrame:
     """doc_id, row_key, lang, trusted, perplexity (of a symbol; null for a text without any), unseen (of trusted rows, by the model without them)."""
     fields = to_arrow_schema(schema_of(f"{ROW}, perplexity double, unseen double"))
 
-    def score(own: pa.Table, asked: pa.Table) -> pa.Table:
-        gram, first = np.unique(asked["gram"].to_numpy(), return_index=True)
-        logs = [asked[f"log{m}"].to_numpy()[first] for m in range(MODELS)]
+    def scores(own: pa.Table, gram: np.ndarray, logs: list[np.ndarray]) -> pa.RecordBatch:
         fold, trusted = own["fold"].to_numpy(), own["trusted"].cast(pa.int8()).to_numpy() == 1
         units, offsets = symbols(raw_texts(own["text"]))
         sums = np.zeros((2, own.num_rows))
@@ -176,10 +203,15 @@ def perplexities(blocks: DataFrame, grams: DataFrame) -> DataFrame:
         values = np.where(length > 0, np.round(np.exp(-sums / np.maximum(length, 1)), 6), np.nan)
         values[1][~trusted] = np.nan
         columns = [own[c].combine_chunks() for c in ("doc_id", "row_key", "lang", "trusted")]
-        return pa.Table.from_batches([record(fields, [*columns, *(pa.array(v, from_pandas=True) for v in values)])])
+        return record(fields, [*columns, *(pa.array(v, from_pandas=True) for v in values)])
+
+    def score(sent: pa.Table, asked: pa.Table) -> pa.Table:
+        gram, first = np.unique(asked["gram"].to_numpy(), return_index=True)
+        logs = [asked[f"log{m}"].to_numpy()[first] for m in range(MODELS)]
+        return pa.Table.from_batches([scores(pa.ipc.open_stream(piece.as_buffer()).read_all(), gram, logs) for piece in sent["rows"]], fields)
 
     asked = grams.select("block", "gram").join(log_probabilities(gram_levels(grams)), "gram")
-    return stage(blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, f"{ROW}, perplexity double, unseen double"), "perplexity")
+    return stage(packed(blocks).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, f"{ROW}, perplexity double, unseen double"), "perplexity")
 
 
 def thresholds(trusted: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
@@ -210,15 +242,15 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_c
     rows: a text that a model has counted looks better to it than others as good. A language without trusted rows takes the
     quantile over all of them; with no trusted row at all everything with text is kept. Null languages form one language. Null
     and empty texts have no perplexity and are not kept. Ties with the threshold pass; repeated rows are judged alike; other columns are ignored,
-    but a key of the rows, row_col, is kept.
+    but a key of the rows, row_col (a distinct long, best one that rises along the files), is kept.
     """
-    rows = texts(docs, id_col, text_col, lang_col, *([row_col] if row_col else [])).withColumnRenamed(lang_col, "lang")
-    rows = rows.withColumnRenamed(row_col, "row_key") if row_col else rows.withColumn("row_key", F.lit(None).cast("long"))
+    source = docs if row_col else keyed(docs)
+    rows = texts(source, id_col, text_col, lang_col, row_col or "_row").withColumnRenamed(lang_col, "lang").withColumnRenamed(row_col or "_row", "row_key")
     known = labels.filter(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).filter(
         "doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     marked = join_counted(rows, known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     marked = marked.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
-    blocks = in_blocks(marked)
+    blocks = with_block(marked)
     scored = perplexities(blocks, block_grams(blocks)).withColumn("lang_key", F.coalesce("lang", F.lit("")))
     limits, every = thresholds(scored.filter("unseen IS NOT NULL").select("lang_key", "unseen"), quantile)
     judged = join_counted(scored, limits, "lang_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))

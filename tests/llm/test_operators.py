@@ -102,12 +102,13 @@ def test_chunks_hold_every_pair_within_the_bound():
 
 
 def test_quality_model_is_kneser_ney(spark, real, monkeypatch):
-    monkeypatch.setattr(quality, "CHUNK_UNITS", 40)  # texts are taken in chunks
+    for name, value in (("CHUNK_UNITS", 40), ("BLOCK_BYTES", 512), ("PIECE_BYTES", 200), ("HELD_GRAMS", 300)):
+        monkeypatch.setattr(quality, name, value)
     texts = [t[:150] for t in real.text[:24]] + ["Привет, мир \U0001f600 ещё"]
     others = ["Ещё один мир \U0001f601", "the zzz", "", None]
     rows = [(k, k, "en", t is not None and k < 25, k % 2, t) for k, t in enumerate(texts + others)]
     frame = spark.createDataFrame(rows, "doc_id bigint, row_key bigint, lang string, trusted boolean, fold int, text string")
-    blocks = quality.in_blocks(frame)
+    blocks = quality.with_block(frame)
     got = by_id(quality.perplexities(blocks, quality.block_grams(blocks)), "perplexity", "unseen")
     models = [brute.kneser_ney(own, quality.ORDER, 65536) for own in (texts[1::2], texts[::2], texts)]
 
