@@ -1,11 +1,10 @@
 """Corpus preparation: quality, near-duplicates, test-item passages, mixture, shards. Each stage works on what the one before kept."""
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm.common import join_counted, table
+from epitide.llm.common import join_counted, keyed, table
 from epitide.llm.decontaminate import decontaminate
 from epitide.llm.minhash import near_duplicates
 from epitide.llm.mixing import mix
@@ -16,20 +15,6 @@ from epitide.session import stage
 SHARDS = 8
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with _row, a key of each row: the number of its file and its place in it. Rows that are no Parquet files yet are written."""
-    try:
-        plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"  # above a join or an explode, a row of a file may repeat
-        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")) if plain else None
-    except AnalysisException:
-        placed = None
-    if placed is None:
-        return keyed(stage(docs, "pipeline-rows"))
-    files = sorted(r["_file"] for r in placed.select("_file").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number bigint")
-    return placed.join(F.broadcast(numbers), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_at")).drop("_file", "_number", "_at")
-
-
 def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of keyed() that no verdict (_row, kept) drops. Only the keys to drop are moved, as long as a count shows that they are few."""
     dropped = stage(verdicts.filter(~F.col("kept")).select(F.col("_row").alias("_dropped")), "dropped")
