@@ -22,7 +22,7 @@ ORDER = 4
 BITS = 16  # of a symbol
 BASE = 1.0 / (1 << BITS)  # probability of a symbol of which nothing is known
 BLOCK_BYTES = 64 << 20  # bounds the texts of a block; n-grams that most blocks share are sent once for each
-HELD_GRAMS = 4_000_000  # a task hands over what it has counted once it holds so many n-grams
+HELD_GRAMS = 3_000_000  # a task hands over what it has counted once it holds so many n-grams
 PIECE_BYTES = 1 << 20  # texts are sent to their block in compressed pieces of whole texts
 CHUNK_UNITS = 1 << 20  # n-grams are made for so many symbols at a time
 QUANTILE = 0.99  # of the trusted perplexities of a language, at which its threshold stands
@@ -32,15 +32,14 @@ ROW = "doc_id bigint, row_key bigint, lang string, trusted boolean"
 
 
 def with_block(docs: DataFrame) -> DataFrame:
-    """The rows with their block: texts of one size class (doubling from class to class) in a stretch of row keys.
+    """The rows with their block: texts of one size class in a stretch of row keys.
 
-    The larger the class, the shorter the stretch: distinct keys keep a block under 2 * BLOCK_BYTES or to one longer text. A block follows from the
-    row alone, so that texts need not be written for it and a lost task finds it again.
+    Sizes grow 16-fold from class to class and the stretches are as much shorter: distinct keys keep a block under 4 * BLOCK_BYTES or
+    to one longer text. A block follows from the row alone, so that texts need not be written for it and a lost task finds it again.
     """
-    most = BLOCK_BYTES.bit_length() - 1
-    size = F.least(F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(1)))).cast("int"), F.lit(most))
-    size = F.coalesce(size, F.lit(0))
-    return docs.withColumn("block", F.xxhash64(size, F.expr("shiftright(row_key, 40)"), F.call_function("shiftright", F.expr(f"row_key & {(1 << 40) - 1}"), F.lit(most) - size)))
+    bits = F.floor(F.log2(F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1))) / 4).cast("int") * 4 + 2
+    stretch = F.greatest(F.lit(BLOCK_BYTES.bit_length() - 1) - bits, F.lit(0))
+    return docs.withColumn("block", F.xxhash64(bits, F.expr("shiftright(row_key, 40)"), F.call_function("shiftright", F.expr(f"row_key & {(1 << 40) - 1}"), stretch)))
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -126,7 +125,7 @@ def block_grams(blocks: DataFrame) -> DataFrame:
                 for at, grams in gram_chunks(units, offsets):
                     of = fold[lo:hi][np.searchsorted(offsets, np.arange(at, at + len(grams)), side="right") - 1]
                     own, place = np.unique(grams, return_inverse=True)
-                    found.setdefault(number[lo], []).append((own, np.stack([np.bincount(place, of == k, len(own)) for k in (0, 1)], 1)))
+                    found.setdefault(number[lo], []).append((own, np.stack([np.bincount(place, of == k, len(own)) for k in (0, 1)], 1).astype(np.int32)))
                     held += len(own)
                 if held > HELD_GRAMS:
                     yield from counted(found)
