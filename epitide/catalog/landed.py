@@ -1,6 +1,11 @@
 """Reshaping of source tables, ingestion, files, links, registry, events and forecasts."""
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..operators import reshape, rollup
@@ -206,16 +211,61 @@ def round_trip(spark, sf):
         F.max(S.to_day("o_orderdate")).alias("last_date"))
 
 
+def _files_of_folders(root, suffix, header):
+    """Rows ordered by folder as one file in each folder, taking its name only when it is whole; gives the number of files."""
+    def write(batches):
+        count, folder, out = 0, None, None
+
+        def finish():
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(root, folder, f"part-00000{suffix}"))
+
+        for batch in batches:
+            runs, start = pc.run_end_encode(batch.column("folder")), 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if name != folder:
+                    finish()
+                    os.makedirs(os.path.join(root, name), exist_ok=True)
+                    folder, out = name, open(os.path.join(root, name, f".{uuid.uuid4().hex}"), "wb")
+                    out.write(header)
+                    count += 1
+                out.writelines(line + b"\n" for line in batch.column("line")[start:end].to_pylist())
+                start = end
+        finish()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([count], pa.int64())})
+    return write
+
+
+def many_files(rows, root, keys, order, suffix, header=b""):
+    """The lines of each combination of the keys (years and numbers) as one text file, in folders named like Spark's partitions.
+
+    root is a folder of the machine's own file system: there Hadoop runs chmod twice for every file it creates, where its native library is missing.
+    """
+    parts = [F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for k in keys]
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "line").select(
+        F.concat_ws("/", *parts).alias("folder"), F.col("line").cast("binary").alias("line"))
+    os.makedirs(root, exist_ok=True)
+    placed.mapInArrow(_files_of_folders(root, suffix, header), "files long").write.format("noop").mode("overwrite").save()
+
+
 def landed_orders(spark, sf):
     """Orders as one text file for each year and hundred customers, customers as one CSV file for each hundred; the folder."""
     root = run_folder(spark, "files")
     year = F.coalesce(F.year("o_orderdate").cast("string"), F.lit("undated"))
     orders = table(spark, sf, "orders").select(
         year.alias("year"), F.floor(F.col("o_custkey") / 100).alias("block"), "o_orderkey",
-        F.concat_ws(";", "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value"))
-    ordered = orders.repartition("year", "block").sortWithinPartitions("year", "block", "o_orderkey", "value")
-    ordered.drop("o_orderkey").write.partitionBy("year", "block").text(f"{root}/orders")
+        F.concat_ws(";", "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("line"))
     buyers = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("block"), "c_custkey", "c_nationkey")
+    place = tables.qualified(spark, root)
+    if place.startswith("file:"):
+        local = place.removeprefix("file:")
+        many_files(orders, f"{local}/orders", ("year", "block"), ("o_orderkey",), ".txt")
+        many_files(buyers.withColumn("line", F.to_csv(F.struct("c_custkey", "c_nationkey"))), f"{local}/customers",
+                   ("block",), ("c_custkey",), ".csv", b"c_custkey,c_nationkey\n")
+        return root
+    ordered = orders.repartition("year", "block").sortWithinPartitions("year", "block", "o_orderkey", "line")
+    ordered.drop("o_orderkey").write.partitionBy("year", "block").text(f"{root}/orders")
     buyers.repartition("block").write.partitionBy("block").option("header", True).csv(f"{root}/customers")
     return root
 

@@ -13,16 +13,30 @@ TABLE_SUFFIXES = (".csv", ".tsv", ".txt", ".json")
 # Folders that hold no data.
 SKIPPED_FOLDERS = (".git", ".venv", "__pycache__", ".ipynb_checkpoints")
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 # Words of file and column names that tell the class of a chart.
 CALL_WORDS = ("nhs111", "nhs-111", "nhs_111", "111", "call", "calls", "online")
 VISIT_WORDS = ("gp", "general-practice", "general_practice", "admission", "admissions", "consultation", "consultations")
 
 
+def under(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, modificationTime, length, content) of the files under a folder, however many folders they lie in.
+
+    Spark lists the folders while it loads, with a task for each of up to 10,000 of them at every level; here a task lists many.
+    """
+    asked = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, min(int(asked), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                .option("pathGlobFilter", pattern).load(root))
+    finally:
+        spark.conf.set(LISTING, asked)
+
+
 def inventory(spark: SparkSession, root: str, pattern: str = "*", suffixes: Sequence[str] = ()) -> DataFrame:
     """(path, filename, suffix, size, modified) of the files under a folder; contents are not read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime"))
-    out = files.select(
+    out = under(spark, root, pattern).select(
         "path", S.file_name("path").alias("filename"), S.file_suffix("path").alias("suffix"),
         F.col("length").alias("size_bytes"), (F.col("length") / 1024).alias("size_kb"),
         F.col("modificationTime").alias("modified"))
