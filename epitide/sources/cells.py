@@ -20,7 +20,7 @@ from ..functions import scalars as S
 from ..operators import profile as P
 from ..schema import CANONICAL
 from ..session import stage
-from .files import TABLE_SUFFIXES, chart_class
+from .files import TABLE_SUFFIXES, chart_class, under
 
 ROWS = "path string, member string, row_no long, header array<string>, cells array<string>, error string"
 BATCH = 5_000
@@ -109,9 +109,7 @@ def read_rows(spark: SparkSession, root: str, pattern: str = "*", suffixes: Sequ
 
     header_marks: column names that tell the header from a preamble. Headers are normalised unless plain_headers.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).load(root)
-             .where(S.file_suffix("path").isin([*suffixes])).select("path", "content"))
+    files = under(spark, root, pattern).where(S.file_suffix("path").isin([*suffixes])).select("path", "content")
     rows = stage(files.mapInPandas(_decode(tuple(header_marks)), ROWS), "file-rows")
     name = F.transform("header", lambda h: F.lower(F.trim(F.regexp_replace(F.trim(h), "[^0-9A-Za-z]+", "_"), F.lit("_"))))
     return rows if plain_headers else rows.withColumn("header", name)

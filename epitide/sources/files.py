@@ -57,8 +57,7 @@ def clinical_inventory(spark: SparkSession, raw: str, domain: str | None = None)
 
 def checksums(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, bytes, sha256, status) of each file; Spark does not list empty ones."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).load(root))
+    files = under(spark, root, pattern)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit("ok").alias("status"))
 
 

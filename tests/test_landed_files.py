@@ -11,7 +11,7 @@ import pytest
 from compare import differences
 from epitide import catalog
 from epitide.catalog import landed
-from epitide.sources import files
+from epitide.sources import cells, files
 
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
 
@@ -104,7 +104,7 @@ def folders(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("read", [files.inventory])
+@pytest.mark.parametrize("read", [files.inventory, files.checksums, cells.read_rows])
 def test_listing_takes_few_tasks(spark, folders, read):
     """75 folders on a level were 75 tasks."""
     found = []
@@ -127,7 +127,7 @@ def test_smaller_listing_setting_stays(spark, folders):
     assert spark.conf.get(files.LISTING) == before
 
 
-@pytest.mark.parametrize("name", ["file_inventory"])
+@pytest.mark.parametrize("name", ["file_inventory", "file_checksums"])
 def test_queries_on_own_rows(spark, rows, tmp_path, name):
     """Customers without a nation are left out: in the SQL their whole line is null."""
     spark.read.parquet(f"{rows}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
