@@ -127,7 +127,7 @@ def test_smaller_listing_setting_stays(spark, folders):
     assert spark.conf.get(files.LISTING) == before
 
 
-@pytest.mark.parametrize("name", ["file_inventory", "file_checksums"])
+@pytest.mark.parametrize("name", ["file_inventory", "file_checksums", "files_by_suffix"])
 def test_queries_on_own_rows(spark, rows, tmp_path, name):
     """Customers without a nation are left out: in the SQL their whole line is null."""
     spark.read.parquet(f"{rows}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
