@@ -14,6 +14,8 @@ TABLE_SUFFIXES = (".csv", ".tsv", ".txt", ".json")
 SKIPPED_FOLDERS = (".git", ".venv", "__pycache__", ".ipynb_checkpoints")
 
 LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+# Tasks an inventory may use besides four a core; each is sent the names of its files, so there must be enough of them.
+INVENTORY_TASKS = 1000
 
 # Words of file and column names that tell the class of a chart.
 CALL_WORDS = ("nhs111", "nhs-111", "nhs_111", "111", "call", "calls", "online")
@@ -35,11 +37,14 @@ def under(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*", suffixes: Sequence[str] = ()) -> DataFrame:
-    """(path, filename, suffix, size, modified) of the files under a folder; contents are not read."""
+    """(path, filename, suffix, size, modified) of the files under a folder; contents are not read.
+
+    Spark counts 4 MB for opening a file, which makes a task of every few files; as nothing is opened here, a task takes many.
+    """
     out = under(spark, root, pattern).select(
         "path", S.file_name("path").alias("filename"), S.file_suffix("path").alias("suffix"),
         F.col("length").alias("size_bytes"), (F.col("length") / 1024).alias("size_kb"),
-        F.col("modificationTime").alias("modified"))
+        F.col("modificationTime").alias("modified")).coalesce(max(INVENTORY_TASKS, 4 * spark.sparkContext.defaultParallelism))
     for folder in SKIPPED_FOLDERS:
         out = out.where(~F.col("path").contains(f"/{folder}/"))
     return out.where(F.col("suffix").isin(list(suffixes))) if suffixes else out

@@ -127,6 +127,21 @@ def test_smaller_listing_setting_stays(spark, folders):
     assert spark.conf.get(files.LISTING) == before
 
 
+def test_inventory_takes_few_tasks(spark, folders, monkeypatch):
+    """Files that count as a task's worth each were 150 tasks."""
+    monkeypatch.setattr(files, "INVENTORY_TASKS", 10, raising=False)
+    asked = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1)
+    try:
+        found, sizes = files.inventory(spark, folders), []
+        most = listing_tasks(spark, "inventory", lambda: sizes.extend(files.size_by_suffix(found).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", asked)
+    assert most <= 4 * spark.sparkContext.defaultParallelism < 150
+    expected = {s: [4 + 4 * i for i in range(150) if (i % 3 == 0) == (s == ".txt")] for s in (".csv", ".txt")}
+    assert {r.suffix: (r.n_files, r.total_bytes) for r in sizes} == {s: (len(b), sum(b)) for s, b in expected.items()}
+
+
 @pytest.mark.parametrize("name", ["file_inventory", "file_checksums", "files_by_suffix"])
 def test_queries_on_own_rows(spark, rows, tmp_path, name):
     """Customers without a nation are left out: in the SQL their whole line is null."""
